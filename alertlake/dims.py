@@ -259,8 +259,21 @@ TIMELINE_COLUMNS = [
 # ------------------------------------------------------------ end fixed values
 
 
+def sql_text(value: object) -> str:
+    """A fixed value as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, tuple):
+        return "struct(" + ", ".join(map(sql_text, value)) + ")"
+    return str(value)
+
+
 def literal_map(table: Mapping[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.expr("map(" + ", ".join(sql_text(x) for pair in table.items() for x in pair) + ")")
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")
 
 
 def lookup(table: Mapping[str, object], key: Column) -> Column:

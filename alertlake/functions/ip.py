@@ -94,27 +94,32 @@ def normalize_ip(c: Column) -> Column:
     return F.coalesce(let(bare, canonical), F.lit(dims.MISSING))
 
 
+def all_plain(texts: Column) -> Column:
+    """Whether every text of an array is a dotted quad, empty or missing."""
+    return F.forall(
+        texts, lambda t: t.isNull() | (t == "") | (t == dims.MISSING) | t.rlike(f"^{_V4}$")
+    )
+
+
 def first_ip(*cols: Column) -> Column:
-    """First of several texts that is an address.
-
-    Plain dotted quads are by far the most common and are taken as they are; any other text
-    sends the whole list through `normalize_ip`.
-    """
-    plain = [c.rlike(f"^{_V4}$") for c in cols]
-    simple = F.lit(True)
-    for c, quad in zip(cols, plain):
-        simple = simple & (F.coalesce(c, F.lit("")).isin("", dims.MISSING) | quad)
-    quads = F.coalesce(*[F.when(q, c) for c, q in zip(cols, plain)], F.lit(dims.MISSING))
+    """First of several texts that is an address."""
     found = F.filter(F.transform(F.array(*cols), normalize_ip), lambda x: x != dims.MISSING)
-    return F.when(simple, quads).otherwise(
-        F.coalesce(F.get(found, F.lit(0)), F.lit(dims.MISSING))
-    )
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(dims.MISSING))
+
+
+LOG_CANDIDATES = [f"log{i}" for i in range(len(dims.LOG_IP_PATTERNS))]
+
+
+def log_candidates(log: Column) -> dict[str, Column]:
+    """What the address patterns find in log text; only their first match counts."""
+    return {
+        n: F.regexp_extract(log, p, 1) for n, p in zip(LOG_CANDIDATES, dims.LOG_IP_PATTERNS)
+    }
 
 
 def log_ip(log: Column) -> Column:
-    """Address named in log text; only the first match of each pattern is tried."""
-    found = F.array(*[F.regexp_extract(log, p, 1) for p in dims.LOG_IP_PATTERNS])
-    return let(found, lambda a: first_ip(*[F.get(a, F.lit(i)) for i in range(len(dims.LOG_IP_PATTERNS))]))
+    """Address named in log text, patterns in order."""
+    return first_ip(*log_candidates(log).values())
 
 
 def _scope_case(value: Column, table, low, high) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alertlake import dims
 from alertlake.functions import clock, ip, jsontext, scoring
 from alertlake.functions.text import (
-    clamp_level, clean_text, distinct_texts, first_known, joined, known, known_user, log_user,
+    clamp_level, clean_text, distinct_texts, first_known, joined, known, known_user, let, log_user,
 )
 
 MITRE_LISTS = ["id", "tactic", "technique"]
@@ -26,18 +26,9 @@ def _result(alert_type, category, outcome, confidence, reason) -> Column:
 
 def classify_exact(rule_id: Column) -> Column:
     """Classification by rule id; null for an unknown id."""
-    table = F.create_map(
-        *[
-            x
-            for rule, (kind, category, outcome) in dims.RULES.items()
-            for x in (F.lit(rule), F.struct(F.lit(kind).alias("t"), F.lit(category).alias("c"), F.lit(outcome).alias("o")))
-        ]
-    )
-    hit = F.try_element_at(table, rule_id)
-    return F.when(
-        hit.isNotNull(),
-        _result(hit["t"], hit["c"], hit["o"], "High", F.concat(F.lit("exact_rule_id:"), rule_id)),
-    )
+    hit = dims.lookup(dims.RULES, rule_id)
+    reason = F.concat(F.lit("exact_rule_id:"), rule_id)
+    return F.when(hit.isNotNull(), _result(hit["col1"], hit["col2"], hit["col3"], "High", reason))
 
 
 def classify_context(groups: Column, description: Column, log: Column) -> Column:
@@ -45,7 +36,7 @@ def classify_context(groups: Column, description: Column, log: Column) -> Column
     text = F.lower(F.concat_ws(" ", description, log))
 
     def has(*names: str) -> Column:
-        return F.arrays_overlap(groups, F.array(*[F.lit(n) for n in names]))
+        return F.arrays_overlap(groups, dims.literal_array(list(names)))
 
     def says(phrase: str) -> Column:
         return F.contains(text, F.lit(phrase))
@@ -94,13 +85,14 @@ def classify_context(groups: Column, description: Column, log: Column) -> Column
     return case.otherwise(_result(other, other, "unknown", "Low", "fallback"))
 
 
-def source_attribution(found: Column, category: Column, auth_context: Column, log: Column) -> Column:
-    """struct(ip, confidence): decoded field first; log text only for ssh/pam authentication."""
-    decoded = ip.first_ip(jsontext.first_leaf(found, dims.SOURCE_KEYS))
-    from_log = F.when(
-        category.isin(dims.AUTH_CATEGORIES) & auth_context, ip.log_ip(log)
-    ).otherwise(dims.MISSING)
-    return F.struct(decoded.alias("decoded"), from_log.alias("from_log"))
+def addresses(**candidates: Column) -> Column:
+    """Struct of canonical addresses; plain dotted quads need no further work."""
+    texts = F.array(*candidates.values())
+    canonical = F.when(ip.all_plain(texts), texts).otherwise(F.transform(texts, ip.normalize_ip))
+    return let(canonical, lambda a: F.struct(*[
+        F.coalesce(F.nullif(F.get(a, F.lit(i)), F.lit("")), F.lit(dims.MISSING)).alias(n)
+        for i, n in enumerate(candidates)
+    ]))
 
 
 def mitre_fields(ids: Column, tactics: Column, techniques: Column) -> Column:
@@ -159,6 +151,11 @@ def normalize_alerts(judged: DataFrame, *keep: str) -> DataFrame:
         text(c("decoder_fields._name")).alias("decoder"),
         text(c("raw_full_log")).alias("full_log"),
     )
+    # Log text is open to outsiders: it names a source only in ssh and pam authentication.
+    log_text = F.when(
+        c("event_category").isin(dims.AUTH_CATEGORIES) & c("auth_context"), c("full_log")
+    )
+    from_log = [c(f"address.{n}") for n in ip.LOG_CANDIDATES]
     lists = flat.withColumns({n: jsontext.text_list(c(f"mitre._{n}")) for n in MITRE_LISTS})
     enriched = (
         lists.withColumns({
@@ -173,11 +170,12 @@ def normalize_alerts(judged: DataFrame, *keep: str) -> DataFrame:
         })
         .select("*", "class.*", "attack.*").drop("class", "attack", "mitre", *MITRE_LISTS)
         .withColumns({
-            "source": source_attribution(
-                c("found"), c("event_category"), c("auth_context"), c("full_log")
+            "address": addresses(
+                agent=c("agent_ip_text"),
+                decoded=jsontext.first_leaf(c("found"), dims.SOURCE_KEYS),
+                destination=jsontext.first_leaf(c("found"), dims.DESTINATION_KEYS),
+                **ip.log_candidates(log_text),
             ),
-            "agent_ip": ip.first_ip(c("agent_ip_text")),
-            "decoded_destination": ip.first_ip(jsontext.first_leaf(c("found"), dims.DESTINATION_KEYS)),
             "actor_user": known_user(jsontext.first_leaf(c("found"), dims.ACTOR_KEYS)),
             "data_target": known_user(jsontext.first_leaf(c("found"), dims.TARGET_KEYS)),
             "log_target": F.when(c("auth_context"), known_user(log_user(c("full_log"))))
@@ -185,10 +183,11 @@ def normalize_alerts(judged: DataFrame, *keep: str) -> DataFrame:
             "command": clean_text(jsontext.first_leaf(c("found"), dims.COMMAND_KEYS)),
         })
         .withColumns({
-            "source_ip": first_known(c("source.decoded"), c("source.from_log")),
-            "source_confidence": F.when(known(c("source.decoded")), "High")
-            .when(known(c("source.from_log")), "Medium").otherwise("Unknown"),
-            "destination_ip": first_known(c("decoded_destination"), c("agent_ip")),
+            "agent_ip": c("address.agent"),
+            "source_ip": first_known(c("address.decoded"), *from_log),
+            "source_confidence": F.when(known(c("address.decoded")), "High")
+            .when(known(first_known(*from_log)), "Medium").otherwise("Unknown"),
+            "destination_ip": first_known(c("address.destination"), c("address.agent")),
             "target_user": F.when(
                 c("event_category").isin(dims.AUTH_CATEGORIES),
                 first_known(c("log_target"), c("data_target")),

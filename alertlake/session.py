@@ -15,11 +15,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # Plain lower-casing; the ICU tables only matter for locale rules that are not used here.
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
-    # Recording the Python call site of every expression costs more than planning them.
+    # Recording the Python call site of every expression costs more than planning them. (The
+    # static spark.python.sql.dataFrameDebugging.enabled=false at session start saves more.)
     spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the input has fewer splits than that; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder of the cluster; a scratch folder of our own only for local runs."""
     sc = spark.sparkContext

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertlake.session import spread
+
 DUPLICATE_BASE = 10_000_000
 LINE_CAP = 2_000
 
@@ -39,7 +41,7 @@ def _pick(table: dict[str, list[str]], key: Column) -> Column:
 def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested raw alert per event; every 25th event twice."""
     c = F.col
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
         c("event_id").alias("e"),
         c("user_id").alias("u"),
         "event_type",
