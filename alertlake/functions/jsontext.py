@@ -20,6 +20,8 @@ from alertlake import dims
 from alertlake.functions.text import distinct_texts, let, strip, whole_number
 
 _STRICT = {"allowSingleQuotes": "false"}
+# Reading goes on after an error inside a member; the column named here tells that there was one.
+_NOTED = {**_STRICT, "columnNameOfCorruptRecord": "bad"}
 
 
 def mark_strings(line: Column) -> Column:
@@ -36,10 +38,24 @@ def _fields(*names: str) -> str:
     return ", ".join(f"_{n} STRING" for n in names)
 
 
+def _sealed(line: Column) -> Column:
+    return F.concat(F.lit('{"_":'), mark_strings(line), F.lit(',"seal":1}'))
+
+
 def sealed_object(line: Column, *names: str) -> Column:
-    """struct(_ struct<_name...>, seal): seal is null for text that is not one JSON value."""
-    sealed = F.concat(F.lit('{"_":'), mark_strings(line), F.lit(',"seal":1}'))
-    return F.from_json(sealed, f"_ STRUCT<{_fields(*names)}>, seal INT", _STRICT)
+    """struct(_ struct<_name...>, seal, bad): see `is_sound`; for lines that hold an object."""
+    schema = f"_ STRUCT<{_fields(*names)}>, seal INT, bad STRING"
+    return F.from_json(_sealed(line), schema, _NOTED)
+
+
+def sealed_value(line: Column) -> Column:
+    """struct(_, seal, bad) for lines that hold any JSON value."""
+    return F.from_json(_sealed(line), "_ STRING, seal INT, bad STRING", _NOTED)
+
+
+def is_sound(parsed: Column) -> Column:
+    """Whether the line was exactly one well-formed JSON value."""
+    return parsed["seal"].isNotNull() & parsed["bad"].isNull()
 
 
 def child_object(text: Column, *names: str) -> Column:

@@ -82,21 +82,27 @@ def judged_lines(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES)
     n_bytes = (F.octet_length(value) + 1).cast("bigint")
     oversized = n_bytes > (max_line_bytes or 2**62)
     text = F.when(F.is_valid_utf8(value) & ~oversized, F.regexp_replace(value, "^\\uFEFF", ""))
-    opened = F.btrim(F.col("text"), F.lit(" \t\r\n")).startswith("{")
+    c = F.col
+    opened = F.btrim(c("text"), F.lit(" \t\r\n")).startswith("{")
+    is_object = c("opened") & jsontext.is_sound(c("parsed"))
+    is_other = ~c("opened") & jsontext.is_sound(jsontext.sealed_value(c("text")))
     status = (
-        F.when(F.col("oversized"), "oversized")
-        .when(F.col("text").isNull(), "encoding")
-        .when(strip(F.col("text")) == "", "blank")
-        .when(F.col("parsed.seal").isNull(), "malformed")
-        .when(~opened, "non_object")
-        .otherwise("ok")
+        F.when(is_object, "ok")
+        .when(c("oversized"), "oversized")
+        .when(c("text").isNull(), "encoding")
+        .when(strip(c("text")) == "", "blank")
+        .when(is_other, "non_object")
+        .otherwise("malformed")
     )
     return (
         lines.select("*", n_bytes.alias("n_bytes"), oversized.alias("oversized"), text.alias("text"))
-        .withColumn("parsed", jsontext.sealed_object(F.col("text"), *ALERT_FIELDS))
+        .withColumn("opened", F.coalesce(opened, F.lit(False)))
+        .withColumn(
+            "parsed", F.when(c("opened"), jsontext.sealed_object(c("text"), *ALERT_FIELDS))
+        )
         .withColumn("line_status", status)
-        .withColumn("fields", F.when(F.col("line_status") == "ok", F.col("parsed._")))
-        .drop("oversized", "text", "parsed")
+        .withColumn("fields", F.when(c("line_status") == "ok", c("parsed._")))
+        .drop("oversized", "text", "opened", "parsed")
     )
 
 
