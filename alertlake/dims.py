@@ -64,6 +64,7 @@ START_RULE = "503"
 SCANNER_TERMS = ["nikto", "sqlmap", "dirbuster", "gobuster", "acunetix", "nessus", "nmap", "masscan"]
 PLACEHOLDER_USERS = ["-", "by", "from", "unknown", "none", "null", "(null)", "n/a"]
 
+AUTH_GROUPS = ["sshd", "ssh", "pam"]
 AUTH_CATEGORIES = ["Credential Attack", "Authentication Success"]
 SCOPE_CATEGORIES = [
     "Credential Attack", "Authentication Success", "Privilege Activity", "Reconnaissance",

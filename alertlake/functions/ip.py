@@ -94,11 +94,8 @@ def normalize_ip(c: Column) -> Column:
     return F.coalesce(let(bare, canonical), F.lit(dims.MISSING))
 
 
-def all_plain(texts: Column) -> Column:
-    """Whether every text of an array is a dotted quad, empty or missing."""
-    return F.forall(
-        texts, lambda t: t.isNull() | (t == "") | (t == dims.MISSING) | t.rlike(f"^{_V4}$")
-    )
+def is_quad(c: Column) -> Column:
+    return c.rlike(f"^{_V4}$")
 
 
 def first_ip(*cols: Column) -> Column:

@@ -73,12 +73,10 @@ def clamp_level(level: Column) -> Column:
     return F.least(F.greatest(level, F.lit(0)), F.lit(16)).cast("int")
 
 
-def known_user(c: Column) -> Column:
-    """Account name, with parser left-overs such as "by" or "(null)" treated as missing."""
-    return let(
-        clean_text(c),
-        lambda name: F.when(F.lower(name).isin(dims.PLACEHOLDER_USERS), dims.MISSING).otherwise(name),
-    )
+def known_user(name: Column) -> Column:
+    """Cleaned account name, with parser left-overs such as "by" or "(null)" treated as missing."""
+    placeholder = name.isNull() | F.lower(name).isin(dims.PLACEHOLDER_USERS)
+    return F.when(placeholder, dims.MISSING).otherwise(name)
 
 
 def log_user(log: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import known
-from alertlake.operators.sessions import CELL, KEY, SESSION, cell_of, session_totals, window_us
+from alertlake.operators.sessions import CELL, SESSION, cell_of, session_totals, window_us
 
+# What sets a chain's key apart from that of a success of the same origin.
+MOVED = ["key_hash", "event_category", "identity"]
 ORIGIN = ["manager_name", "agent_id", "affected_asset", "source_ip"]
 
 
@@ -71,15 +73,13 @@ def with_matches(keyed_alerts: DataFrame, matches: DataFrame) -> DataFrame:
     c = F.col
     is_success = c("event_category") == "Authentication Success"
     moved = matches.select(
-        "record_number", c("identity").alias("chain_identity"),
-        c("event_category").alias("chain_category"), "end_cell",
+        "record_number", "end_cell", *[c(n).alias(f"chain_{n}") for n in MOVED]
     )
     successes = keyed_alerts.filter(is_success).join(moved, "record_number", "left")
     placed = successes.withColumns({
         "matched": c("end_cell").isNotNull(),
-        "identity": F.coalesce("chain_identity", "identity"),
-        "event_category": F.coalesce("chain_category", "event_category"),
+        **{n: F.coalesce(f"chain_{n}", n) for n in MOVED},
         "cell": F.coalesce("end_cell", "cell"),
-    }).drop("chain_identity", "chain_category", "end_cell")
+    }).drop("end_cell", *[f"chain_{n}" for n in MOVED])
     others = keyed_alerts.filter(~is_success).withColumn("matched", F.lit(False))
     return others.unionByName(placed)

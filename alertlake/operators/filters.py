@@ -50,7 +50,8 @@ def dedup_best(alerts: DataFrame) -> DataFrame:
     keys = ["manager_name", "agent_id", "event_id"]
     rest = [n for n in alerts.columns if n not in keys]
     return (
-        alerts.groupBy(*keys, apart.alias("apart"))
+        # The hash comes first so that the aggregation's sort compares one number.
+        alerts.groupBy(F.xxhash64(*keys).alias("key_hash"), *keys, apart.alias("apart"))
         .agg(
             F.max_by(F.struct(*rest), rank).alias("best"),
             F.min("record_number").alias("pos"),

@@ -12,6 +12,11 @@ from alertlake.functions.text import (
 )
 
 MITRE_LISTS = ["id", "tactic", "technique"]
+# Column: names searched for in the data object
+LEAVES = {
+    "data_source": dims.SOURCE_KEYS, "data_destination": dims.DESTINATION_KEYS,
+    "actor_user": dims.ACTOR_KEYS, "data_target": dims.TARGET_KEYS, "command": dims.COMMAND_KEYS,
+}
 
 
 def _result(alert_type, category, outcome, confidence, reason) -> Column:
@@ -24,11 +29,17 @@ def _result(alert_type, category, outcome, confidence, reason) -> Column:
     )
 
 
-def classify_exact(rule_id: Column) -> Column:
-    """Classification by rule id; null for an unknown id."""
-    hit = dims.lookup(dims.RULES, rule_id)
+def rule_entry(rule_id: Column) -> Column:
+    """Row of the rule table: struct(alert type, category, outcome); null for an unknown id."""
+    return dims.lookup(dims.RULES, rule_id)
+
+
+def classify_exact(entry: Column, rule_id: Column) -> Column:
+    """Classification by rule id, given its row of the rule table."""
     reason = F.concat(F.lit("exact_rule_id:"), rule_id)
-    return F.when(hit.isNotNull(), _result(hit["col1"], hit["col2"], hit["col3"], "High", reason))
+    return F.when(
+        entry.isNotNull(), _result(entry["col1"], entry["col2"], entry["col3"], "High", reason)
+    )
 
 
 def classify_context(groups: Column, description: Column, log: Column) -> Column:
@@ -85,14 +96,22 @@ def classify_context(groups: Column, description: Column, log: Column) -> Column
     return case.otherwise(_result(other, other, "unknown", "Low", "fallback"))
 
 
-def addresses(**candidates: Column) -> Column:
-    """Struct of canonical addresses; plain dotted quads need no further work."""
-    texts = F.array(*candidates.values())
-    canonical = F.when(ip.all_plain(texts), texts).otherwise(F.transform(texts, ip.normalize_ip))
-    return let(canonical, lambda a: F.struct(*[
-        F.coalesce(F.nullif(F.get(a, F.lit(i)), F.lit("")), F.lit(dims.MISSING)).alias(n)
-        for i, n in enumerate(candidates)
-    ]))
+CANDIDATES = ["agent_ip_text", "data_source", "data_destination", *ip.LOG_CANDIDATES]
+
+
+def canonical_addresses() -> Column:
+    """Struct of the candidate columns as canonical addresses, "-" where there is none.
+
+    Dotted quads, the common case, need no further work and are told by one test per column.
+    """
+    c = F.col
+    plain = F.lit(True)
+    for n in CANDIDATES:
+        plain = plain & (c(n).isNull() | c(n).isin("", dims.MISSING) | ip.is_quad(c(n)))
+    as_is = [F.coalesce(F.nullif(c(n), F.lit("")), F.lit(dims.MISSING)).alias(n) for n in CANDIDATES]
+    found = F.transform(F.array(*CANDIDATES), ip.normalize_ip)
+    other = let(found, lambda a: F.struct(*[F.get(a, F.lit(i)).alias(n) for i, n in enumerate(CANDIDATES)]))
+    return F.when(plain, F.struct(*as_is)).otherwise(other)
 
 
 def mitre_fields(ids: Column, tactics: Column, techniques: Column) -> Column:
@@ -100,17 +119,18 @@ def mitre_fields(ids: Column, tactics: Column, techniques: Column) -> Column:
 
     def derived(part: int) -> Column:
         table = {k: v[part] for k, v in dims.ATTACK.items()}
-        return distinct_texts(
-            F.filter(F.transform(ids, lambda x: dims.lookup(table, x)), lambda x: x.isNotNull())
-        )
+        names = F.transform(ids, lambda x: dims.lookup(table, x))
+        return F.array_distinct(F.filter(names, lambda x: x.isNotNull()))
 
-    tactic = F.when(F.size(tactics) > 0, tactics).otherwise(derived(0))
+    given = F.size(tactics) > 0
+    tactic = F.when(given, tactics).otherwise(derived(0))
     technique = F.when(F.size(techniques) > 0, techniques).otherwise(derived(1))
+    stages = F.when(given, distinct_texts(tactics)).otherwise(derived(0))
     return F.struct(
         joined(ids).alias("mitre_ids"),
         joined(tactic).alias("mitre_tactics"),
         joined(technique).alias("mitre_techniques"),
-        joined(distinct_texts(tactic), default="Unmapped").alias("attack_stage"),
+        joined(stages, default="Unmapped").alias("attack_stage"),
     )
 
 
@@ -128,66 +148,65 @@ def normalize_alerts(judged: DataFrame, *keep: str) -> DataFrame:
         jsontext.child_object(raw["_decoder"], "name").alias("decoder_fields"),
     )
 
-    def text(col: Column) -> Column:
-        return clean_text(jsontext.scalar_text(col))
-
-    flat = sections.select(
+    texts = {
+        "event_id": c("raw_id"), "timestamp": c("raw_timestamp"), "agent_id": c("agent._id"),
+        "agent_name": c("agent._name"), "manager_name": c("manager._name"), "rule_id": c("rule._id"),
+        "description": c("rule._description"), "location": c("raw_location"),
+        "decoder": c("decoder_fields._name"), "full_log": c("raw_full_log"),
+    }
+    plain = sections.select(
         *kept,
-        text(c("raw_id")).alias("event_id"),
-        text(c("raw_timestamp")).alias("timestamp"),
-        clock.parse_time(jsontext.scalar_text(c("raw_timestamp"))).alias("time"),
-        text(c("agent._id")).alias("agent_id"),
-        text(c("agent._name")).alias("agent_name"),
+        *[jsontext.scalar_text(col).alias(n) for n, col in texts.items()],
         jsontext.scalar_text(c("agent._ip")).alias("agent_ip_text"),
-        text(c("manager._name")).alias("manager_name"),
-        text(c("rule._id")).alias("rule_id"),
-        clamp_level(jsontext.number(c("rule._level"), 0)).alias("rule_level"),
-        F.transform(jsontext.text_list(c("rule._groups")), F.lower).alias("groups"),
-        text(c("rule._description")).alias("description"),
-        F.greatest(jsontext.number(c("rule._firedtimes"), 1), F.lit(1)).alias("fired_times"),
+        c("rule._level").alias("level"), c("rule._firedtimes").alias("fired"),
+        jsontext.text_list(c("rule._groups")).alias("groups"),
         jsontext.child_object(c("rule._mitre"), *MITRE_LISTS).alias("mitre"),
         jsontext.leaves(c("raw_data")).alias("found"),
-        text(c("raw_location")).alias("location"),
-        text(c("decoder_fields._name")).alias("decoder"),
-        text(c("raw_full_log")).alias("full_log"),
+    )
+    flat = plain.select(
+        *kept,
+        *[clean_text(c(n)).alias(n) for n in texts],
+        clock.parse_time(c("timestamp")).alias("time"),
+        clamp_level(jsontext.number(c("level"), 0)).alias("rule_level"),
+        F.greatest(jsontext.number(c("fired"), 1), F.lit(1)).alias("fired_times"),
+        F.transform("groups", F.lower).alias("groups"),
+        "agent_ip_text", "mitre",
+        *[jsontext.first_leaf(c("found"), names).alias(n) for n, names in LEAVES.items()],
     )
     # Log text is open to outsiders: it names a source only in ssh and pam authentication.
     log_text = F.when(
         c("event_category").isin(dims.AUTH_CATEGORIES) & c("auth_context"), c("full_log")
     )
     from_log = [c(f"address.{n}") for n in ip.LOG_CANDIDATES]
-    lists = flat.withColumns({n: jsontext.text_list(c(f"mitre._{n}")) for n in MITRE_LISTS})
+    lists = flat.withColumns({
+        **{n: jsontext.text_list(c(f"mitre._{n}")) for n in MITRE_LISTS},
+        "rule_entry": rule_entry(c("rule_id")),
+        **{n: clean_text(c(n)) for n in ("actor_user", "data_target", "command")},
+        "log_target": F.when(
+            F.arrays_overlap(c("groups"), dims.literal_array(dims.AUTH_GROUPS)), log_user(c("full_log"))
+        ),
+    })
     enriched = (
         lists.withColumns({
             "class": F.coalesce(
-                classify_exact(c("rule_id")),
+                classify_exact(c("rule_entry"), c("rule_id")),
                 classify_context(c("groups"), c("description"), c("full_log")),
             ),
-            "auth_context": F.arrays_overlap(
-                c("groups"), F.array(F.lit("sshd"), F.lit("ssh"), F.lit("pam"))
-            ),
+            "auth_context": F.arrays_overlap(c("groups"), dims.literal_array(dims.AUTH_GROUPS)),
             "attack": mitre_fields(*[c(n) for n in MITRE_LISTS]),
         })
-        .select("*", "class.*", "attack.*").drop("class", "attack", "mitre", *MITRE_LISTS)
+        .select("*", "class.*", "attack.*").drop("class", "attack", "mitre", "rule_entry", *MITRE_LISTS)
         .withColumns({
-            "address": addresses(
-                agent=c("agent_ip_text"),
-                decoded=jsontext.first_leaf(c("found"), dims.SOURCE_KEYS),
-                destination=jsontext.first_leaf(c("found"), dims.DESTINATION_KEYS),
-                **ip.log_candidates(log_text),
-            ),
-            "actor_user": known_user(jsontext.first_leaf(c("found"), dims.ACTOR_KEYS)),
-            "data_target": known_user(jsontext.first_leaf(c("found"), dims.TARGET_KEYS)),
-            "log_target": F.when(c("auth_context"), known_user(log_user(c("full_log"))))
-            .otherwise(dims.MISSING),
-            "command": clean_text(jsontext.first_leaf(c("found"), dims.COMMAND_KEYS)),
+            **ip.log_candidates(log_text),
+            **{n: known_user(c(n)) for n in ("actor_user", "data_target", "log_target")},
         })
+        .withColumn("address", canonical_addresses())
         .withColumns({
-            "agent_ip": c("address.agent"),
-            "source_ip": first_known(c("address.decoded"), *from_log),
-            "source_confidence": F.when(known(c("address.decoded")), "High")
+            "agent_ip": c("address.agent_ip_text"),
+            "source_ip": first_known(c("address.data_source"), *from_log),
+            "source_confidence": F.when(known(c("address.data_source")), "High")
             .when(known(first_known(*from_log)), "Medium").otherwise("Unknown"),
-            "destination_ip": first_known(c("address.destination"), c("address.agent")),
+            "destination_ip": first_known(c("address.data_destination"), c("address.agent_ip_text")),
             "target_user": F.when(
                 c("event_category").isin(dims.AUTH_CATEGORIES),
                 first_known(c("log_target"), c("data_target")),

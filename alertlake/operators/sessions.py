@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from alertlake import dims
 from alertlake.functions.text import known
 
-KEY = ["manager_name", "agent_id", "affected_asset", "source_ip", "event_category", "identity"]
+KEY_TEXTS = ["manager_name", "agent_id", "affected_asset", "source_ip", "event_category", "identity"]
+# The hash comes first so that sorts compare one number; the texts keep keys exact.
+KEY = ["key_hash", *KEY_TEXTS]
 CELL = [*KEY, "cell", "solo"]
 SESSION = [*KEY, "session_us", "solo"]
 
@@ -50,7 +52,7 @@ def keyed(alerts: DataFrame, minutes: int) -> DataFrame:
         "identity": identity(),
         "cell": F.coalesce(cell_of(us, window_us(minutes)), F.lit(0).cast("bigint")),
         "solo": F.when(us.isNull(), F.col("record_number")).otherwise(F.lit(0)),
-    })
+    }).withColumn("key_hash", F.xxhash64(*KEY_TEXTS))
 
 
 def session_cells(keyed_alerts: DataFrame, minutes: int) -> DataFrame:

@@ -314,7 +314,9 @@ def fn_normalize_username(spark, sf_dir):
     name = pick(
         F.col("e") % 8, u, "By", "(null)", "N/A", "", F.concat(F.lit(" "), u, F.lit("\n")), "unknown", "Nonesuch"
     )
-    return events(spark, sf_dir).select("e", text.known_user(name).alias("username"))
+    return events(spark, sf_dir).select(
+        "e", text.known_user(text.clean_text(name)).alias("username")
+    )
 
 
 @query
@@ -372,7 +374,10 @@ CLASS_COLUMNS = [
 @query
 def classify_exact(spark, sf_dir):
     rule = pick(F.col("e") % (len(dims.RULES) + 2), *sorted(dims.RULES), "1", "-")
-    return events(spark, sf_dir).select("e", normalize.classify_exact(rule).alias("c")).select("e", "c.*")
+    rules = events(spark, sf_dir).select("e", rule.alias("rule"))
+    entries = rules.withColumn("entry", normalize.rule_entry(F.col("rule")))
+    found_class = normalize.classify_exact(F.col("entry"), F.col("rule"))
+    return entries.select("e", found_class.alias("c")).select("e", "c.*")
 
 
 CONTEXT_GROUPS = [
@@ -442,7 +447,7 @@ def export_alerts(spark, sf_dir):
 
 @query
 def correlation_key(spark, sf_dir):
-    return correlation(spark, sf_dir).alerts.select("record_number", *sessions.KEY)
+    return correlation(spark, sf_dir).alerts.select("record_number", *sessions.KEY_TEXTS)
 
 
 @query
@@ -454,13 +459,13 @@ def sessionize(spark, sf_dir):
 @query
 def failure_chain(spark, sf_dir):
     cells = correlation(spark, sf_dir).cells.filter(F.col("event_category") == "Credential Attack")
-    return sessions.session_totals(cells).withColumn("is_chain", is_chain()).drop("event_category", "solo")
+    return sessions.session_totals(cells).withColumn("is_chain", is_chain()).drop("key_hash", "event_category", "solo")
 
 
 @query
 def compromise_match(spark, sf_dir):
     return correlation(spark, sf_dir).matches.select(
-        *[n for n in sessions.KEY if n != "event_category"], "session_us", "record_number", "success_us"
+        *[n for n in sessions.KEY_TEXTS if n != "event_category"], "session_us", "record_number", "success_us"
     )
 
 

@@ -183,7 +183,7 @@ def test_outages_match_a_plain_queue(spark, seed):
         expected[session] = (stops, n - stops, recovered, seconds, len(waiting))
         rows += [(session, us, r, "504" if s else "503") for us, r, s in events]
     df = spark.createDataFrame(rows, "session_us bigint, event_us bigint, record_number bigint, rule_id string").withColumns({
-        **{n: F.lit("x") for n in sessions.KEY}, "event_category": F.lit("Agent Visibility"), "solo": F.lit(0),
+        **{n: F.lit("x") for n in sessions.KEY_TEXTS}, "key_hash": F.lit(1), "event_category": F.lit("Agent Visibility"), "solo": F.lit(0),
     })
     found = {
         r.session_us: (r.stop_count, r.start_count, r.recovered_count, r.recovered_seconds, r.outstanding)
