@@ -186,6 +186,17 @@ COMPROMISE_ADVICE = (
     "立即验证成功登录是否获得授权；隔离可疑会话，轮换相关凭据，"
     "检查登录后的 sudo、进程、文件和网络活动，并保全完整时间线。"
 )
+INCIDENT_SUMMARY = "资产 %s 在 %d 秒内出现 %d 条相关告警，来源 %s，涉及规则 %s；最高 Wazuh 等级 %d。"
+HEALTH_SUMMARY = "资产 %s 的监控覆盖发生变化：%s"
+HEALTH_COUNTS = "检测到 %d 次停止/断连与 %d 次启动/恢复；"
+HEALTH_RECOVERED = "已匹配 %d 个恢复周期，累计中断约 %d 秒。"
+HEALTH_NOT_RECOVERED = "未匹配到完整的停止—恢复周期。"
+HEALTH_OUTSTANDING = "仍有 %d 次停止未见恢复。 "
+POSTURE_COUNTS = " 本次共纳入 %d 条告警，关联形成 %d 个事件，覆盖 %d 台资产和 %d 个已知来源地址；其中高危及以上事件 %d 个。"
+POSTURE_TOP = "最高优先事件为“%s”（%d/100，%d 条证据）。"
+DURATION_SECONDS = "%d 秒"
+DURATION_MINUTES = "%d 分 %d 秒"
+DURATION_HOURS = "%d 小时 %d 分"
 STATUSES = {"Critical": "立即处置", "High": "优先调查", "Medium": "待调查", "Low": "记录观察"}
 UNKNOWN_SOURCE_LABEL = "未知来源"
 UNKNOWN_USER_LABEL = "相关账户"

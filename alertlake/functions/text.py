@@ -97,7 +97,7 @@ def duration_text(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0))
     minutes = F.floor(s / 60)
     return (
-        F.when(s < 60, F.format_string("%d 秒", s.cast("bigint")))
-        .when(minutes < 60, F.format_string("%d 分 %d 秒", minutes, (s % 60).cast("bigint")))
-        .otherwise(F.format_string("%d 小时 %d 分", F.floor(minutes / 60), minutes % 60))
+        F.when(s < 60, F.format_string(dims.DURATION_SECONDS, s.cast("bigint")))
+        .when(minutes < 60, F.format_string(dims.DURATION_MINUTES, minutes, (s % 60).cast("bigint")))
+        .otherwise(F.format_string(dims.DURATION_HOURS, F.floor(minutes / 60), minutes % 60))
     )

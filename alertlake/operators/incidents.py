@@ -184,12 +184,12 @@ def evidence() -> Column:
 def outage_text() -> Column:
     c = F.col
     recovered = F.format_string(
-        "已匹配 %d 个恢复周期，累计中断约 %d 秒。", c("recovered_count"), c("recovered_seconds")
+        dims.HEALTH_RECOVERED, c("recovered_count"), c("recovered_seconds")
     )
     return F.concat(
-        F.format_string("检测到 %d 次停止/断连与 %d 次启动/恢复；", c("stop_count"), c("start_count")),
-        F.when(c("recovered_count") > 0, recovered).otherwise("未匹配到完整的停止—恢复周期。"),
-        F.when(c("outstanding") > 0, F.format_string("仍有 %d 次停止未见恢复。 ", c("outstanding")))
+        F.format_string(dims.HEALTH_COUNTS, c("stop_count"), c("start_count")),
+        F.when(c("recovered_count") > 0, recovered).otherwise(dims.HEALTH_NOT_RECOVERED),
+        F.when(c("outstanding") > 0, F.format_string(dims.HEALTH_OUTSTANDING, c("outstanding")))
         .otherwise(""),
     )
 
@@ -197,12 +197,12 @@ def outage_text() -> Column:
 def incident_summary() -> Column:
     c = F.col
     counted = F.format_string(
-        "资产 %s 在 %d 秒内出现 %d 条相关告警，来源 %s，涉及规则 %s；最高 Wazuh 等级 %d。",
+        dims.INCIDENT_SUMMARY,
         c("affected_asset"), c("duration_seconds"), c("event_count"),
         F.when(known(c("source_ip")), c("source_ip")).otherwise(dims.UNKNOWN_INCIDENT_SOURCE),
         F.array_join("rule_list", ", "), c("max_rule_level"),
     )
-    health = F.format_string("资产 %s 的监控覆盖发生变化：%s", c("affected_asset"), outage_text())
+    health = F.format_string(dims.HEALTH_SUMMARY, c("affected_asset"), outage_text())
     text = F.when(c("key_category") == "Agent Visibility", health).otherwise(counted)
     return F.when(c("compromised"), F.concat(text, F.lit(dims.COMPROMISE_SUMMARY))).otherwise(text)
 

@@ -267,16 +267,19 @@ def metrics(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     def category(name: str, alias: str) -> Column:
         return F.count_if(c("event_category") == name).alias(alias)
 
-    per_alert = alerts.agg(
-        F.count("*").alias("total_alerts"),
-        *[F.count_if(c("risk_level") == b).alias(f"{b.lower()}_alerts") for b in bands],
+    # Distinct counts apart from the rest: they multiply the rows they are computed from.
+    distinct = alerts.agg(F.struct(
         F.countDistinct(F.when(sourced, c("source_ip"))).alias("source_ip_count"),
         F.countDistinct(
             F.when(sourced & (c("source_scope") == "Public/External"), c("source_ip"))
         ).alias("external_source_count"),
-        F.count_if(~sourced).alias("unknown_source_alerts"),
         F.countDistinct(F.struct(*ASSET_KEYS)).alias("asset_count"),
         F.countDistinct("rule_id").alias("rule_count"),
+    ).alias("d")).scalar()
+    per_alert = alerts.agg(
+        F.count("*").alias("total_alerts"),
+        *[F.count_if(c("risk_level") == b).alias(f"{b.lower()}_alerts") for b in bands],
+        F.count_if(~sourced).alias("unknown_source_alerts"),
         category("Credential Attack", "credential_attack_alerts"),
         category("Privilege Activity", "privilege_alerts"),
         category("Agent Visibility", "agent_visibility_alerts"),
@@ -292,14 +295,14 @@ def metrics(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     total = c("total_alerts")
     share = F.bround(F.try_divide(c("mitre_mapped_alerts"), total) * 100, 1)
     return (
-        per_alert.withColumn("incident", per_incident)
+        per_alert.withColumns({"incident": per_incident, "distinct": distinct})
         .withColumns(range_texts())
         .select(
             "total_alerts", "incident.total_incidents",
             *[f"{b.lower()}_alerts" for b in bands],
             *[f"incident.{b.lower()}_incidents" for b in bands],
-            "source_ip_count", "external_source_count", "unknown_source_alerts", "asset_count",
-            "rule_count", "credential_attack_alerts", "privilege_alerts", "agent_visibility_alerts",
+            "distinct.source_ip_count", "distinct.external_source_count", "unknown_source_alerts",
+            "distinct.asset_count", "distinct.rule_count", "credential_attack_alerts", "privilege_alerts", "agent_visibility_alerts",
             "mitre_mapped_alerts", (total - c("mitre_mapped_alerts")).alias("mitre_unmapped_alerts"),
             F.when(total > 0, share).otherwise(0.0).alias("mitre_coverage_percent"),
             "low_confidence_classifications", "first_seen", "last_seen",

@@ -109,11 +109,11 @@ def posture(metrics: DataFrame, incidents: DataFrame) -> DataFrame:
     top_text = F.when(
         c("top").isNotNull(),
         F.format_string(
-            "最高优先事件为“%s”（%d/100，%d 条证据）。", c("top.title"), c("top.risk_score"), c("top.event_count")
+            dims.POSTURE_TOP, c("top.title"), c("top.risk_score"), c("top.event_count")
         ),
     ).otherwise("")
     counted = F.format_string(
-        " 本次共纳入 %d 条告警，关联形成 %d 个事件，覆盖 %d 台资产和 %d 个已知来源地址；其中高危及以上事件 %d 个。",
+        dims.POSTURE_COUNTS,
         c("total_alerts"), c("total_incidents"), c("asset_count"), c("source_ip_count"),
         c("critical_incidents") + c("high_incidents"),
     )

@@ -16,7 +16,7 @@ from alertlake.operators.incidents import queue_order
 from alertlake.operators.normalize import in_display_zone, normalize_alerts
 from alertlake.operators.quality import check_byte_budget, check_strict, quality_stats
 from alertlake.session import prepare, written
-from alertlake.sources.lines import DEFAULT_MAX_LINE_BYTES, judged_lines, numbered_lines
+from alertlake.sources.lines import DEFAULT_MAX_LINE_BYTES, judged_lines, line_prefix, numbered_lines
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,9 @@ def report(spark: SparkSession, paths: str | list[str], options: Options = Optio
     options.bounds()
     clock.zone_offset(F.col("event_us"), options.timezone)
     lines = numbered_lines(spark, paths, options.partitions)
+    if options.line_limit:
+        # One line more than the limit shows that there are more.
+        lines = line_prefix(lines, options.line_limit + 1)
     records = written(load_records(lines, options), "records")
     alerts = written(
         in_display_zone(accepted(records, options.line_limit), options.timezone), "alerts"
