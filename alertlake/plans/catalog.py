@@ -47,15 +47,25 @@ def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], obj
     return _tables[key]
 
 
+def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared("alert_lines", spark, sf_dir, lambda: written(
+        event_alerts.alert_lines(spark, sf_dir), "lines"))
+
+
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared("damaged_lines", spark, sf_dir, lambda: written(
+        event_alerts.damaged_lines(spark, sf_dir), "lines"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("records", spark, sf_dir, lambda: written(
-        load_records(event_alerts.alert_lines(spark, sf_dir)), "records"))
+        load_records(alert_lines(spark, sf_dir)), "records"))
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(**{**FILTERS.__dict__, "max_line_bytes": event_alerts.LINE_CAP})
     return _shared("damaged", spark, sf_dir, lambda: written(
-        load_records(event_alerts.damaged_lines(spark, sf_dir), options), "damaged"))
+        load_records(damaged_lines(spark, sf_dir), options), "damaged"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +102,13 @@ def pick(selector: Column, *choices: Column | str) -> Column:
 
 @query
 def ingest_line_status(spark, sf_dir):
-    judged = lines.judged_lines(event_alerts.damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
+    judged = lines.judged_lines(damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
     return judged.select("record_number", "line_status", "n_bytes")
 
 
 @query
 def ingest_quarantine(spark, sf_dir):
-    judged = lines.judged_lines(event_alerts.damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
+    judged = lines.judged_lines(damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
     return judged.filter(lines.is_status(*lines.REJECTED)).select(
         "record_number", "line_status", F.md5("value").alias("line_md5")
     )
@@ -112,7 +122,7 @@ def ingest_reject_samples(spark, sf_dir):
 
 @query
 def ingest_line_limit(spark, sf_dir):
-    numbered = event_alerts.damaged_lines(spark, sf_dir)
+    numbered = damaged_lines(spark, sf_dir)
     reached = numbered.agg(F.max(F.col("record_number") > LINE_LIMIT)).scalar()
     return lines.line_prefix(numbered, LINE_LIMIT).select(
         "record_number", reached.alias("line_limit_reached")
@@ -121,7 +131,7 @@ def ingest_line_limit(spark, sf_dir):
 
 @query
 def ingest_byte_budget(spark, sf_dir):
-    numbered = event_alerts.damaged_lines(spark, sf_dir)
+    numbered = damaged_lines(spark, sf_dir)
     total = numbered.agg(F.sum(F.octet_length("value") + 1).cast("bigint").alias("input_bytes"))
     return total.withColumn("over_budget", F.col("input_bytes") > 256 * 1024)
 
@@ -348,7 +358,7 @@ def fn_duration(spark, sf_dir):
 
 @query
 def normalize_alerts(spark, sf_dir):
-    judged = lines.judged_lines(event_alerts.alert_lines(spark, sf_dir))
+    judged = lines.judged_lines(alert_lines(spark, sf_dir))
     return normalize.normalize_alerts(judged.filter(lines.is_status("ok"))).select(*dims.ALERT_COLUMNS)
 
 
