@@ -217,7 +217,7 @@ CTES = {
           FROM members WHERE event_category = 'Agent Visibility' AND event_us IS NOT NULL
           WINDOW w AS (PARTITION BY sid ORDER BY event_us, record_number))""",
     "pairs": """
-        SELECT a.sid, count(*) AS recovered_count, sum((b.event_us - a.event_us) // 1000000) AS recovered_seconds
+        SELECT a.sid, count(*) AS recovered_count, CAST(sum((b.event_us - a.event_us) // 1000000) AS BIGINT) AS recovered_seconds
         FROM (SELECT * FROM walk WHERE is_stop) a
         JOIN (SELECT *, starts + lowest AS k,
                 coalesce(lag(lowest) OVER (PARTITION BY sid ORDER BY event_us, record_number), 0) AS lowest_before

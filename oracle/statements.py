@@ -85,7 +85,7 @@ KEPT_COPIES = """
   FROM kept WHERE drop_reason IS NULL
   GROUP BY manager_name, agent_id, event_id, CASE WHEN event_id = '-' THEN record_number ELSE 0 END"""
 STATS = """
-  SELECT count(*) AS total_lines, sum(strlen(value) + 1) AS input_bytes, false AS line_limit_reached,
+  SELECT count(*) AS total_lines, CAST(sum(strlen(value) + 1) AS BIGINT) AS input_bytes, false AS line_limit_reached,
     count(*) FILTER (line_status = 'ok') AS parsed_records, count(*) FILTER (line_status = 'blank') AS blank_lines,
     count(*) FILTER (line_status = 'malformed') AS malformed_json, count(*) FILTER (line_status = 'non_object') AS non_object_records,
     count(*) FILTER (line_status = 'oversized') AS oversized_lines, 0 AS encoding_errors,
@@ -94,7 +94,7 @@ STATS = """
     (SELECT count(*) FROM kept WHERE drop_reason = 'time') AS filtered_by_time,
     (SELECT count(*) FROM kept WHERE drop_reason = 'scope') AS filtered_by_scope,
     (SELECT count(*) FROM kept_copies) AS included_alerts,
-    (SELECT sum(copies) - count(*) FROM kept_copies) AS duplicate_records,
+    (SELECT CAST(sum(copies) - count(*) AS BIGINT) FROM kept_copies) AS duplicate_records,
     count(*) FILTER (line_status IN ('malformed', 'non_object', 'oversized')) AS rejected_records
   FROM damaged"""
 SAMPLES = """
@@ -300,7 +300,7 @@ def _alerts() -> dict[str, str]:
         "filter_time_range": query(f"SELECT record_number, event_us FROM norm WHERE event_us BETWEEN {SINCE} AND {UNTIL}"),
         "filter_scope": query(f"SELECT record_number, event_category FROM norm WHERE event_category IN ({scope})"),
         "dedup_best": query("SELECT record_number, pos, copies, event_id, rule_level, risk_score FROM alerts"),
-        "dedup_count": query("SELECT sum(copies - 1) AS duplicates, count(*) AS kept FROM alerts"),
+        "dedup_count": query("SELECT CAST(sum(copies - 1) AS BIGINT) AS duplicates, count(*) AS kept FROM alerts"),
         "export_alerts": query(f"SELECT {ALERT} FROM alerts"),
         "correlation_key": query(f"SELECT record_number, {KEY} FROM keyed"),
     }
