@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import quality_rules
+from alertlake.llm import line_dedup, quality_rules
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 
@@ -35,3 +35,10 @@ def op1_quality_rules(spark, sf_dir):
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))

@@ -13,7 +13,7 @@ QUALITY_RULES = rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), grams AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM split, unnest(range(1, len(ws) - 6)) AS u(i)
@@ -28,7 +28,7 @@ WITH split AS (
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
-    len(list_filter(ws, w -> lower(w) IN ('{"','".join(STOP_WORDS.split())}'))) AS n_stop,
+    len(list_filter(ws, lambda w: lower(w) IN ('{"','".join(STOP_WORDS.split())}'))) AS n_stop,
     length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
     length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters
   FROM split LEFT JOIN covered USING (doc_id)
@@ -46,4 +46,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-STATEMENTS = {"op1_quality_rules": QUALITY_RULES}
+LINE_DEDUP = """
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > owner) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR doc_id = owner), '')) AS kept_sha256
+FROM keyed LEFT JOIN owners USING (key)
+GROUP BY doc_id
+"""
+
+STATEMENTS = {"op1_quality_rules": QUALITY_RULES, "op4_line_dedup": LINE_DEDUP}
