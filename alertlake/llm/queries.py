@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import line_dedup, quality_rules
+from alertlake.llm import line_dedup, quality_rules, simhash
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 
@@ -42,3 +42,9 @@ def op4_line_dedup(spark, sf_dir):
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
