@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import line_dedup, quality_rules, simhash
+from alertlake.llm import license_scan, line_dedup, quality_rules, simhash
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 
@@ -48,3 +48,8 @@ def op4_line_dedup(spark, sf_dir):
 def op5_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from alertlake.llm.license_texts import TEMPLATES
+
 STOP_WORDS = (
     "the of and to in a is that for it on with as was be by this are "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein "
@@ -63,4 +65,43 @@ FROM keyed LEFT JOIN owners USING (key)
 GROUP BY doc_id
 """
 
-STATEMENTS = {"op1_quality_rules": QUALITY_RULES, "op4_line_dedup": LINE_DEDUP}
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+_PLAIN = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\n.!?;]+', ' ', 'g')"
+_WORDS = "list_filter(string_split(translate({}, chr(10) || '.!?;', '     '), ' '), lambda w: w <> '')"
+
+LICENSE_SCAN = rf"""
+WITH plain AS (SELECT doc_id, {_PLAIN.format("text")} AS t FROM documents WHERE text IS NOT NULL),
+pieces AS (
+  SELECT doc_id, t AS piece FROM plain
+  UNION SELECT doc_id, unnest(regexp_split_to_array(t, '\n *\n')) FROM plain
+  UNION SELECT doc_id, unnest(string_split(t, chr(10))) FROM plain
+  UNION SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?;]) +', '\1' || chr(10), 'g'), chr(10))) FROM plain
+), passages AS (
+  SELECT DISTINCT doc_id, array_to_string({_WORDS.format("piece")}, ' ') AS passage FROM pieces
+), worded AS (
+  SELECT doc_id, passage, string_split(passage, ' ') AS w FROM passages
+), t_words AS (
+  SELECT row_number() OVER () AS tid, licence, {_WORDS.format(_PLAIN.format("txt"))} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(licence, txt)
+), t_grams AS (
+  SELECT DISTINCT tid, w[i] || ' ' || w[i + 1] AS g FROM t_words, unnest(range(1, len(w))) AS u(i)
+), met AS (
+  SELECT doc_id, passage, d.w AS w, tid, licence FROM worded AS d JOIN t_words AS t
+  ON len(d.w) BETWEEN ceil(len(t.w) * 0.8 / 1.2) AND floor(len(t.w) * 1.2 / 0.8)
+), grams AS (
+  SELECT DISTINCT doc_id, passage, tid, licence, w[i] || ' ' || w[i + 1] AS g FROM met, unnest(range(1, len(w))) AS u(i)
+), sizes AS (SELECT tid, count(*) AS n FROM t_grams GROUP BY tid),
+scored AS (
+  SELECT doc_id, passage, licence, 2 * count(t.g) / (count(*) + any_value(n)) AS dice
+  FROM grams AS g JOIN sizes USING (tid) LEFT JOIN t_grams AS t ON t.tid = g.tid AND t.g = g.g
+  GROUP BY doc_id, passage, g.tid, licence
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, licence) AS place FROM scored WHERE dice >= 0.8
+)
+SELECT doc_id, licence, max(dice) AS dice, count(*) AS n_passages FROM best WHERE place = 1 GROUP BY doc_id, licence
+"""
+
+STATEMENTS = {
+    "op1_quality_rules": QUALITY_RULES,
+    "op4_line_dedup": LINE_DEDUP,
+    "op9_license_scan": LICENSE_SCAN,
+}
