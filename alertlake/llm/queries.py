@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import license_scan, line_dedup, quality_rules, simhash
+from alertlake.llm import chat_format, license_scan, line_dedup, quality_rules, simhash
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
+from alertlake.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -53,3 +54,20 @@ def op5_simhash(spark, sf_dir):
 @query
 def op9_license_scan(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat_format(spark, sf_dir):
+    """Rows of the table are records of one turn; conversation -7 comes as a list of messages."""
+    said = "\\### Assistant: </turn> ok"
+    made = F.struct(F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit(said).alias("content")) for role in ("user", "assistant")
+    ]).alias("messages"))
+    given = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"),
+    )
+    own = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.to_json(made).alias("record"))
+    turns = chat_format.canonical_turns(given.unionByName(own), ["conv_id", "turn"])
+    formatted = written(chat_format.formatted_turns(turns), "chat")
+    return chat_format.digests(formatted, "conv_id", ["turn", "pos", "role", "text"])

@@ -100,8 +100,29 @@ scored AS (
 SELECT doc_id, licence, max(dice) AS dice, count(*) AS n_passages FROM best WHERE place = 1 GROUP BY doc_id, licence
 """
 
+_ESCAPED_CHARS = (
+    "length({0}) + length(regexp_replace({0}, '[^\\\\]+', '', 'g')) + len(regexp_extract_all({0}, '</turn>'))"
+    " + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda r: length(r) - 2)), 0)"
+)
+_SAID = r"\### Assistant: </turn> ok"
+
+CHAT_FORMAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_SAID}' UNION ALL SELECT -7, 1, 'assistant', '{_SAID}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + {_ESCAPED_CHARS.format("role")} + length(regexp_replace(role, '[^:]+', '', 'g')) + {_ESCAPED_CHARS.format("text")})::BIGINT
+    AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 STATEMENTS = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_line_dedup": LINE_DEDUP,
     "op9_license_scan": LICENSE_SCAN,
+    "op10_chat_format": CHAT_FORMAT,
 }
