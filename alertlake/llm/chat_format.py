@@ -156,7 +156,7 @@ def escaped(text: Column) -> Column:
     Three number signs or the end mark never occur in the result.
     """
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    hashes = F.regexp_replace(doubled, "#(?=##)", "#\\\\\\\\")
+    hashes = F.regexp_replace(doubled, "#(?=##)", "#\\\\")
     return F.replace(hashes, F.lit("</turn>"), F.lit("<\\/turn>"))
 
 
