@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import chat_format, license_scan, line_dedup, quality_rules, simhash
+from alertlake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -71,3 +71,9 @@ def op10_chat_format(spark, sf_dir):
     turns = chat_format.canonical_turns(given.unionByName(own), ["conv_id", "turn"])
     formatted = written(chat_format.formatted_turns(turns), "chat")
     return chat_format.digests(formatted, "conv_id", ["turn", "pos", "role", "text"])
+
+
+@query
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score")
