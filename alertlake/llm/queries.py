@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash
+from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, simhash
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -77,3 +77,14 @@ def op10_chat_format(spark, sf_dir):
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "score")
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(held_out, F.lit(False))
+    samples = language_id.training_sample(docs.filter(~held_out))
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
