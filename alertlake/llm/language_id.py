@@ -10,7 +10,6 @@ side by side with numpy, one character a step.
 from __future__ import annotations
 
 import math
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ CHARS_PER_LANGUAGE = 40_000
 CHARS_PER_ROW = 20_000
 STRETCH = 1024
 CELLS = 4_000_000
+SLICE = 1_000_000
 UNKNOWN = "und"
 MADE = ["lang_pred", "score"]
 _letters: np.ndarray | None = None
@@ -95,7 +95,7 @@ class Model:
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == points, at + 1, 0)
+        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.int32)
 
     def _table(self, nexts: list[dict[int, int]]) -> np.ndarray:
         """Cell (state, code): twice the next row's offset, plus one where a phrase ends before.
@@ -139,19 +139,38 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, margin): how much less the best needs than the next, as a share of the next."""
-        points = [code_points(t) if t else np.array([32], np.uint32) for t in texts]
-        worded = [i for i, p in enumerate(points) if len(p) > 1]
+        count, worded = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), bool)
+        for owners, slices in _slices(texts):
+            points = [code_points(t) for t in slices]
+            with_letters = [i for i, p in enumerate(points) if len(p) > 1]
+            if with_letters and self.languages:
+                at = np.array([owners[i] for i in with_letters])
+                worded[at] = True
+                np.add.at(count, at, self.phrases([points[i] for i in with_letters]))
         out = [(UNKNOWN, 0.0)] * len(texts)
-        if not self.languages or not worded:
-            return out
-        cost = self.phrases([points[i] for i in worded]) * np.array(self.bits)
-        for i, row in zip(worded, cost):
-            best = int(row.argmin())
-            rest = np.delete(row, best)
-            out[i] = (self.languages[best], float(1 - row[best] / rest.min()) if len(rest) else 1.0)
+        cost = count * np.array(self.bits)
+        for i in np.nonzero(worded)[0]:
+            best = int(cost[i].argmin())
+            rest = np.delete(cost[i], best)
+            out[i] = (self.languages[best], float(1 - cost[i, best] / rest.min()) if len(rest) else 1.0)
         return out
 
 
+def _slices(texts: list[str | None]):
+    """Whole texts in groups of about SLICE characters: (owners, slices); longer texts are several."""
+    owners, slices, size = [], [], 0
+    for i, text in enumerate(texts):
+        for low in range(0, len(text or ""), SLICE):
+            owners.append(i)
+            slices.append(text[low:low + SLICE])
+            size += len(slices[-1])
+            if size >= SLICE:
+                yield owners, slices
+                owners, slices, size = [], [], 0
+    if slices:
+        yield owners, slices
+
+
 def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict[str, str]:
     """At most 40,000 characters of each language, from at most 64 rows in order of the id's hash.
 
