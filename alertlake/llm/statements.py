@@ -120,9 +120,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+WARC = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), latest AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM latest
+"""
+
 STATEMENTS = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_line_dedup": LINE_DEDUP,
+    "op6_warc": WARC,
     "op9_license_scan": LICENSE_SCAN,
     "op10_chat_format": CHAT_FORMAT,
 }
