@@ -24,7 +24,7 @@ TOPICS = 8
 TOPIC_DIMENSIONS = 64
 # Bound of the rows that the topic centres are fitted on.
 TOPIC_SAMPLE = 5000
-FRACTION = 0.5
+FRACTION = 0.3
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 TOLERANCE = 1e-6
 MAX_ROUNDS = 100

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, quality_rules, simhash, warc
+from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, quality_classifier, quality_rules, simhash, warc
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -98,3 +98,8 @@ def op6_warc(spark, sf_dir):
 @query
 def op8_mix_sources(spark, sf_dir):
     return mix_sources.mixed(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
