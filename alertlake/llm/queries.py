@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, quality_classifier, quality_rules, simhash, warc
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
@@ -103,3 +104,8 @@ def op8_mix_sources(spark, sf_dir):
 @query
 def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
