@@ -82,8 +82,8 @@ def text_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("placed", lambda x, k: F.coalesce(same(x, k, -1), F.lit(False)) | F.coalesce(same(x, k, 1), F.lit(False)))
     counted = ordered.withColumn("again", F.sort_array(F.transform(twice, lambda x: x["i"])))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return counted.select(
-        "row", "t",
+    # The generated row keeps later filters on the figures from being worked out further down.
+    figures = F.struct(
         c("n").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         _n_chars(c("t"), r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -93,7 +93,8 @@ def text_figures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
         _n_chars(c("t"), r"[^\p{Lu}]+").alias("n_upper"),
         _n_chars(c("t"), r"[^\p{L}]+").alias("n_letters"),
-    ).select(
+    )
+    return counted.select("row", "t", F.inline(F.array(figures))).select(
         "row", "t", *COUNTS,
         ratio(c("word_chars"), c("n_words")).alias("mean_word_chars"),
         ratio(c("n_symbols"), c("n_words")).alias("symbol_ratio"),
