@@ -26,10 +26,10 @@ COMMAND_KEYS = ["command", "cmd", "process_command_line"]
 
 # rule id: (alert type, event category, outcome)
 RULES = {
-    "503": ("Wazuh Agent Started", "Agent Visibility", "change"),
-    "504": ("Wazuh Agent Disconnected", "Agent Visibility", "failure"),
-    "505": ("Wazuh Agent Removed", "Agent Visibility", "failure"),
-    "506": ("Wazuh Agent Stopped", "Agent Visibility", "failure"),
+    "503": ("Agent Started", "Agent Visibility", "change"),
+    "504": ("Agent Disconnected", "Agent Visibility", "failure"),
+    "505": ("Agent Removed", "Agent Visibility", "failure"),
+    "506": ("Agent Stopped", "Agent Visibility", "failure"),
     "533": ("Network Service Change", "Network Exposure", "change"),
     "550": ("File Integrity Modified", "File Integrity", "change"),
     "553": ("File Integrity Deleted", "File Integrity", "change"),
@@ -74,10 +74,10 @@ SCOPE_CATEGORIES = [
 
 # alert type: points added to the risk score
 TYPE_BONUS = {
-    "Wazuh Agent Removed": 30,
+    "Agent Removed": 30,
     "Malware / Rootkit Detection": 30,
-    "Wazuh Agent Disconnected": 25,
-    "Wazuh Agent Stopped": 25,
+    "Agent Disconnected": 25,
+    "Agent Stopped": 25,
     "Privilege Escalation / Sudo Activity": 22,
     "Vulnerability Detection": 22,
     "SSH Brute Force": 18,
@@ -186,7 +186,7 @@ COMPROMISE_ADVICE = (
     "立即验证成功登录是否获得授权；隔离可疑会话，轮换相关凭据，"
     "检查登录后的 sudo、进程、文件和网络活动，并保全完整时间线。"
 )
-INCIDENT_SUMMARY = "资产 %s 在 %d 秒内出现 %d 条相关告警，来源 %s，涉及规则 %s；最高 Wazuh 等级 %d。"
+INCIDENT_SUMMARY = "资产 %s 在 %d 秒内出现 %d 条相关告警，来源 %s，涉及规则 %s；最高规则等级 %d。"
 HEALTH_SUMMARY = "资产 %s 的监控覆盖发生变化：%s"
 HEALTH_COUNTS = "检测到 %d 次停止/断连与 %d 次启动/恢复；"
 HEALTH_RECOVERED = "已匹配 %d 个恢复周期，累计中断约 %d 秒。"
@@ -226,7 +226,7 @@ POSTURES = {
 ALERT_COLUMNS = [
     "record_number", "event_id", "timestamp", "agent_id", "agent_name", "agent_ip", "manager_name",
     "source_ip", "source_scope", "source_confidence", "destination_ip", "username", "actor_user",
-    "target_user", "command", "rule_id", "rule_level", "wazuh_severity", "alert_type",
+    "target_user", "command", "rule_id", "rule_level", "rule_severity", "alert_type",
     "event_category", "outcome", "classification_confidence", "classification_reason",
     "description", "fired_times", "affected_asset", "mitre_ids", "mitre_tactics",
     "mitre_techniques", "attack_stage", "risk_score", "risk_level", "response_suggestion",
@@ -254,7 +254,7 @@ ASSET_SUMMARY_COLUMNS = [
     "low_count", "first_seen", "last_seen", "top_alert_types", "source_ips",
 ]
 RULE_SUMMARY_COLUMNS = [
-    "rule_id", "description", "alert_count", "rule_level", "wazuh_severity", "max_risk_score",
+    "rule_id", "description", "alert_count", "rule_level", "rule_severity", "max_risk_score",
     "max_risk_level", "affected_assets",
 ]
 MITRE_SUMMARY_COLUMNS = [

@@ -18,11 +18,11 @@ from alertlake.functions.text import let, strip
 _DATE = r"\d{4}-?\d{2}-?\d{2}|\d{4}-?W\d{2}(?:-?[1-7])?"
 _CLOCK = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
 _OFFSET = r"Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?"
-_STAMP = rf"(?s)^({_DATE})(?:.({_CLOCK})({_OFFSET})?)?$"
+_STAMP = rf"(?s)^({_DATE})(?:.({_CLOCK})({_OFFSET})?)?\z"
 # The layout alert managers write; years and offsets every cast accepts.
 _USUAL = (
     r"^(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}"
-    r"(?:Z|[+-](?:0\d|1[0-4]):?(?:00|15|30|45))$"
+    r"(?:Z|[+-](?:0\d|1[0-4]):?(?:00|15|30|45))\z"
 )
 _DAY_US = 86_400_000_000
 
@@ -50,8 +50,8 @@ def _day_number(date: Column) -> Column:
     calendar = F.when(F.contains(date, F.lit("-")), date).otherwise(dashed)
     return (
         F.when(date.startswith("0000"), None)
-        .when(date.rlike(r"^\d{4}(?:-W\d{2}(?:-\d)?|W\d{2}\d?)$"), _week_day(date))
-        .when(date.rlike(r"^\d{4}(?:-\d{2}-\d{2}|\d{4})$"), F.unix_date(calendar.try_cast("date")))
+        .when(date.rlike(r"^\d{4}(?:-W\d{2}(?:-\d)?|W\d{2}\d?)\z"), _week_day(date))
+        .when(date.rlike(r"^\d{4}(?:-\d{2}-\d{2}|\d{4})\z"), F.unix_date(calendar.try_cast("date")))
     )
 
 

@@ -14,7 +14,7 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _GROUP = "[0-9a-f]{1,4}"
 _GROUPS = f"{_GROUP}(?::{_GROUP})*"
-_V6 = f"^(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUPS})?::(?:{_GROUPS})?)$"
+_V6 = rf"^(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUPS})?::(?:{_GROUPS})?)\z"
 
 
 def v4_number(text: Column) -> Column:
@@ -23,12 +23,12 @@ def v4_number(text: Column) -> Column:
     total = F.lit(0).cast("bigint")
     for i in range(4):
         total = total * 256 + F.get(parts, F.lit(i)).try_cast("bigint")
-    return F.when(text.rlike(f"^{_V4}$"), total)
+    return F.when(text.rlike(rf"^{_V4}\z"), total)
 
 
 def _quad_as_groups(text: Column) -> Column:
     """IPv6 text whose tail is a dotted quad, with that tail as two hexadecimal groups."""
-    number = v4_number(F.regexp_extract(text, f"^.*:({_V4})$", 1))
+    number = v4_number(F.regexp_extract(text, rf"^.*:({_V4})\z", 1))
     return F.when(
         F.contains(text, F.lit(".")),
         let(number, lambda n: F.concat(
@@ -66,7 +66,7 @@ def v6_text(digits: Column) -> Column:
     def fold(plain: Column) -> Column:
         case = F
         for n in range(8, 1, -1):
-            run = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|\z)(.*)\z"
             case = case.when(plain.rlike(run), F.regexp_replace(plain, run, "$1::$2"))
         return case.otherwise(plain)
 
@@ -84,9 +84,9 @@ def normalize_ip(c: Column) -> Column:
     """Canonical address text: wrappers, zone and an IPv4 port removed; "-" if not an address."""
 
     def canonical(bare: Column) -> Column:
-        host = F.regexp_extract(bare, r"^([0-9.]+)(?::[0-9]+)?$", 1)
+        host = F.regexp_extract(bare, r"^([0-9.]+)(?::[0-9]+)?\z", 1)
         return (
-            F.when(bare.rlike(f"^{_V4}(?::[0-9]+)?$"), host)
+            F.when(bare.rlike(rf"^{_V4}(?::[0-9]+)?\z"), host)
             .when(bare.rlike("^[^:]*:[^:]*:"), v6_text(v6_hex(bare)))
         )
 
@@ -95,7 +95,7 @@ def normalize_ip(c: Column) -> Column:
 
 
 def is_quad(c: Column) -> Column:
-    return c.rlike(f"^{_V4}$")
+    return c.rlike(rf"^{_V4}\z")
 
 
 def first_ip(*cols: Column) -> Column:

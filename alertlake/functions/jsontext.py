@@ -58,6 +58,12 @@ def is_sound(parsed: Column) -> Column:
     return parsed["seal"].isNotNull() & parsed["bad"].isNull()
 
 
+def has_foreign_number(line: Column) -> Column:
+    """Whether a number outside strings is spelled in a way that only Spark's reader accepts."""
+    bare = F.regexp_replace(mark_strings(line), '"[^"]*"', "")
+    return F.contains(line, F.lit("INF")) & bare.rlike("[+-]INF") | F.contains(line, F.lit("+Infinity")) & bare.contains("+Infinity")
+
+
 def child_object(text: Column, *names: str) -> Column:
     """Fields of a marked value; all null where it is not an object."""
     return F.from_json(F.when(is_object(text), text), _fields(*names), _STRICT)
@@ -88,7 +94,7 @@ def number(text: Column, default: int) -> Column:
     cut = F.when(text.rlike("^-?[0-9]"), text.try_cast("double").try_cast("bigint"))
     quoted = F.when(text.startswith("_"), whole_number(F.substr(text, F.lit(2)), default))
     rest = F.coalesce(as_bool, quoted, cut, F.lit(default).cast("bigint"))
-    return F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint")).otherwise(rest)
+    return F.when(text.rlike(r"^[0-9]{1,18}\z"), text.try_cast("bigint")).otherwise(rest)
 
 
 def text_list(text: Column) -> Column:
@@ -106,17 +112,22 @@ def text_list(text: Column) -> Column:
 def _pairs(text: Column) -> Column:
     """Members of an object as array<struct<k, v>>; the last of repeated names counts."""
 
+    def at(found: Column, i: Column) -> Column:
+        return F.coalesce(F.get(found, i)["key"], F.lit(""))
+
     def last_of_each(found: Column) -> Column:
-        names = F.array_distinct(F.transform(found, lambda p: p["key"]))
-        last = F.transform(
-            names,
-            lambda n: F.struct(
-                n.alias("k"),
-                F.element_at(F.filter(found, lambda p: p["key"] == n), -1)["value"].alias("v"),
-            ),
-        )
+        # Sorted by name and place, the first of a run has the place and the last the value.
+        placed = F.transform(found, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value")))
+
+        def merged(runs: Column) -> Column:
+            first = F.filter(runs, lambda p, i: (i == 0) | (at(runs, i - 1) != p["key"]))
+            last = F.filter(runs, lambda p, i: (i == F.size(runs) - 1) | (at(runs, i + 1) != p["key"]))
+            both = F.zip_with(first, last, lambda x, y: F.struct(x["i"].alias("i"), x["key"].alias("k"), y["value"].alias("v")))
+            return F.transform(F.sort_array(both), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+
         every = F.transform(found, lambda p: F.struct(p["key"].alias("k"), p["value"].alias("v")))
-        return F.when(F.size(names) == F.size(found), every).otherwise(last)
+        distinct = F.array_distinct(F.transform(found, lambda p: p["key"]))
+        return F.when(F.size(distinct) == F.size(found), every).otherwise(let(F.sort_array(placed), merged))
 
     return let(F.map_entries(F.from_json(text, "map<string,string>", _STRICT)), last_of_each)
 
@@ -148,17 +159,28 @@ def _scalars(members: Column) -> Column:
     )
 
 
+def _depth(text: Column) -> Column:
+    """Greatest number of containers open at once; brackets inside strings do not count."""
+    brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^{}\[\]]+", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(s: Column, bracket: Column) -> Column:
+        now = s["open"] + F.when(bracket.isin("{", "["), 1).when(bracket.isin("}", "]"), -1).otherwise(0)
+        return let(now, lambda n: F.struct(n.alias("open"), F.greatest(s["most"], n).alias("most")))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"])
+
+
 def leaves(text: Column) -> Column:
     """All named scalars of a marked object, breadth first, as array<struct<k, v>>.
 
-    A flat object is read in one step. Otherwise the walk goes one nesting level per step; the
-    number of opening brackets bounds the depth.
+    A flat object is read in one step. Otherwise the walk goes one nesting level per step; what
+    each level holds is kept apart and flattened once at the end.
     """
-    depth = F.length(text) - F.length(F.translate(text, "{[", ""))
     level = "array<string>"
     pairs = "array<struct<k:string,v:string>>"
     start = F.struct(
-        F.array(text).cast(level).alias("level"), F.array().cast(pairs).alias("found")
+        F.array(text).cast(level).alias("level"), F.array().cast(f"array<{pairs}>").alias("found")
     )
 
     def step(state: Column, _: Column) -> Column:
@@ -166,15 +188,15 @@ def leaves(text: Column) -> Column:
             inner = F.filter(members, lambda m: _is_container(m["v"]))
             return F.struct(
                 F.transform(inner, lambda m: m["v"]).alias("level"),
-                F.concat(state["found"], _scalars(members)).alias("found"),
+                F.array_append(state["found"], _scalars(members)).alias("found"),
             )
 
         return let(F.flatten(F.transform(state["level"], _members)), advance)
 
-    walked = F.aggregate(F.sequence(F.lit(1), depth), start, step, lambda s: s["found"])
+    walked = F.aggregate(F.sequence(F.lit(1), _depth(text)), start, step, lambda s: F.flatten(s["found"]))
     return (
         F.when(text.isNull() | ~is_object(text) | (text == "{}"), F.array().cast(pairs))
-        .when(text.rlike("^[{][^{\\[]*$"), _scalars(_pairs(text)))
+        .when(text.rlike(r"^[{][^{\[]*\z"), _scalars(_pairs(text)))
         .otherwise(walked)
     )
 

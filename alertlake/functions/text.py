@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from alertlake import dims
 
-# Printable ASCII that neither starts nor ends with a blank.
-_PLAIN = "^[!-~](?:[ -~]*[!-~])?$"
+# Printable ASCII that neither starts nor ends with a blank. The end is \z: a dollar sign would also
+# match before a final line break.
+_PLAIN = r"^[!-~](?:[ -~]*[!-~])?\z"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -225,7 +225,7 @@ def normalize_alerts(judged: DataFrame, *keep: str) -> DataFrame:
             scoring.alert_score(c("rule_id"), c("rule_level"), c("alert_type"), c("source_scope")),
         )
         .withColumns({
-            "wazuh_severity": scoring.severity(c("rule_level")),
+            "rule_severity": scoring.severity(c("rule_level")),
             "risk_level": scoring.risk_level(c("risk_score")),
         })
         .withColumn(

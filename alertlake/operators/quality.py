@@ -66,7 +66,7 @@ def quality_stats(records: DataFrame, alerts: DataFrame, line_limit: int = 0) ->
 
 
 def check_byte_budget(stats: dict, max_input_bytes: int) -> None:
-    if max_input_bytes and stats["input_bytes"] > max_input_bytes:
+    if max_input_bytes and (stats["input_bytes"] or 0) > max_input_bytes:
         raise InputRejected(
             f"input has {stats['input_bytes']} bytes, more than max_input_bytes ({max_input_bytes})"
         )
@@ -100,13 +100,13 @@ def quality_table(stats: DataFrame, metrics: DataFrame) -> DataFrame:
         ("有效 JSON 对象", c("parsed_records"), F.format_string("解析成功率 %.2f%%", c("parse_success_rate"))),
         ("损坏 JSON", c("malformed_json"), F.concat(F.lit(sample), _list_text("malformed_line_samples"))),
         ("非对象 JSON", c("non_object_records"), "数组或标量不会作为告警处理"),
-        ("超长输入行", c("oversized_lines"), F.concat(F.lit(f"超过 --max-line-bytes；{sample}"), _list_text("oversized_line_samples"))),
+        ("超长输入行", c("oversized_lines"), F.concat(F.lit(f"超过 max_line_bytes；{sample}"), _list_text("oversized_line_samples"))),
         ("编码错误", c("encoding_errors"), F.concat(F.lit(f"非 UTF-8 输入已拒绝；{sample}"), _list_text("encoding_error_samples"))),
         ("重复事件 ID", c("duplicate_records"), "重复记录已排除"),
         ("无效时间戳", c("invalid_timestamps"), "使用时间筛选时会被排除"),
-        ("等级过滤", c("filtered_by_level"), "低于 --min-level"),
-        ("时间过滤", c("filtered_by_time"), "不在 --since/--until 范围"),
-        ("场景过滤", c("filtered_by_scope"), "--soc-only 排除"),
+        ("等级过滤", c("filtered_by_level"), "低于 min_level"),
+        ("时间过滤", c("filtered_by_time"), "不在 since/until 范围"),
+        ("场景过滤", c("filtered_by_scope"), "scope_only 排除"),
         ("最终纳入", c("included_alerts"), "用于本报告"),
         ("来源未知", c("m.unknown_source_alerts"), "不会回退为 Agent/资产 IP"),
         ("低置信度分类", c("m.low_confidence_classifications"), "建议补充精确规则映射"),

@@ -157,7 +157,7 @@ def by_rule(alerts: DataFrame) -> DataFrame:
         )
         .join(ordered_values(alerts, keys, "affected_asset", "affected_assets"), keys, "left")
         .withColumns({
-            "wazuh_severity": severity(c("rule_level")),
+            "rule_severity": severity(c("rule_level")),
             "max_risk_level": risk_level(c("max_risk_score")),
             "affected_assets": F.coalesce("affected_assets", F.lit("")),
         })

@@ -94,8 +94,8 @@ CTES = {
           ('5710', 'SSH Invalid Username', 'Credential Attack', 'failure', 'High', 12, 'T1110.001, T1021.004', 'Credential Access, Lateral Movement', 'Password Guessing, SSH'),
           ('5715', 'SSH Authentication Success', 'Authentication Success', 'success', 'High', 0, 'T1078', 'Initial Access, Persistence', 'Valid Accounts'),
           ('5402', 'Privilege Escalation / Sudo Activity', 'Privilege Activity', 'success', 'High', 22, 'T1548.003', 'Privilege Escalation', 'Sudo and Sudo Caching'),
-          ('503', 'Wazuh Agent Started', 'Agent Visibility', 'change', 'High', 0, '-', '-', '-'),
-          ('504', 'Wazuh Agent Disconnected', 'Agent Visibility', 'failure', 'High', 25, '-', '-', '-'),
+          ('503', 'Agent Started', 'Agent Visibility', 'change', 'High', 0, '-', '-', '-'),
+          ('504', 'Agent Disconnected', 'Agent Visibility', 'failure', 'High', 25, '-', '-', '-'),
           ('100030', 'Port Scan', 'Reconnaissance', 'failure', 'High', 18, '-', '-', '-'),
           ('31101', 'Web Directory Brute Force', 'Reconnaissance', 'failure', 'Medium', 16, 'T9999', '-', 'Unlisted')
         ) AS t(rule_id, alert_type, event_category, outcome, classification_confidence, bonus, mitre_ids, mitre_tactics, mitre_techniques)""",
@@ -138,7 +138,7 @@ CTES = {
           'events' AS location
         FROM facts""",
     "norm": f"""
-        SELECT *, {severity('rule_level')} AS wazuh_severity, {band('risk_score')} AS risk_level,
+        SELECT *, {severity('rule_level')} AS rule_severity, {band('risk_score')} AS risk_level,
           {advice('event_category', 'alert_type', 'source_ip', "CASE WHEN event_category = 'Privilege Activity' THEN actor_user ELSE target_user END", band('risk_score'))} AS response_suggestion
         FROM scored""",
     "best": """
@@ -277,7 +277,7 @@ CTES = {
               || CASE WHEN outstanding > 0 THEN '仍有 ' || outstanding || ' 次停止未见恢复。 ' ELSE '' END
             ELSE '资产 ' || affected_asset || ' 在 ' || duration_seconds || ' 秒内出现 ' || event_count || ' 条相关告警，来源 '
               || CASE WHEN source_ip = '-' THEN '{dims.UNKNOWN_INCIDENT_SOURCE}' ELSE source_ip END || '，涉及规则 ' || rule_ids
-              || '；最高 Wazuh 等级 ' || max_rule_level || '。' END
+              || '；最高规则等级 ' || max_rule_level || '。' END
             || CASE WHEN compromised THEN '{dims.COMPROMISE_SUMMARY}' ELSE '' END AS summary,
           CASE WHEN compromised THEN '{dims.COMPROMISE_ADVICE}' ELSE
             {advice('event_category', 'w.alert_type', 'source_ip', "coalesce(CASE WHEN event_category = 'Privilege Activity' THEN first_actor END, first_target, '-')", 'risk_level')} END AS recommendation,

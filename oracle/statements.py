@@ -50,7 +50,7 @@ JSON_LINE = """
   SELECT record_number, e, '{"timestamp":"' || stamp || '","id":"' || raw_id || '","rule":{"id":"' || rule_id
     || '","level":' || level || ',"description":"rule ' || rule_id || '","groups":'
     || CASE rule_id WHEN '5715' THEN '["sshd","authentication_success"]' WHEN '5402' THEN '["sudo"]'
-         WHEN '503' THEN '["wazuh"]' WHEN '504' THEN '["wazuh"]' WHEN '100030' THEN '["firewall","port_scan"]'
+         WHEN '503' THEN '["agent_health"]' WHEN '504' THEN '["agent_health"]' WHEN '100030' THEN '["firewall","port_scan"]'
          WHEN '31101' THEN '["web","accesslog"]' ELSE '["sshd","authentication_failed"]' END
     || ',"firedtimes":' || e % 4
     || CASE rule_id WHEN '5712' THEN ',"mitre":{"id":["T1110"]}'
@@ -129,11 +129,11 @@ def _quality_table() -> str:
         ("有效 JSON 对象", "parsed_records", "'解析成功率 ' || printf('%.2f', parse_success_rate) || '%'"),
         ("损坏 JSON", "malformed_json", f"'{sample}' || {listed('malformed_line_samples')}"),
         ("非对象 JSON", "non_object_records", "'数组或标量不会作为告警处理'"),
-        ("超长输入行", "oversized_lines", f"'超过 --max-line-bytes；{sample}' || {listed('oversized_line_samples')}"),
+        ("超长输入行", "oversized_lines", f"'超过 max_line_bytes；{sample}' || {listed('oversized_line_samples')}"),
         ("编码错误", "encoding_errors", f"'非 UTF-8 输入已拒绝；{sample}-'"),
         ("重复事件 ID", "duplicate_records", "'重复记录已排除'"), ("无效时间戳", "invalid_timestamps", "'使用时间筛选时会被排除'"),
-        ("等级过滤", "filtered_by_level", "'低于 --min-level'"), ("时间过滤", "filtered_by_time", "'不在 --since/--until 范围'"),
-        ("场景过滤", "filtered_by_scope", "'--soc-only 排除'"), ("最终纳入", "included_alerts", "'用于本报告'"),
+        ("等级过滤", "filtered_by_level", "'低于 min_level'"), ("时间过滤", "filtered_by_time", "'不在 since/until 范围'"),
+        ("场景过滤", "filtered_by_scope", "'scope_only 排除'"), ("最终纳入", "included_alerts", "'用于本报告'"),
         ("来源未知", "(SELECT count(*) FROM kept_copies WHERE source_ip = '-')", "'不会回退为 Agent/资产 IP'"),
         ("低置信度分类", "0", "'建议补充精确规则映射'"),
     ]
@@ -269,6 +269,13 @@ def _functions() -> dict[str, str]:
 
 def _ingest() -> dict[str, str]:
     return {
+        "src_lines": ingest(
+            "SELECT count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM json_line WHERE record_number < 10000000"),
+        "src_line_number": ingest(
+            "SELECT row_number() OVER (ORDER BY record_number) AS record_number, md5(line) AS line_md5 FROM json_line WHERE record_number < 10000000"),
+        "ingest_strict": ingest(
+            "SELECT " + ", ".join(f"count(*) FILTER (line_status = '{s}') AS n_{s}" for s in ("malformed", "non_object", "oversized", "encoding"))
+            + ", count(*) FILTER (line_status IN ('malformed', 'non_object', 'oversized')) > 0 AS refused FROM damaged"),
         "ingest_line_status": ingest("SELECT record_number, line_status, strlen(value) + 1 AS n_bytes FROM damaged"),
         "ingest_quarantine": ingest(
             "SELECT record_number, line_status, md5(value) AS line_md5 FROM damaged WHERE line_status IN ('malformed', 'non_object', 'oversized')"),
@@ -288,7 +295,7 @@ def _alerts() -> dict[str, str]:
         "source_attribution": "source_ip, source_scope, source_confidence, destination_ip",
         "user_attribution": "username, actor_user, target_user, command",
         "affected_asset": "affected_asset, agent_name, agent_ip, manager_name",
-        "alert_risk_score": "rule_level, wazuh_severity, risk_score, risk_level",
+        "alert_risk_score": "rule_level, rule_severity, risk_score, risk_level",
         "mitre_enrich": "mitre_ids, mitre_tactics, mitre_techniques, attack_stage",
         "response_text": "response_suggestion",
     }
@@ -377,7 +384,7 @@ def _summaries() -> dict[str, str]:
       LEFT JOIN ({top(asset, 'alert_type', 'top_alert_types')}) USING ({asset})
       LEFT JOIN ({top(asset, src, 'source_ips')}) USING ({asset})
       LEFT JOIN (SELECT {asset}, count(*) AS incident_count FROM incidents GROUP BY {asset}) USING ({asset})"""
-    by_rule = f"""SELECT c.*, {severity('rule_level')} AS wazuh_severity, coalesce(affected_assets, '') AS affected_assets
+    by_rule = f"""SELECT c.*, {severity('rule_level')} AS rule_severity, coalesce(affected_assets, '') AS affected_assets
       FROM (SELECT rule_id, description, count(*) AS alert_count, max(rule_level) AS rule_level, max(risk_score) AS max_risk_score,
           {band('max(risk_score)')} AS max_risk_level, min(pos) AS first_pos FROM alerts GROUP BY rule_id, description) c
       LEFT JOIN ({distinct('rule_id, description', 'affected_asset', 'affected_assets')}) USING (rule_id, description)"""
@@ -501,4 +508,9 @@ def _posture() -> str:
 
 
 def all_statements() -> dict[str, str]:
-    return {**_ingest(), **_functions(), **_alerts(), **_incidents(), **_summaries()}
+    made = {**_ingest(), **_functions(), **_alerts(), **_incidents(), **_summaries()}
+    headline = "total_alerts, total_incidents, source_ip_count, asset_count, highest_risk_score"
+    return made | {
+        "sink_csv": query("SELECT pos, event_id, rule_id, source_ip, target_user, full_log FROM alerts"),
+        "sink_json": f"SELECT {headline} FROM ({made['metrics']})",
+    }

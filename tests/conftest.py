@@ -10,22 +10,26 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from alertlake.plans.analysis import Options, accepted, load_records  # noqa: E402
-from alertlake.session import prepare, written  # noqa: E402
+from alertlake.session import discard_written, prepare, written  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (
         SparkSession.builder.master("local[8]").appName("alertlake-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", f"{shared}/work")
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)
+    discard_written(session)
     session.stop()
 
 

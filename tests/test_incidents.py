@@ -18,11 +18,11 @@ DAY = "2026-07-26T"
 
 
 def stop(event_id, time, **more):
-    return raw_alert(event_id, DAY + time, "506", 3, groups=["wazuh"], full_log="stopped", **more)
+    return raw_alert(event_id, DAY + time, "506", 3, groups=["agent_health"], full_log="stopped", **more)
 
 
 def start(event_id, time, **more):
-    return raw_alert(event_id, DAY + time, "503", 3, groups=["wazuh"], full_log="started", **more)
+    return raw_alert(event_id, DAY + time, "503", 3, groups=["agent_health"], full_log="started", **more)
 
 
 # One agent per scenario keeps them apart in a single run.

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from alertlake.plans import catalog
+from oracle import statements
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
+QUERIES, STATEMENTS = catalog.registered(), statements.all_statements()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,7 @@ def rows_of(columns, rows):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert QUERIES.keys() <= contract.queries().keys() and STATEMENTS.keys() <= contract.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
