@@ -16,7 +16,7 @@ from alertlake.operators.incidents import queue_order
 from alertlake.operators.normalize import in_display_zone, normalize_alerts
 from alertlake.operators.quality import check_byte_budget, check_strict, quality_stats
 from alertlake.session import prepare, written
-from alertlake.sources.lines import DEFAULT_MAX_LINE_BYTES, judged_lines, line_prefix, numbered_lines
+from alertlake.sources.lines import judged_lines, line_prefix, numbered_lines
 
 
 @dataclass(frozen=True)
@@ -28,13 +28,20 @@ class Options:
     until: str | None = None
     scope_only: bool = False
     line_limit: int = 0
-    max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+    max_line_bytes: int = 0
     max_input_bytes: int = 0
     strict: bool = False
     timezone: str = "input"
     incident_window_minutes: int = 10
     partitions: int | None = None
 
+    def __post_init__(self) -> None:
+        for name in ("line_limit", "max_line_bytes", "max_input_bytes"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
+        if self.incident_window_minutes < 1:
+            raise ValueError("incident_window_minutes must be at least 1")
+
     def bounds(self) -> tuple[int | None, int | None]:
         since, until = clock.filter_bound(self.since), clock.filter_bound(self.until)
         if since is not None and until is not None and since > until:
@@ -114,14 +121,16 @@ def report(spark: SparkSession, paths: str | list[str], options: Options = Optio
     if options.line_limit:
         # One line more than the limit shows that there are more.
         lines = line_prefix(lines, options.line_limit + 1)
+    if options.max_input_bytes:
+        # Sizes only: an input over the budget is refused before anything is parsed.
+        counted = lines.agg(F.sum(F.octet_length("value") + 1).alias("input_bytes")).first().asDict()
+        check_byte_budget(counted, options.max_input_bytes)
     records = written(load_records(lines, options), "records")
     alerts = written(
         in_display_zone(accepted(records, options.line_limit), options.timezone), "alerts"
     )
     stats = written(quality_stats(records, alerts, options.line_limit), "stats")
-    counted = stats.first().asDict()
-    check_byte_budget(counted, options.max_input_bytes)
     if options.strict:
-        check_strict(counted)
+        check_strict(stats.first().asDict())
     result = analyze(alerts, options.incident_window_minutes, options.timezone)
     return Report(result, stats, options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from alertlake.operators.compromise import is_chain
 from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
 from alertlake.plans.analysis import Options, accepted, load_records
-from alertlake.session import prepare, written
+from alertlake.plans.publish import write_csv
+from alertlake.session import discard_written, prepare, work_dir, written
 from alertlake.sources import event_alerts, lines
 
 WINDOW = 1440
@@ -22,9 +24,12 @@ FILTERS = Options(
     min_level=3, since="2024-01-05T00:00:00+00:00", until="2024-01-25T00:00:00+00:00", scope_only=True
 )
 LINE_LIMIT = 500
+# Names of the tables that several queries share.
+SHARED = ["lines", "damaged", "records", "alerts", "cells", "matches", "incidents"]
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
-_tables: dict[tuple, object] = {}
+_tables: dict[str, object] = {}
+_tables_of: list[tuple] = []
 
 
 def query(function: Query, name: str | None = None) -> Query:
@@ -40,11 +45,22 @@ def registered() -> dict[str, Query]:
 
 
 def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object]):
-    """Tables many queries start from are built once per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _tables:
-        _tables[key] = build()
-    return _tables[key]
+    """Tables many queries start from are built once for the latest input.
+
+    An input is its path with sizes and times of its files; another one starts afresh, and the
+    tables of the one before are deleted.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/events.parquet")
+    state = tuple(map(tuple, files.select("path", "length", "modificationTime").orderBy("path").collect()))
+    now = (spark.sparkContext.applicationId, sf_dir, state)
+    if _tables_of != [now]:
+        if _tables_of and _tables_of[0][0] == now[0]:
+            discard_written(spark, *SHARED)
+        _tables.clear()
+        _tables_of[:] = [now]
+    if name not in _tables:
+        _tables[name] = build()
+    return _tables[name]
 
 
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +116,71 @@ def pick(selector: Column, *choices: Column | str) -> Column:
 # ------------------------------------------------------------------ input
 
 
+def _alert_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The alert lines as files in order: a folder of plain parts, then one of packed parts."""
+    rows = event_alerts.alert_lines(spark, sf_dir).filter(F.col("record_number") < event_alerts.DUPLICATE_BASE)
+    root = f"{work_dir(spark).rstrip('/')}/alert-files-{uuid.uuid4().hex}"
+    middle = rows.agg(F.percentile_approx("record_number", 0.5)).first()[0] or 0
+    parts = {"a-plain": F.col("record_number") <= middle, "b-packed": F.col("record_number") > middle}
+    for name, mine in parts.items():
+        dealt = rows.filter(mine).repartitionByRange(4, "record_number").sortWithinPartitions("record_number")
+        codec = {"compression": "gzip"} if name == "b-packed" else {}
+        dealt.select("value").write.options(**codec).text(f"{root}/{name}")
+    return [f"{root}/{name}" for name in parts]
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the files, scanned in small splits, so that most files are several blocks."""
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        return lines.numbered_lines(spark, _alert_files(spark, sf_dir))
+    finally:
+        spark.conf.set(setting, before)
+
+
+@query
+def src_lines(spark, sf_dir):
+    scanned = _numbered(spark, sf_dir)
+    return scanned.agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("n_bytes"))
+
+
+@query
+def src_line_number(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("record_number", F.md5("value").alias("line_md5"))
+
+
+@query
+def ingest_strict(spark, sf_dir):
+    """What the strict gate decides on: rejected lines by kind, and whether the run is refused."""
+    counts = damaged(spark, sf_dir).agg(*[
+        F.count_if(F.col("line_status") == status).alias(f"n_{status}") for status in lines.REJECTED
+    ])
+    return counts.withColumn("refused", sum(F.col(f"n_{status}") for status in lines.REJECTED) > 0)
+
+
+@query
+def sink_csv(spark, sf_dir):
+    """Alerts written as CSV and read back."""
+    path = f"{work_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    columns = ["event_id", "rule_id", "source_ip", "target_user", "full_log"]
+    write_csv(alerts(spark, sf_dir), ["pos", *columns], path)
+    schema = "pos bigint, " + ", ".join(f"{name} string" for name in columns)
+    read = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, emptyValue="", nullValue="")
+    return read.fillna("", columns)
+
+
+@query
+def sink_json(spark, sf_dir):
+    """The headline numbers written as one JSON text and read back."""
+    path = f"{work_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+    metrics(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    value = spark.read.text(path, wholetext=True)
+    names = ["total_alerts", "total_incidents", "source_ip_count", "asset_count", "highest_risk_score"]
+    return value.select(F.from_json("value", ", ".join(f"{n} bigint" for n in names)).alias("m")).select("m.*")
+
+
 @query
 def ingest_line_status(spark, sf_dir):
     judged = lines.judged_lines(damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
@@ -153,7 +234,10 @@ def quality_stats(spark, sf_dir):
 def quality_table(spark, sf_dir):
     judged = damaged(spark, sf_dir)
     kept = accepted(judged)
-    numbers = summaries.metrics(kept, found(spark, sf_dir))
+    numbers = kept.agg(
+        F.count_if(F.col("source_ip") == dims.MISSING).alias("unknown_source_alerts"),
+        F.count_if(F.col("classification_confidence") == "Low").alias("low_confidence_classifications"),
+    )
     return quality.quality_table(quality.quality_stats(judged, kept), numbers)
 
 
@@ -372,7 +456,7 @@ def _record_fields(name: str, *columns: str) -> None:
 _record_fields("source_attribution", "source_ip", "source_scope", "source_confidence", "destination_ip")
 _record_fields("user_attribution", "username", "actor_user", "target_user", "command")
 _record_fields("affected_asset", "affected_asset", "agent_name", "agent_ip", "manager_name")
-_record_fields("alert_risk_score", "rule_level", "wazuh_severity", "risk_score", "risk_level")
+_record_fields("alert_risk_score", "rule_level", "rule_severity", "risk_score", "risk_level")
 _record_fields("mitre_enrich", "mitre_ids", "mitre_tactics", "mitre_techniques", "attack_stage")
 _record_fields("response_text", "response_suggestion")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
@@ -14,6 +15,7 @@ from alertlake.functions.text import formula_safe
 from alertlake.operators.quality import quality_table
 from alertlake.operators.views import priority_incidents
 from alertlake.plans.analysis import Report
+from alertlake.session import remove
 
 JSON_INCIDENTS = 10
 
@@ -57,14 +59,32 @@ def summary_json(report: Report, context: dict) -> DataFrame:
 
 
 def publish(report: Report, target: str, context: dict | None = None) -> list[str]:
-    """Writes all tables below `target`, which must not exist; nothing is written otherwise."""
-    result = report.result
+    """Writes all tables as `target`, which must not exist.
+
+    Tables go to a staging folder beside it, which takes the target's name once all are complete;
+    if one fails, the staging folder is deleted and there is no target. Parts of the alert table
+    follow the line order; a part is sorted, the whole is not.
+    """
     spark = report.stats.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path):
         raise ValueError(f"report target exists: {target}")
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        names = _write_tables(report, staging, context)
+        if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), path):
+            raise OSError(f"could not move {staging} to {target}")
+    except BaseException:
+        remove(spark, staging)
+        raise
+    return names
+
+
+def _write_tables(report: Report, target: str, context: dict | None) -> list[str]:
+    result = report.result
     tables = {
-        "cleaned_alerts": (result.alerts.orderBy("pos"), dims.ALERT_COLUMNS),
+        "cleaned_alerts": (result.alerts.repartitionByRange("pos").sortWithinPartitions("pos"), dims.ALERT_COLUMNS),
         "incidents": (result.incidents, dims.INCIDENT_COLUMNS),
         "summary_by_source_ip": (result.by_source, dims.SOURCE_SUMMARY_COLUMNS),
         "summary_by_alert_type": (result.by_type, dims.TYPE_SUMMARY_COLUMNS),

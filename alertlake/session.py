@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,22 +20,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores if the input has fewer splits than that; larger inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a scratch folder of our own only for local runs."""
+    """The folder for intermediate tables that driver and executors share.
+
+    It is the one the session names in spark.checkpoint.dir. Where none is named, a folder below
+    the warehouse is set, which every cluster shares as well.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="alertlake-"))
-    return sc.getCheckpointDir()
+    if not configured:
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/alertlake-work")
+        configured = sc.getCheckpointDir()
+    return configured
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_written: dict[str, list[tuple[str, str]]] = {}
+
+
+def discard_written(spark: SparkSession, *names: str) -> None:
+    """Deletes intermediate tables of this application, all or those of the given names, once
+    nothing reads them any more."""
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for entry in [e for e in mine if not names or e[0] in names]:
+        remove(spark, entry[1])
+        mine.remove(entry)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,4 +60,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append((name, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from alertlake.functions import jsontext
 from alertlake.functions.text import strip
+from alertlake.operators.ranges import running_total
 from alertlake.session import written
 
-DEFAULT_MAX_LINE_BYTES = 1024 * 1024
 SAMPLE_SIZE = 10
 REJECTED = ["malformed", "non_object", "oversized", "encoding"]
 ALERT_FIELDS = [
@@ -18,43 +18,29 @@ ALERT_FIELDS = [
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of plain or .gz files as raw text; only a newline ends a line."""
-    return (
-        spark.read.option("lineSep", "\n").text(paths)
-        .select(
+    """Lines of plain or .gz files as raw text, written once; only a newline ends a line.
+
+    `seq` rises along every block of a file. All later steps read the written rows, so a line's
+    block and place do not depend on how a second scan would split the files.
+    """
+    return written(
+        spark.read.option("lineSep", "\n").text(paths).select(
             "value",
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
-        )
+        ),
+        "scanned",
     )
 
 
 def block_offsets(lines: DataFrame) -> DataFrame:
-    """How many lines precede each file block: one row per block, two levels of running sums.
-
-    Blocks of a file are summed per file and files in name order, so what meets in one task is
-    one row per block of a file, or one row per file.
-    """
+    """How many lines precede each file block, files in name order: running sums over one row per
+    block, dealt out by range, so that many files or blocks are many tasks."""
     blocks = lines.groupBy("path", "block").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq")
     )
-    in_file = F.sum("n").over(_rows_before(Window.partitionBy("path").orderBy("block")))
-    files = blocks.groupBy("path").agg(F.sum("n").alias("file_n")).select(
-        "path",
-        F.coalesce(
-            F.sum("file_n").over(_rows_before(Window.orderBy("path"))), F.lit(0)
-        ).alias("file_base"),
-    )
-    return (
-        blocks.withColumn("block_base", F.coalesce(in_file, F.lit(0)))
-        .join(files, "path")
-        .select("path", "block", "first_seq", (F.col("file_base") + F.col("block_base")).alias("base"))
-    )
-
-
-def _rows_before(window):
-    return window.rowsBetween(Window.unboundedPreceding, -1)
+    return running_total(blocks, "n", "base", "path", "block").select("path", "block", "n", "first_seq", "base")
 
 
 def numbered_lines(
@@ -62,18 +48,21 @@ def numbered_lines(
 ) -> DataFrame:
     """Lines with their position in the input, without a global sort.
 
-    The first pass counts lines per block; the small result is written, so its true size decides
-    whether it is broadcast. `partitions` spreads lines of files that cannot be split (.gz).
+    The offsets come from the written lines themselves, and every line must get a number.
+    `partitions` spreads lines of files that cannot be split (.gz).
     """
     lines = scan_lines(spark, paths)
     offsets = written(block_offsets(lines), "blocks")
+    ends = offsets.agg(F.sum("n"), F.max(F.col("base") + F.col("n"))).first()
+    if (ends[0] or 0) != lines.count() or ends[0] != ends[1]:
+        raise RuntimeError(f"numbered {ends[0]} lines up to {ends[1]}, read {lines.count()}")
     numbered = lines.join(offsets, ["path", "block"]).select(
         (F.col("base") + F.col("seq") - F.col("first_seq") + 1).alias("record_number"), "value"
     )
     return numbered.repartition(partitions) if partitions else numbered
 
 
-def judged_lines(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
+def judged_lines(lines: DataFrame, max_line_bytes: int = 0) -> DataFrame:
     """Adds n_bytes (with the newline), line_status and the fields of the JSON object.
 
     The tests run in a fixed order and each line gets exactly one status.
@@ -84,8 +73,9 @@ def judged_lines(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES)
     text = F.when(F.is_valid_utf8(value) & ~oversized, F.regexp_replace(value, "^\\uFEFF", ""))
     c = F.col
     opened = F.btrim(c("text"), F.lit(" \t\r\n")).startswith("{")
-    is_object = c("opened") & jsontext.is_sound(c("parsed"))
-    is_other = ~c("opened") & jsontext.is_sound(jsontext.sealed_value(c("text")))
+    strict = ~jsontext.has_foreign_number(c("text"))
+    is_object = c("opened") & jsontext.is_sound(c("parsed")) & strict
+    is_other = ~c("opened") & jsontext.is_sound(jsontext.sealed_value(c("text"))) & strict
     status = (
         F.when(is_object, "ok")
         .when(c("oversized"), "oversized")

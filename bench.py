@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,10 +17,11 @@ from alertlake.operators import incidents, summaries
 from alertlake.operators.ranges import ranked
 from alertlake.plans.analysis import accepted, load_records
 from alertlake.plans.catalog import WINDOW
-from alertlake.session import prepare, written
+from alertlake.session import discard_written, prepare, written
 from alertlake.sources.event_alerts import alert_lines
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+WORK_DIR = os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="alertlake-bench-")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
@@ -28,6 +30,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{CPUS}]").appName("alertlake-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", WORK_DIR)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -64,6 +67,7 @@ def main() -> None:
         "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "alert_lines": records.count(), "incidents": found.count(),
     }))
+    discard_written(spark)
     spark.stop()
 
 
