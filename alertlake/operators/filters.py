@@ -34,29 +34,38 @@ def drop_reason(
     return reason.when(~in_scope(), "scope") if scope_only else reason
 
 
+_KEYS = ["manager_name", "agent_id", "event_id"]
+# Line numbers stay below 2^48, so that rank and line are one number.
+_LINE_BITS = 48
+
+
 def dedup_best(alerts: DataFrame) -> DataFrame:
     """Best copy per (manager, agent, event id), in the place of the first copy.
 
-    One aggregation: every task first reduces its own rows to one per event, so an event that
-    was copied millions of times does not meet in one task. Events without an id stay apart.
+    The winner is found on ids and one number per alert, by a hash aggregation that every task
+    starts on its own rows; only events with copies come back from it, and whole alerts meet
+    nothing but these. Events without an id have no copies and are passed by.
     Adds pos (line of the first copy) and copies.
     """
     c = F.col
-    extra = sum(test.cast("int") for test in [
+    extra = sum(test.cast("bigint") for test in [
         c("source_ip") != dims.MISSING, c("target_user") != dims.MISSING, c("full_log") != dims.MISSING
     ])
-    rank = F.struct(c("rule_level"), c("risk_score"), extra, -c("record_number"))
-    apart = F.when(c("event_id") == dims.MISSING, c("record_number")).otherwise(F.lit(0))
-    keys = ["manager_name", "agent_id", "event_id"]
-    rest = [n for n in alerts.columns if n not in keys]
+    severity = (c("rule_level").cast("bigint") * 128 + c("risk_score")) * 4 + extra
+    last_line = F.lit((1 << _LINE_BITS) - 1)
+    rank = F.shiftleft(severity, _LINE_BITS) + (last_line - c("record_number"))
+    named = alerts.filter(c("event_id") != dims.MISSING)
+    # The hash comes first so that sorts compare one number; the texts keep keys exact.
+    copied = (
+        named.groupBy(F.xxhash64(*_KEYS).alias("key_hash"), *_KEYS)
+        .agg(F.max(rank).alias("best"), F.min("record_number").alias("pos"), F.count("*").alias("copies"))
+        .filter(c("copies") > 1)
+        .select(*_KEYS, "key_hash", (last_line - c("best").bitwiseAND(last_line)).alias("winner"), "pos", "copies")
+    )
+    met = named.withColumn("key_hash", F.xxhash64(*_KEYS)).join(copied, ["key_hash", *_KEYS], "left")
+    alone = alerts.filter(c("event_id") == dims.MISSING)
     return (
-        # The hash comes first so that the aggregation's sort compares one number.
-        alerts.groupBy(F.xxhash64(*keys).alias("key_hash"), *keys, apart.alias("apart"))
-        .agg(
-            F.max_by(F.struct(*rest), rank).alias("best"),
-            F.min("record_number").alias("pos"),
-            F.count("*").alias("copies"),
-        )
-        .select(*keys, "best.*", "pos", "copies")
-        .select(*alerts.columns, "pos", "copies")
+        met.filter(c("winner").isNull() | (c("winner") == c("record_number")))
+        .select(*alerts.columns, F.coalesce("pos", "record_number").alias("pos"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        .unionByName(alone.select(*alerts.columns, c("record_number").alias("pos"), F.lit(1).cast("bigint").alias("copies")))
     )

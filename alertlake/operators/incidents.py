@@ -8,6 +8,7 @@ collected, so an array holds no more than the text it is printed as.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,39 +52,80 @@ def _to_sessions(per_cell: DataFrame, cells: DataFrame) -> DataFrame:
     return per_cell.join(starts, CELL, "left").fillna(0, ["session_us"])
 
 
+# An alert's place in time as one decimal: hash aggregation can keep its smallest or largest,
+# where a struct would have to be sorted. Times of the years 0 to 9999 are positive once shifted;
+# line numbers stay below 10^15.
+_SHIFT_US = 10**17
+_LINES = Decimal(10**15)
+
+
+_ITEMS = Decimal(10**3)
+
+
+def _place(us: Column, missing: int = 0) -> Column:
+    shifted = F.coalesce(us + F.lit(_SHIFT_US), F.lit(missing).cast("bigint"))
+    return shifted.cast("decimal(20,0)") * F.lit(_LINES) + F.col("record_number").cast("decimal(16,0)")
+
+
+def _line(place: Column) -> Column:
+    return (place % F.lit(_LINES)).cast("bigint")
+
+
+def _worst() -> Column:
+    """Highest score, then level, then the earliest time and line."""
+    c = F.col
+    severity = (c("risk_score") * 32 + c("rule_level")).cast("decimal(6,0)")
+    early = F.coalesce(F.lit(10 * _SHIFT_US) - c("event_us"), F.lit(0).cast("bigint")).cast("decimal(19,0)")
+    line = F.lit(_LINES - 1) - c("record_number").cast("decimal(16,0)")
+    return (severity * F.lit(Decimal(10**19)) + early) * F.lit(_LINES) + line
+
+
 def session_facts(run: Correlation) -> DataFrame:
-    """Counts, extremes and the first, last and worst alert of each session."""
+    """Counts, extremes and the first, last and worst alert of each session.
+
+    Aggregations carry numbers only; the texts of the three alerts are joined to them by line.
+    """
     c = F.col
-    order = [c("event_us"), c("record_number")]
-    first = F.struct(
-        *order, "event_id", "timestamp", "offset_s", "source_scope", "rule_id",
-        F.when(c("event_id") == dims.MISSING, c("full_log")).alias("full_log"),
-    )
-    last = F.struct(*order, "timestamp", "offset_s")
-    worst = F.struct(
-        "risk_score", "rule_level", (-c("event_us")).alias("back_us"),
-        (-c("record_number")).alias("back_record"), "alert_type", "full_log",
-    )
+    rule = F.xxhash64("rule_id")
     per_cell = run.members.groupBy(*CELL).agg(
         F.count("*").alias("n"),
         F.max("rule_level").alias("max_rule_level"),
         F.max(c("rule_id").isin(dims.CUSTOM_RULES)).alias("custom"),
-        F.min("rule_id").alias("low_rule"),
-        F.max("rule_id").alias("high_rule"),
+        F.min(rule).alias("low_rule"),
+        F.max(rule).alias("high_rule"),
         F.max("matched").alias("compromised"),
-        F.min(first).alias("first"),
-        F.max(last).alias("last"),
-        F.max(worst).alias("worst"),
+        F.min(_place(c("event_us"))).alias("first_place"),
+        F.max(_place(c("event_us"))).alias("last_place"),
+        F.max(_worst()).alias("worst_place"),
     )
-    return (
+    lines = ["first", "last", "worst"]
+    counted = written(
         _to_sessions(per_cell, run.cells)
         .groupBy(*SESSION)
         .agg(
             F.sum("n").alias("event_count"),
-            *[F.max(n).alias(n) for n in ("max_rule_level", "custom", "high_rule", "compromised", "last", "worst")],
-            *[F.min(n).alias(n) for n in ("low_rule", "first")],
+            *[F.max(n).alias(n) for n in ("max_rule_level", "custom", "high_rule", "compromised", "last_place", "worst_place")],
+            *[F.min(n).alias(n) for n in ("low_rule", "first_place")],
         )
+        .withColumns({
+            "first_line": _line(c("first_place")), "last_line": _line(c("last_place")),
+            "worst_line": F.lit(10**15 - 1) - _line(c("worst_place")),
+        })
+        .drop(*[f"{n}_place" for n in lines]),
+        "session-facts",
+    )
+    wanted = counted.select(F.explode(F.array(*[f"{n}_line" for n in lines])).alias("record_number")).distinct()
+    shown = F.struct(
+        "event_us", "record_number", "event_id", "timestamp", "offset_s", "source_scope", "rule_id",
+        "risk_score", "alert_type", "full_log",
+    )
+    picked = written(
+        run.alerts.join(wanted, "record_number", "left_semi").select(c("record_number").alias("line"), shown.alias("shown")),
+        "session-alerts",
     )
+    for n in lines:
+        counted = counted.join(picked.select(c("line").alias(f"{n}_line"), c("shown").alias(n)), f"{n}_line").drop(f"{n}_line")
+    return counted
 
 
 def session_lists(run: Correlation) -> DataFrame:
@@ -102,7 +144,7 @@ def session_lists(run: Correlation) -> DataFrame:
         run.members.select(*CELL, "event_us", "record_number", F.explode(entries).alias("entry"))
         .select(
             *CELL, "entry.field", "entry.value",
-            F.struct("event_us", "record_number", "entry.i").alias("at"),
+            (_place(c("event_us")) * F.lit(_ITEMS) + F.least(c("entry.i"), F.lit(int(_ITEMS) - 1)).cast("decimal(5,0)")).alias("at"),
         )
         .filter(~c("value").isin("", dims.MISSING))
     )
@@ -121,7 +163,7 @@ def session_lists(run: Correlation) -> DataFrame:
 
 def key_starts(run: Correlation) -> DataFrame:
     """When each key first appears in time order; breaks ties in the incident queue."""
-    first = F.min(F.struct(F.col("event_us").isNull().alias("untimed"), "event_us", "record_number"))
+    first = F.min(_place(F.col("event_us"), 10 * _SHIFT_US))
     return run.alerts.groupBy(*KEY).agg(first.alias("key_start"))
 
 

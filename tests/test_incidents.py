@@ -12,34 +12,34 @@ from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
 from alertlake.operators.summaries import by_asset, timeline, top_values
 from alertlake.plans.analysis import analyze
-from tests.conftest import alerts_of, attack, raw_alert, success
+from tests.conftest import alerts_of, attack, make_alert, success
 
 DAY = "2026-07-26T"
 
 
 def stop(event_id, time, **more):
-    return raw_alert(event_id, DAY + time, "506", 3, groups=["agent_health"], full_log="stopped", **more)
+    return make_alert(event_id, DAY + time, "506", 3, groups=["agent_health"], full_log="stopped", **more)
 
 
 def start(event_id, time, **more):
-    return raw_alert(event_id, DAY + time, "503", 3, groups=["agent_health"], full_log="started", **more)
+    return make_alert(event_id, DAY + time, "503", 3, groups=["agent_health"], full_log="started", **more)
 
 
 # One agent per scenario keeps them apart in a single run.
 SCENARIOS = {
     "compromise": [attack("1", DAY + "00:00:00Z"), success("2", DAY + "00:02:00Z")],
-    "single": [raw_alert("1", DAY + "00:00:00Z"), success("2", DAY + "00:01:00Z")],
+    "single": [make_alert("1", DAY + "00:00:00Z"), success("2", DAY + "00:01:00Z")],
     "account": [attack("1", DAY + "00:00:00Z"), success("2", DAY + "00:01:00Z", "operator")],
     "nobody": [attack("1", DAY + "00:00:00Z", None), success("2", DAY + "00:01:00Z", "operator")],
     "late": [attack("1", "9999-12-31T23:55:00+00:00"), success("2", "9999-12-31T23:56:00+00:00")],
-    "edge": [raw_alert("1", DAY + "00:00:00Z"), raw_alert("2", DAY + "00:10:00Z"), raw_alert("3", DAY + "00:20:00.001Z")],
+    "edge": [make_alert("1", DAY + "00:00:00Z"), make_alert("2", DAY + "00:10:00Z"), make_alert("3", DAY + "00:20:00.001Z")],
     "taken": [
         attack("1", DAY + "00:00:00Z"), success("2", DAY + "00:05:00Z"),
         success("0", "2026-07-25T23:56:00Z"), success("3", DAY + "00:14:00Z"),
     ],
     "outage": [stop("1", "00:00:00Z"), stop("2", "00:01:00Z"), start("3", "00:02:30Z")],
-    "untimed": [raw_alert("1", "never"), raw_alert("2", "never")],
-    "unsourced": [raw_alert(str(i), DAY + "00:00:00Z", full_log="failed", groups=["sshd"]) for i in range(3)],
+    "untimed": [make_alert("1", "never"), make_alert("2", "never")],
+    "unsourced": [make_alert(str(i), DAY + "00:00:00Z", full_log="failed", groups=["sshd"]) for i in range(3)],
 }
 
 
@@ -123,9 +123,9 @@ def test_incident_ids_ignore_rank_and_display_zone(spark, scenario_alerts):
 
 
 def test_same_agent_on_two_managers_is_two_assets(spark):
-    alerts, _ = alerts_of(spark, [raw_alert("a"), raw_alert("b", manager="second")])
+    alerts, _ = alerts_of(spark, [make_alert("a"), make_alert("b", manager="second")])
     rows = by_asset(alerts, I.incidents(alerts)).collect()
-    assert sorted(r.manager_name for r in rows) == ["kali", "second"]
+    assert sorted(r.manager_name for r in rows) == ["hub-1", "second"]
 
 
 def test_empty_input(spark, scenario_alerts):

@@ -8,7 +8,7 @@ import pytest
 from alertlake.operators.quality import InputRejected
 from alertlake.plans.analysis import Options, report
 from alertlake.sources.lines import numbered_lines
-from tests.conftest import attack, raw_alert
+from tests.conftest import attack, make_alert
 
 
 def write(path, rows, opener=open):
@@ -33,10 +33,10 @@ def test_numbers_follow_the_files_across_blocks(spark, tmp_path):
 
 
 def test_bad_lines_are_counted_once_and_kept_out(spark, tmp_path):
-    good = raw_alert("same")
+    good = make_alert("same")
     path = write(tmp_path / "alerts.json", [
         good, good, b"{not-json", ["not", "an", "object"], b"", b'{"id":"bad-\xff"}',
-        raw_alert("large", full_log="x" * 2000), b"\xef\xbb\xbf" + json.dumps(raw_alert("bom")).encode(),
+        make_alert("large", full_log="x" * 2000), b"\xef\xbb\xbf" + json.dumps(make_alert("bom")).encode(),
         b'{"id":"cr"}\r', b'{"id":1} trailing',
     ])
     stats = report(spark, path, Options(max_line_bytes=1500)).stats.first().asDict()

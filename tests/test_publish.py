@@ -7,7 +7,7 @@ import pytest
 from alertlake import dims
 from alertlake.plans.analysis import report
 from alertlake.plans.publish import publish, write_csv
-from tests.conftest import attack, raw_alert, success
+from tests.conftest import attack, make_alert, success
 
 
 def read_csv(path):
@@ -29,7 +29,7 @@ def test_cells_survive_the_csv_round_trip(spark, tmp_path):
 
 def test_a_report_is_published_whole_or_not_at_all(spark, tmp_path):
     source = tmp_path / "alerts.json"
-    alerts = [attack("1", "2026-07-26T00:00:00Z"), success("2", "2026-07-26T00:02:00Z"), raw_alert("3", full_log="=1+1")]
+    alerts = [attack("1", "2026-07-26T00:00:00Z"), success("2", "2026-07-26T00:02:00Z"), make_alert("3", full_log="=1+1")]
     source.write_text("".join(json.dumps(a) + "\n" for a in alerts))
     made = report(spark, str(source))
     target = tmp_path / "out"
