@@ -2,7 +2,8 @@
 
 All of it is DataFrame expressions. A text is cut into sentences, lines, paragraphs and itself;
 a passage is compared only with templates of two thirds to three halves of its words, found by an
-equality join on the word count with the fixed template table, so most passages meet no template.
+equality join on the word count with the fixed template table. Before that, passages go whose
+bigrams known to any template are too few for the coefficient, which loses nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def _plain(text: Column) -> Column:
 
 
 def _words(passage: Column) -> Column:
-    return F.filter(F.split(F.translate(passage, "\n.!?;", "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(passage, r"[ \n.!?;]+"), "")
 
 
 def _bigrams(words: Column) -> Column:
@@ -58,11 +59,18 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE, text: str = "text"
     """
     c = F.col
     known = templates(docs.sparkSession, min_dice, texts)
-    # Rows by word count: a fixed table of texts bounds it, whatever the corpus.
+    # The fixed table of texts bounds both: about a thousand bigrams, some thousand rows.
+    named = [r[0] for r in known.select(F.explode("t_bigrams")).distinct().collect()]
+    longest = known.agg(F.max("n_words")).first()[0] or 0
     pieces = docs.select(c(f"`{id}`").alias("id"), _plain(c(f"`{text}`").cast("string")).alias("t"))
     pieces = pieces.select("id", F.explode(passages(c("t"))).alias("passage")).select("id", _words(c("passage")).alias("w"))
-    met = pieces.withColumn("n_words", F.size("w")).join(F.broadcast(known), "n_words")
-    mine = met.select("id", "licence", "t_bigrams", "w", _bigrams(c("w")).alias("p_bigrams"))
+    short = pieces.withColumn("n_words", F.size("w")).filter((c("n_words") > 1) & (c("n_words") <= longest))
+    # One generated row per passage, so that no filter works the bigrams out again.
+    cut = short.select("id", "n_words", "w", F.explode(F.array(_bigrams(c("w")))).alias("p_bigrams"))
+    # No template can share more bigrams than all templates have, and a Dice of d needs the share d / (2 - d).
+    shared = F.size(F.filter("p_bigrams", lambda x: x.isin(named)))
+    met = cut.filter(shared * (2 - min_dice) >= F.size("p_bigrams") * min_dice).join(F.broadcast(known), "n_words")
+    mine = met.select("id", "licence", "t_bigrams", "w", "p_bigrams")
     dice = 2 * F.size(F.array_intersect("p_bigrams", "t_bigrams")) / (F.size("p_bigrams") + F.size("t_bigrams"))
     close = mine.withColumn("dice", dice).filter(c("dice") >= min_dice)
     fits = close.groupBy("id", F.array_join("w", " ").alias("passage")).agg(
