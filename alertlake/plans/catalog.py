@@ -402,6 +402,25 @@ def fn_ip_scope(spark, sf_dir):
     return events(spark, sf_dir).select("e", ip.ip_scope(ip.normalize_ip(_address(F.col("e")))).alias("scope"))
 
 
+def _address6() -> Column:
+    """IPv6 texts in many spellings, one with a line break behind it."""
+    tail = F.hex(F.col("u") + 1)
+    return pick(
+        F.col("e") % 6, F.concat(F.lit("2001:DB8:0:0:0:0:0:"), tail), F.concat(F.lit("[FE80::"), tail, F.lit("%eth0]")), "0:0:0:0:0:0:0:1",
+        F.concat(F.lit("ff02:0::"), tail), F.concat(F.lit("fd00:0:0:1:0:0:0:"), tail), F.concat(F.lit("2606:4700::00"), F.lpad(tail, 2, "0"), F.lit("\n")),
+    )
+
+
+@query
+def fn_normalize_ip6(spark, sf_dir):
+    return events(spark, sf_dir).filter("u < 255").select("e", ip.normalize_ip(_address6()).alias("address"))
+
+
+@query
+def fn_ip6_scope(spark, sf_dir):
+    return events(spark, sf_dir).filter("u < 255").select("e", ip.ip_scope(ip.normalize_ip(_address6())).alias("scope"))
+
+
 @query
 def fn_normalize_username(spark, sf_dir):
     u = F.concat(F.lit("User"), F.col("u").cast("string"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from alertlake import dims
+from oracle import fixed
 
 MINUTES = 1440
 WIDTH = MINUTES * 60_000_000
@@ -22,9 +22,9 @@ def _case(key: str, table: dict, default: str) -> str:
     return f"CASE {key} {arms} ELSE {default} END"
 
 
-ADVICE_ARMS = _case("event_category", dims.ADVICE, f"'{dims.OTHER_ADVICE}'")
-TITLE_ARMS = _case("event_category", dims.INCIDENT_TITLES, "event_category")
-STATUS_ARMS = _case("risk_level", dims.STATUSES, "NULL")
+ADVICE_ARMS = _case("event_category", fixed.ADVICE, f"'{fixed.OTHER_ADVICE}'")
+TITLE_ARMS = _case("event_category", fixed.INCIDENT_TITLES, "event_category")
+STATUS_ARMS = _case("risk_level", fixed.STATUSES, "NULL")
 
 
 def severity(x: str) -> str:
@@ -44,13 +44,13 @@ def offset_text(off: str) -> str:
 
 
 def advice(category: str, kind: str, source: str, user: str, risk: str) -> str:
-    arms = _case(category, dims.ADVICE, f"'{dims.OTHER_ADVICE}'")
+    arms = _case(category, fixed.ADVICE, f"'{fixed.OTHER_ADVICE}'")
     return (
-        f"(CASE WHEN {risk} IN ('Critical', 'High') THEN '{dims.PRIORITY_PREFIX}' ELSE '' END || "
+        f"(CASE WHEN {risk} IN ('Critical', 'High') THEN '{fixed.PRIORITY_PREFIX}' ELSE '' END || "
         f"replace(replace(CASE WHEN {category} = 'Reconnaissance' AND {kind} = 'Port Scan' "
-        f"THEN '{dims.PORT_SCAN_ADVICE}' ELSE {arms} END, "
-        f"'{{source}}', CASE WHEN {source} = '-' THEN '{dims.UNKNOWN_SOURCE_LABEL}' ELSE {source} END), "
-        f"'{{user}}', CASE WHEN {user} = '-' THEN '{dims.UNKNOWN_USER_LABEL}' ELSE {user} END))"
+        f"THEN '{fixed.PORT_SCAN_ADVICE}' ELSE {arms} END, "
+        f"'{{source}}', CASE WHEN {source} = '-' THEN '{fixed.UNKNOWN_SOURCE_LABEL}' ELSE {source} END), "
+        f"'{{user}}', CASE WHEN {user} = '-' THEN '{fixed.UNKNOWN_USER_LABEL}' ELSE {user} END))"
     )
 
 
@@ -259,14 +259,14 @@ CTES = {
             CASE WHEN f.event_id <> '-' THEN f.event_id ELSE 'record:' || f.record_number || ':' || f.rule_id || ':' || f.full_log END,
             coalesce(strftime(make_timestamp(f.event_us), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00', f.timestamp),
             affected_asset, source_ip, event_category)), 1, 10)) AS incident_id,
-          CASE WHEN compromised THEN '{dims.COMPROMISE_TITLE}' ELSE {TITLE_ARMS} || ' · ' END || affected_asset AS title,
+          CASE WHEN compromised THEN '{fixed.COMPROMISE_TITLE}' ELSE {TITLE_ARMS} || ' · ' END || affected_asset AS title,
           {STATUS_ARMS} AS status,
           CASE WHEN compromised OR custom OR max_rule_level >= 10 OR (event_count >= 3 AND source_ip <> '-') THEN 'High'
             WHEN event_count >= 2 OR source_ip <> '-' THEN 'Medium' ELSE 'Low' END AS confidence,
           coalesce({iso('f.event_us', 'f.offset_s')}, f.timestamp) AS first_seen,
           coalesce({iso('l.event_us', 'l.offset_s')}, l.timestamp) AS last_seen,
           duration_seconds, event_count, risk_score, risk_level, max_rule_level,
-          CASE WHEN compromised THEN '{dims.COMPROMISE_CATEGORY}' ELSE event_category END AS event_category,
+          CASE WHEN compromised THEN '{fixed.COMPROMISE_CATEGORY}' ELSE event_category END AS event_category,
           source_ip, f.source_scope AS source_scope, affected_asset, agent_id, manager_name,
           alert_types, rule_ids, coalesce(actor_users, '-') AS actor_users, coalesce(target_users, '-') AS target_users,
           coalesce(commands, '-') AS commands, coalesce(mitre_ids, '-') AS mitre_ids,
@@ -276,10 +276,10 @@ CTES = {
                    ELSE '未匹配到完整的停止—恢复周期。' END
               || CASE WHEN outstanding > 0 THEN '仍有 ' || outstanding || ' 次停止未见恢复。 ' ELSE '' END
             ELSE '资产 ' || affected_asset || ' 在 ' || duration_seconds || ' 秒内出现 ' || event_count || ' 条相关告警，来源 '
-              || CASE WHEN source_ip = '-' THEN '{dims.UNKNOWN_INCIDENT_SOURCE}' ELSE source_ip END || '，涉及规则 ' || rule_ids
+              || CASE WHEN source_ip = '-' THEN '{fixed.UNKNOWN_INCIDENT_SOURCE}' ELSE source_ip END || '，涉及规则 ' || rule_ids
               || '；最高规则等级 ' || max_rule_level || '。' END
-            || CASE WHEN compromised THEN '{dims.COMPROMISE_SUMMARY}' ELSE '' END AS summary,
-          CASE WHEN compromised THEN '{dims.COMPROMISE_ADVICE}' ELSE
+            || CASE WHEN compromised THEN '{fixed.COMPROMISE_SUMMARY}' ELSE '' END AS summary,
+          CASE WHEN compromised THEN '{fixed.COMPROMISE_ADVICE}' ELSE
             {advice('event_category', 'w.alert_type', 'source_ip', "coalesce(CASE WHEN event_category = 'Privilege Activity' THEN first_actor END, first_target, '-')", 'risk_level')} END AS recommendation,
           CASE WHEN length(w.full_log) > 320 THEN substr(w.full_log, 1, 317) || '...' ELSE w.full_log END AS evidence,
           compromised, sid, key_start, f.event_us AS first_us, f.record_number AS first_record

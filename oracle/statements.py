@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from alertlake import dims
+from oracle import fixed
 from alertlake.plans.catalog import CLASS_COLUMNS, CONTEXT_GROUPS, CONTEXT_TEXTS, FILTERS, LINE_LIMIT
 from oracle.base import band, iso, query, severity
 
-ALERT = ", ".join(dims.ALERT_COLUMNS)
-INCIDENT = ", ".join(dims.INCIDENT_COLUMNS)
+ALERT = ", ".join(fixed.ALERT_COLUMNS)
+INCIDENT = ", ".join(fixed.INCIDENT_COLUMNS)
 KEY = "manager_name, agent_id, affected_asset, source_ip, event_category, identity"
 
 # Character classes spelled out, because RE2 only knows the ASCII ones.
@@ -75,7 +75,7 @@ DAMAGED = """
 SINCE, UNTIL = FILTERS.bounds()
 REASON = f"""CASE WHEN rule_level < {FILTERS.min_level} THEN 'level'
   WHEN event_us IS NULL OR event_us < {SINCE} OR event_us > {UNTIL} THEN 'time'
-  WHEN event_category NOT IN ({", ".join(f"'{c}'" for c in dims.SCOPE_CATEGORIES)}) THEN 'scope' END"""
+  WHEN event_category NOT IN ({", ".join(f"'{c}'" for c in fixed.SCOPE_CATEGORIES)}) THEN 'scope' END"""
 KEPT = f"""
   SELECT n.*, d.line_status, {REASON} AS drop_reason FROM norm n JOIN damaged d ON n.record_number = d.record_number
   WHERE d.line_status = 'ok'"""
@@ -153,8 +153,8 @@ def _functions() -> dict[str, str]:
     cell = f"""CASE WHEN doc_id % 7 = 0 THEN '-' ELSE {choose('doc_id % 6', "''", "'='", "' +'", "chr(65279) || '-'", "chr(8203) || '@'", "'x'")} || text END"""
     groups = [f"'{g}'" for g in CONTEXT_GROUPS]
     texts = [f"'{t}'" for t in CONTEXT_TEXTS]
-    rules = sorted(dims.RULES)
-    exact = ", ".join(f"({i}, '{r}', '{dims.RULES[r][0]}', '{dims.RULES[r][1]}', '{dims.RULES[r][2]}')" for i, r in enumerate(rules))
+    rules = sorted(fixed.RULES)
+    exact = ", ".join(f"({i}, '{r}', '{fixed.RULES[r][0]}', '{fixed.RULES[r][1]}', '{fixed.RULES[r][2]}')" for i, r in enumerate(rules))
 
     def stamped(shape: str, suffix: str = "") -> str:
         return f"strptime(strftime(moment, '{shape}'), '{shape}')"
@@ -186,7 +186,7 @@ def _functions() -> dict[str, str]:
     )
     in_groups = lambda *names: "(" + " OR ".join(f"list_contains(g, '{n}')" for n in names) + ")"
     ssh, web = in_groups("sshd", "ssh"), in_groups("web", "accesslog", "web_log")
-    scanners = " OR ".join(f"contains(x, '{t}')" for t in dims.SCANNER_TERMS)
+    scanners = " OR ".join(f"contains(x, '{t}')" for t in fixed.SCANNER_TERMS)
     context = [
         (f"{in_groups('ssh_bruteforce')} OR ({ssh} AND contains(x, 'brute force'))", "SSH Brute Force", "Credential Attack", "'failure'", "rule_group_or_context"),
         (f"{in_groups('ssh_invalid_user')} OR ({ssh} AND contains(x, 'invalid user'))", "SSH Invalid Username", "Credential Attack", "'failure'", "rule_group_or_context"),
@@ -243,6 +243,11 @@ def _functions() -> dict[str, str]:
         "fn_ip_scope": over_events(choose(
             "e % 12", "'Public/External'", "'Private/Internal'", "'Private/Internal'", "'Loopback'", "'Link-local'", "'Multicast'",
             "'Private/Internal'", "'Reserved'", "'Unknown'", "'Unknown'", "'Unknown'", "'Unknown'") + " AS scope"),
+        "fn_normalize_ip6": over_events(choose(
+            "e % 6", *[f"'{p}' || lower(to_hex(u + 1))" for p in ("2001:db8::", "fe80::")], "'::1'",
+            *[f"'{p}' || lower(to_hex(u + 1))" for p in ("ff02::", "fd00:0:0:1::", "2606:4700::")]) + " AS address") + " WHERE u < 255",
+        "fn_ip6_scope": over_events(choose(
+            "e % 6", "'Reserved'", "'Link-local'", "'Loopback'", "'Multicast'", "'Private/Internal'", "'Public/External'") + " AS scope") + " WHERE u < 255",
         "fn_normalize_username": over_events(choose(
             "e % 8", "'User' || u", "'-'", "'-'", "'-'", "'-'", "'User' || u || '\\n'", "'-'", "'Nonesuch'") + " AS username"),
         "fn_severity": over_events(severity("CAST(floor(value) AS INT) % 17") + " AS severity"),
@@ -299,7 +304,7 @@ def _alerts() -> dict[str, str]:
         "mitre_enrich": "mitre_ids, mitre_tactics, mitre_techniques, attack_stage",
         "response_text": "response_suggestion",
     }
-    scope = ", ".join(f"'{c}'" for c in dims.SCOPE_CATEGORIES)
+    scope = ", ".join(f"'{c}'" for c in fixed.SCOPE_CATEGORIES)
     return {
         **{n: query(f"SELECT record_number, {c} FROM norm") for n, c in fields.items()},
         "normalize_alerts": query(f"SELECT {ALERT} FROM norm"),
@@ -339,7 +344,7 @@ def _incidents() -> dict[str, str]:
         "incident_evidence": query("SELECT incident_id, evidence, summary FROM incidents"),
         "compromise_incidents": query(f"SELECT {INCIDENT} FROM incidents WHERE compromised"),
         "incident_queue": query("SELECT priority, incident_id, title, risk_score, risk_level, event_count, last_seen FROM incidents"),
-        "recommendations": query(f"SELECT {', '.join(dims.RECOMMENDATION_COLUMNS)} FROM incidents"),
+        "recommendations": query(f"SELECT {', '.join(fixed.RECOMMENDATION_COLUMNS)} FROM incidents"),
         "incident_counts": query("SELECT manager_name, agent_id, affected_asset, count(*) AS incident_count FROM incidents GROUP BY ALL"),
         "report_priority_incidents": query(f"SELECT {INCIDENT} FROM incidents WHERE priority <= 12"),
     }
@@ -388,7 +393,7 @@ def _summaries() -> dict[str, str]:
       FROM (SELECT rule_id, description, count(*) AS alert_count, max(rule_level) AS rule_level, max(risk_score) AS max_risk_score,
           {band('max(risk_score)')} AS max_risk_level, min(pos) AS first_pos FROM alerts GROUP BY rule_id, description) c
       LEFT JOIN ({distinct('rule_id, description', 'affected_asset', 'affected_assets')}) USING (rule_id, description)"""
-    attack = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in dims.ATTACK.items())
+    attack = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in fixed.ATTACK.items())
     # Tactics come before ids; `place` keeps their order inside an alert.
     base = "pos, risk_score, source_ip, affected_asset"
     buckets = f"""
@@ -455,13 +460,13 @@ def _summaries() -> dict[str, str]:
 
     posture = _posture()
     return {
-        "summary_by_source": full(dims.SOURCE_SUMMARY_COLUMNS, "by_source"),
-        "summary_by_type": full(dims.TYPE_SUMMARY_COLUMNS, "by_type"),
-        "summary_by_asset": full(dims.ASSET_SUMMARY_COLUMNS, "by_asset"),
-        "summary_by_rule": full(dims.RULE_SUMMARY_COLUMNS, "by_rule"),
-        "mitre_summary": full(dims.MITRE_SUMMARY_COLUMNS, "mitre"),
+        "summary_by_source": full(fixed.SOURCE_SUMMARY_COLUMNS, "by_source"),
+        "summary_by_type": full(fixed.TYPE_SUMMARY_COLUMNS, "by_type"),
+        "summary_by_asset": full(fixed.ASSET_SUMMARY_COLUMNS, "by_asset"),
+        "summary_by_rule": full(fixed.RULE_SUMMARY_COLUMNS, "by_rule"),
+        "mitre_summary": full(fixed.MITRE_SUMMARY_COLUMNS, "mitre"),
         "metrics": query("SELECT * FROM numbers", **ctes),
-        "timeline": full(dims.TIMELINE_COLUMNS, "times"),
+        "timeline": full(fixed.TIMELINE_COLUMNS, "times"),
         "top5_values": query(
             f"SELECT alert_type, top_users, top_sources FROM ({top('alert_type', 'target_user', 'top_users')}) "
             f"JOIN ({top('alert_type', 'source_ip', 'top_sources')}) USING (alert_type)"),
@@ -498,7 +503,7 @@ def _posture() -> str:
         "CASE WHEN critical_incidents > 0 THEN 'critical' WHEN high_incidents > 0 THEN 'high' "
         "WHEN medium_incidents > 0 THEN 'medium' ELSE 'none' END"
     )
-    texts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.POSTURES.items())
+    texts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.POSTURES.items())
     return f"""SELECT {level} AS posture, critical_incidents + high_incidents AS high_priority_incidents,
         CASE {level} {texts} END || ' 本次共纳入 ' || total_alerts || ' 条告警，关联形成 ' || total_incidents || ' 个事件，覆盖 '
         || asset_count || ' 台资产和 ' || source_ip_count || ' 个已知来源地址；其中高危及以上事件 '
