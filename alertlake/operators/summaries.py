@@ -88,9 +88,18 @@ def top_values(alerts: DataFrame, keys: list[str], fields: dict[str, Column]) ->
     return top.groupBy(*keys).agg(*[text(name).alias(name) for name in fields])
 
 
+def first_places(alerts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One row per key and distinct value with the line it first stands in.
+
+    Nothing is collected, so a key with millions of values is as many rows. Joined texts are made
+    of this table where a report prints them.
+    """
+    return alerts.filter(known(F.col(column))).groupBy(*keys, column).agg(F.min("pos").alias("pos"))
+
+
 def ordered_values(alerts: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """All distinct values per key in first-seen order, comma-joined."""
-    first = alerts.filter(known(F.col(column))).groupBy(*keys, column).agg(F.min("pos").alias("pos"))
+    """All distinct values per key in first-seen order, comma-joined: what a report prints."""
+    first = first_places(alerts, keys, column)
     values = F.transform(
         F.array_sort(F.collect_list(F.struct("pos", column))), lambda x: x[column]
     )

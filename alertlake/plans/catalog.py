@@ -682,6 +682,11 @@ def ordered_distinct(spark, sf_dir):
     return summaries.ordered_values(alerts(spark, sf_dir), ["manager_name", "agent_id"], "target_user", "target_users")
 
 
+@query
+def ordered_distinct_rows(spark, sf_dir):
+    return summaries.first_places(alerts(spark, sf_dir), ["manager_name", "agent_id"], "target_user")
+
+
 @query
 def incident_counts(spark, sf_dir):
     return summaries.incident_counts(found(spark, sf_dir), summaries.ASSET_KEYS)

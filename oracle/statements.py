@@ -471,6 +471,8 @@ def _summaries() -> dict[str, str]:
             f"SELECT alert_type, top_users, top_sources FROM ({top('alert_type', 'target_user', 'top_users')}) "
             f"JOIN ({top('alert_type', 'source_ip', 'top_sources')}) USING (alert_type)"),
         "ordered_distinct": query(distinct("manager_name, agent_id", "target_user", "target_users")),
+        "ordered_distinct_rows": query(
+            "SELECT manager_name, agent_id, target_user, min(pos) AS pos FROM alerts WHERE target_user <> '-' GROUP BY ALL"),
         "report_privilege": newest(
             "event_category = 'Privilege Activity'", "timestamp, affected_asset, actor_user, target_user, command, rule_id, risk_level"),
         "report_authentication": newest(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertlake.functions import ip, jsontext, text
+from alertlake.operators import summaries
 from alertlake.operators.ranges import ranked, running_total
 from alertlake.plans import publish as publishing
 from alertlake.plans.analysis import Options, report
@@ -123,3 +124,11 @@ def test_positions_and_running_totals_over_ranges(spark):
     for k in range(5000):
         assert totals[k][1] == total
         total += totals[k][0]
+
+
+def test_a_key_with_a_million_values_is_rows(spark):
+    df = spark.range(1_000_000).select(F.lit("a").alias("k"), F.concat(F.lit("user"), F.col("id")).alias("v"), F.col("id").alias("pos"))
+    rows = summaries.first_places(df.unionByName(df), ["k"], "v")
+    assert rows.agg(F.count("*"), F.sum("pos")).first()[:] == (1_000_000, 499_999_500_000)
+    few = df.filter("pos < 50")
+    assert summaries.ordered_values(few, ["k"], "v", "vs").first()["vs"] == ", ".join(f"user{i}" for i in range(50))
