@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts by (source, language, topic) are raked until the weighted marginals meet the targets of
-all three. The factors of languages and topics are short vectors; those of sources, which may be
-many, are worked out in the job that sums each round, from one row per source. Documents are then
-sampled by calibrated probabilities, decided by a hash of the id alone.
+all three, no cell getting more than all of its tokens. The factors of languages and topics are
+short vectors; those of sources, which may be many, are worked out in the job that sums each round,
+from one row per source. Documents are then sampled by these calibrated probabilities, decided by a
+hash of the id alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ TOPIC_SAMPLE = 5000
 FRACTION = 0.3
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 TOLERANCE = 1e-6
-MAX_ROUNDS = 100
+MAX_ROUNDS = 60
+# Rounds without a better fit after which the targets count as out of reach.
+PATIENCE = 8
 MAX_LEVELS = 10_000
 SEED = 42
 MISSING = "(none)"
@@ -65,12 +68,13 @@ def _target(levels: DataFrame, name: str, given: Mapping | None, exponent: float
     return {k: v / total if total else 0.0 for k, v in raw.items()}
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, exponents: Mapping[str, float] = EXPONENTS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, exponents: Mapping[str, float] = EXPONENTS, fraction: float | None = None) -> DataFrame:
     """Adds `rate`: the raked weight of a token of each cell (source, lang, topic, tokens).
 
     The weights tokens * rate sum to one and meet the target shares of all dimensions, as far as
-    the cells with tokens allow it. At most 10,000 languages and topics are expected; sources may
-    be any number.
+    the cells with tokens allow it. With a fraction, no cell weighs more than its tokens are of
+    that fraction of all tokens, so that none would have to be drawn twice. At most 10,000
+    languages and topics are expected; sources may be any number.
     """
     targets, c = targets or {}, F.col
     levels = {}
@@ -98,30 +102,59 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, exponen
         wanted = F.when(c("tokens") > 0, F.pow("tokens", F.lit(exponents["source"]))).otherwise(0.0)
     table = written(by_source.withColumn("raw", wanted.cast("double")).drop("tokens"), "mix-sources")
     total = table.agg(F.sum("raw")).first()[0] or 0.0
+    tokens = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    most = 1 / (fraction * tokens) if fraction and tokens else None
     b, k = np.ones(len(b_target)), np.ones(len(c_target))
 
-    def factor() -> Column:
-        """The source's factor that brings its cells to its target."""
-        weight = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["t"] * F.get(_array(b), x["l"]) * F.get(_array(k), x["k"]))
-        return F.when(weight > 0, c("raw") / F.lit(total or 1.0) / weight).otherwise(0.0)
+    def rated() -> DataFrame:
+        """Cells with the rates that bring every source to its target, given the other factors."""
+        pull = lambda x: F.get(_array(b), x["l"]) * F.get(_array(k), x["k"])
+        pulled = F.transform("cells", lambda x: F.struct(pull(x).alias("pull"), x["t"].alias("t"), x["l"].alias("l"), x["k"].alias("k")))
+        rows = table.select("source", (c("raw") / F.lit(total or 1.0)).alias("wanted"), F.sort_array(pulled, asc=False).alias("cells"))
+        rows = rows.withColumn("a", _source_factor(most)).select("source", "a", F.explode("cells").alias("x"))
+        rate = c("a") * c("x.pull")
+        return rows.select("source", "x.l", "x.k", c("x.t").alias("tokens"), (F.least(rate, F.lit(most)) if most else rate).alias("rate"))
 
+    best, stale, kept = np.inf, 0, (b, k)
     for _ in range(MAX_ROUNDS):
-        summed = table.withColumn("a", factor()).select("a", F.explode("cells").alias("x")).groupBy("x.l", "x.k").agg(F.sum(c("a") * c("x.t")).alias("w"))
         matrix = np.zeros((len(b), len(k)))
-        for row in summed.collect():
+        for row in rated().groupBy("l", "k").agg(F.sum(c("tokens") * c("rate")).alias("w")).collect():
             matrix[row["l"], row["k"]] = row["w"]
-        before = matrix * b[:, None] * k[None, :]
-        off = max(np.abs(before.sum(1) - b_target).max(initial=0), np.abs(before.sum(0) - c_target).max(initial=0))
-        if off < TOLERANCE:
+        off = max(np.abs(matrix.sum(1) - b_target).max(initial=0), np.abs(matrix.sum(0) - c_target).max(initial=0))
+        stale = 0 if off < 0.99 * best else stale + 1
+        if off < best:
+            best, kept = off, (b, k)
+        if best < TOLERANCE or stale >= PATIENCE:
             break
-        b = _ratio(b_target, matrix @ k)
-        k = _ratio(c_target, b @ matrix)
-    rate = c("a") * F.get(_array(b), c("x.l")) * F.get(_array(k), c("x.k"))
-    rated = table.withColumn("a", factor()).select("source", "a", F.explode("cells").alias("x")).select(
-        "source", F.get(_texts(names["lang"]), c("x.l")).alias("lang"),
-        F.get(_array(names["topic"], "int"), c("x.k")).alias("topic"), c("x.t").alias("tokens"), rate.alias("rate"),
-    )
-    return written(rated, "mix-cells")
+        grow = _ratio(b_target, matrix.sum(1))
+        b = b * grow
+        k = k * _ratio(c_target, grow @ matrix)
+    b, k = kept
+    return written(rated().select(
+        "source", F.get(_texts(names["lang"]), c("l")).alias("lang"), F.get(_array(names["topic"], "int"), c("k")).alias("topic"), "tokens", "rate",
+    ), "mix-cells")
+
+
+def _source_factor(most: float | None) -> Column:
+    """What the pulls of a source's cells (largest first) are multiplied by to reach its target.
+
+    Cells that would pass the highest rate are taken at that rate, and the rest make up for it.
+    """
+    c = F.col
+    weight = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["t"] * x["pull"])
+    even = F.when(weight > 0, c("wanted") / weight).otherwise(0.0)
+    if most is None:
+        return even
+    start = F.struct(even.alias("a"), c("wanted").alias("open"), weight.alias("rest"))
+
+    def step(s: Column, x: Column) -> Column:
+        left, rest = s["open"] - x["t"] * most, s["rest"] - x["t"] * x["pull"]
+        # Nothing left to draw from: all cells are taken at the highest rate.
+        a = F.when(rest > 1e-12 * weight, F.greatest(left, F.lit(0.0)) / rest).otherwise(F.lit(1e300))
+        capped = F.struct(a.alias("a"), left.alias("open"), rest.alias("rest"))
+        return F.when((s["a"] * x["pull"] > most) & (s["a"] < 1e300), capped).otherwise(s)
+
+    return F.aggregate("cells", start, step, lambda s: s["a"])
 
 
 def _array(values, kind: str = "double") -> Column:
@@ -139,7 +172,8 @@ def _ratio(wanted: np.ndarray, got: np.ndarray) -> np.ndarray:
 def probabilities(cells: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Adds `probability`, at most one, such that the expected tokens are the fraction of all.
 
-    Rates are scaled alike; a cell that would pass one is taken whole, and the rest make up for it.
+    Rates that were raked for the fraction only need this scale. Others are scaled alike; a cell
+    that would pass one is taken whole, and the rest make up for it.
     """
     c = F.col
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
@@ -171,7 +205,7 @@ def mixed(docs: DataFrame, fraction: float = FRACTION, targets: Mapping[str, Map
     narrow = with_topics(rows, topics).select("key", "id", "source", "lang", "topic", F.size(words_of(c("t"))).cast("bigint").alias("n_tokens"))
     narrow = written(narrow, "mix-rows")
     cells = written(narrow.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "mix-counts")
-    rated = probabilities(rake(cells, targets), fraction).select("source", "lang", "topic", "probability")
+    rated = probabilities(rake(cells, targets, fraction=fraction), fraction).select("source", "lang", "topic", "probability")
     share = (F.xxhash64(F.lit(SEED + 1), "key") / F.lit(2.0**64)) + 0.5
     return narrow.join(rated, ["source", "lang", "topic"]).select(
         "key", c("id").alias(id), "source", "lang", "topic", "n_tokens", "probability", (share < c("probability")).alias("kept")
