@@ -42,14 +42,14 @@ def main() -> None:
     seconds: dict[str, float] = {}
     warm: dict[str, float] = {}
 
-    def run(build):
+    def clocked(build):
         began = time.perf_counter()
         result = build()
         return result, round(time.perf_counter() - began, 3)
 
     def timed(name: str, build):
-        result, seconds[name] = run(build)
-        warm[name] = median(run(build)[1] for _ in range(3))
+        result, seconds[name] = clocked(build)
+        warm[name] = median(clocked(build)[1] for _ in range(3))
         return result
 
     def consumed(build):
