@@ -268,6 +268,37 @@ RECOMMENDATION_COLUMNS = [
 TIMELINE_COLUMNS = [
     "period_start", "alert_count", "high_or_critical_count", "credential_attack_count",
 ]
+AUDIT_ROWS = 30
+AUTHENTICATION_COLUMNS = [
+    "timestamp", "affected_asset", "source_ip", "target_user", "alert_type", "rule_id", "rule_level",
+    "risk_level",
+]
+PRIVILEGE_COLUMNS = [
+    "timestamp", "affected_asset", "actor_user", "target_user", "command", "rule_id", "risk_level",
+]
+HEALTH_COLUMNS = ["timestamp", "affected_asset", "alert_type", "rule_id", "rule_level", "risk_level"]
+# Report table: rows shown, columns
+REPORT_TABLES = {
+    "by_source": (15, [
+        "source_ip", "source_scope", "alert_count", "incident_count", "max_risk_level",
+        "top_alert_types", "affected_assets",
+    ]),
+    "by_asset": (15, [
+        "affected_asset", "manager_name", "agent_id", "agent_ip", "alert_count", "incident_count",
+        "max_risk_level", "top_alert_types",
+    ]),
+    "by_type": (20, [
+        "alert_type", "event_category", "alert_count", "max_risk_level", "source_ips", "affected_assets",
+    ]),
+    "by_rule": (20, [
+        "rule_id", "rule_level", "alert_count", "max_risk_level", "description", "affected_assets",
+    ]),
+    "by_mitre": (30, [
+        "mapping_type", "attack_stage", "mitre_id", "technique", "alert_count", "max_risk_level",
+        "top_source_ips", "affected_assets",
+    ]),
+}
+
 # ------------------------------------------------------------ end fixed values
 
 

@@ -8,39 +8,8 @@ from pyspark.sql import functions as F
 from alertlake import dims
 from alertlake.operators.incidents import queue_order
 
-AUDIT_ROWS = 30
-AUTHENTICATION_COLUMNS = [
-    "timestamp", "affected_asset", "source_ip", "target_user", "alert_type", "rule_id", "rule_level",
-    "risk_level",
-]
-PRIVILEGE_COLUMNS = [
-    "timestamp", "affected_asset", "actor_user", "target_user", "command", "rule_id", "risk_level",
-]
-HEALTH_COLUMNS = ["timestamp", "affected_asset", "alert_type", "rule_id", "rule_level", "risk_level"]
-# Report table: rows shown, columns
-TABLES = {
-    "by_source": (15, [
-        "source_ip", "source_scope", "alert_count", "incident_count", "max_risk_level",
-        "top_alert_types", "affected_assets",
-    ]),
-    "by_asset": (15, [
-        "affected_asset", "manager_name", "agent_id", "agent_ip", "alert_count", "incident_count",
-        "max_risk_level", "top_alert_types",
-    ]),
-    "by_type": (20, [
-        "alert_type", "event_category", "alert_count", "max_risk_level", "source_ips", "affected_assets",
-    ]),
-    "by_rule": (20, [
-        "rule_id", "rule_level", "alert_count", "max_risk_level", "description", "affected_assets",
-    ]),
-    "by_mitre": (30, [
-        "mapping_type", "attack_stage", "mitre_id", "technique", "alert_count", "max_risk_level",
-        "top_source_ips", "affected_assets",
-    ]),
-}
-
-
-def newest(alerts: DataFrame, categories: list[str], columns: list[str], n: int = AUDIT_ROWS) -> DataFrame:
+
+def newest(alerts: DataFrame, categories: list[str], columns: list[str], n: int = dims.AUDIT_ROWS) -> DataFrame:
     """The newest alerts of some categories; alerts without a time come last."""
     return (
         alerts.filter(F.col("event_category").isin(categories))
@@ -50,20 +19,20 @@ def newest(alerts: DataFrame, categories: list[str], columns: list[str], n: int
 
 
 def authentication(alerts: DataFrame) -> DataFrame:
-    return newest(alerts, dims.AUTH_CATEGORIES, AUTHENTICATION_COLUMNS)
+    return newest(alerts, dims.AUTH_CATEGORIES, dims.AUTHENTICATION_COLUMNS)
 
 
 def privilege(alerts: DataFrame) -> DataFrame:
-    return newest(alerts, ["Privilege Activity"], PRIVILEGE_COLUMNS)
+    return newest(alerts, ["Privilege Activity"], dims.PRIVILEGE_COLUMNS)
 
 
 def agent_health(alerts: DataFrame) -> DataFrame:
-    return newest(alerts, ["Agent Visibility"], HEALTH_COLUMNS)
+    return newest(alerts, ["Agent Visibility"], dims.HEALTH_COLUMNS)
 
 
 def shown(summary: DataFrame, table: str) -> DataFrame:
     """The first rows of a summary in its order, with how many there are in all."""
-    rows, columns = TABLES[table]
+    rows, columns = dims.REPORT_TABLES[table]
     total = summary.agg(F.count("*").alias("n")).scalar()
     return summary.limit(rows).select(*columns).withColumn("total_rows", total)
 

@@ -160,6 +160,15 @@ def ingest_strict(spark, sf_dir):
     return counts.withColumn("refused", sum(F.col(f"n_{status}") for status in lines.REJECTED) > 0)
 
 
+@query
+def normalize_all_rules(spark, sf_dir):
+    """Every known rule, deep data, IPv6 sources, line breaks at text ends."""
+    return load_records(event_alerts.rule_cycle_lines(spark, sf_dir)).select(
+        "event_id", "rule_id", "alert_type", "event_category", "outcome", "classification_confidence", "rule_level",
+        "risk_score", "source_ip", "source_scope", "full_log",
+    )
+
+
 @query
 def sink_csv(spark, sf_dir):
     """Alerts written as CSV and read back."""

@@ -12,6 +12,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rank limits are applied in every task before ranks of a key meet.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
     # Plain lower-casing; the ICU tables only matter for locale rules that are not used here.
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
     # Recording the Python call site of every expression costs more than planning them. (The

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertlake import dims
+
 DUPLICATE_BASE = 10_000_000
 LINE_CAP = 2_000
 
@@ -127,6 +129,26 @@ def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_cycle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines whose rules take turns through all known ones, with an IPv6 source four levels
+    deep in every other line and a line break at the end of each log text."""
+    c = F.col
+    rules = sorted(dims.RULES)
+    e = c("event_id")
+    source = F.concat(F.lit("2606:4700:0:0:0:0:0:"), F.hex(c("user_id") % 250 + 1))
+    nested = F.when(e % 2 == 0, F.struct(F.struct(F.struct(source.alias("srcip")).alias("c")).alias("b")))
+    alert = F.struct(
+        F.concat(F.lit("R"), e.cast("string")).alias("id"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"),
+        F.struct(
+            F.get(F.array(*[F.lit(r) for r in rules]), (e % len(rules)).cast("int")).alias("id"),
+            (F.floor("value") % 17).cast("int").alias("level"), F.array(F.lit("other")).alias("groups"),
+        ).alias("rule"),
+        F.struct(nested.alias("a")).alias("data"),
+        F.concat(F.lit("event "), e.cast("string"), F.lit("\n")).alias("full_log"),
+    )
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select((e + 1).alias("record_number"), F.to_json(alert).alias("value"))
+
+
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts as JSON lines."""
     return raw_alerts(spark, sf_dir).select("record_number", F.to_json("alert").alias("value"))

@@ -272,8 +272,25 @@ def _functions() -> dict[str, str]:
     }
 
 
+def _all_rules() -> str:
+    rows = ", ".join(
+        f"({i}, '{r}', '{kind}', '{category}', '{outcome}', {fixed.TYPE_BONUS.get(kind, 0)}, {5 if r in fixed.CUSTOM_RULES else 0})"
+        for i, (r, (kind, category, outcome)) in enumerate(sorted(fixed.RULES.items()))
+    )
+    n = len(fixed.RULES)
+    score = f"""least(100, greatest(least(rule_level * 6, 75) + bonus + custom + CASE WHEN e % 2 = 0 THEN 7 ELSE 0 END,
+      CASE WHEN rule_level >= 12 THEN 85 WHEN rule_level >= 8 THEN 65 WHEN rule_level >= 4 THEN 40 ELSE 0 END))"""
+    return query(f"""SELECT 'R' || e AS event_id, rule_id, alert_type, event_category, outcome, 'High' AS classification_confidence,
+      rule_level, CAST({score} AS INT) AS risk_score,
+      CASE WHEN e % 2 = 0 THEN '2606:4700::' || lower(to_hex(u % 250 + 1)) ELSE '-' END AS source_ip,
+      CASE WHEN e % 2 = 0 THEN 'Public/External' ELSE 'Unknown' END AS source_scope, 'event ' || e || '\\n' AS full_log
+    FROM (SELECT *, CAST(floor(value) AS INT) % 17 AS rule_level FROM source_events) JOIN all_rules ON place = e % {n}""",
+        source_events=EV, all_rules=f"SELECT * FROM (VALUES {rows}) AS t(place, rule_id, alert_type, event_category, outcome, bonus, custom)")
+
+
 def _ingest() -> dict[str, str]:
     return {
+        "normalize_all_rules": _all_rules(),
         "src_lines": ingest(
             "SELECT count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM json_line WHERE record_number < 10000000"),
         "src_line_number": ingest(
