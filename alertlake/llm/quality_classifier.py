@@ -186,7 +186,10 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(rows: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int):
-    """Features of the rows with the smallest hashed keys: labelled, then without a label."""
+    """Features of the ids with the smallest hashes: labelled, then without a label.
+
+    An id that many rows share gives one of them, the one whose text has the smallest hash.
+    """
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -197,11 +200,12 @@ def _sampled(rows: DataFrame, labels: DataFrame, max_labelled: int, max_unlabell
                 )
 
     place = F.xxhash64(F.lit(SEED), F.col("id"))
-    keys = rows.select("id").join(labels, "id", "left").select(place.alias("place"), "id", "y")
+    keys = rows.select("id").distinct().join(labels, "id", "left").select(place.alias("place"), "id", "y")
     parts = [keys.filter("y is not null").orderBy("place", "id").limit(max_labelled), keys.filter("y is null and id is not null").orderBy("place", "id").limit(max_unlabelled)]
     # At most 24,000 short rows, so the texts are filtered where they are read.
     chosen = F.broadcast(written(parts[0].unionByName(parts[1]), "quality-sample"))
-    picked = rows.join(chosen, "id").select("place", "y", "t", "source", "lang")
+    one = F.min_by(F.struct("place", "y", "t", "source", "lang"), F.xxhash64("t", "source", "lang"))
+    picked = rows.join(chosen, "id").groupBy("id").agg(one.alias("row")).select("row.*")
     found = written(picked.mapInArrow(run, "place bigint, y double, xt array<double>, xm array<double>"), "quality-features").toArrow()
     order = np.argsort(found.column("place").to_numpy(), kind="stable")
     y = found.column("y").to_numpy(zero_copy_only=False)[order]

@@ -151,6 +151,9 @@ def test_quality_classifier(spark):
     kept = {r.doc_id: r.kept for r in out}
     held = [i for i in range(1, 200, 2)]
     assert all(kept[i] for i in held) and not any(kept[1000 + i] for i in held)
+    # An id shared by many rows is one row of the sample.
+    many = docs.unionByName(spark.range(3000).select(F.lit(8).alias("doc_id"), F.lit(PROSE).alias("text"), F.lit("en").alias("lang"), F.lit("s1").alias("source"), F.lit(0.5).alias("score")))
+    assert quality_classifier.quality_classifier(many, labels).count() == 3405
     one = quality_classifier.quality_classifier(docs, labels.filter("quality = 1")).collect()
     assert {r.score for r in one} == {1.0}
     assert {r.score for r in quality_classifier.quality_classifier(docs, labels.limit(0)).collect()} == {0.5}
