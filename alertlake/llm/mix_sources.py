@@ -145,13 +145,13 @@ def _source_factor(most: float | None) -> Column:
     even = F.when(weight > 0, c("wanted") / weight).otherwise(0.0)
     if most is None:
         return even
-    start = F.struct(even.alias("a"), c("wanted").alias("open"), weight.alias("rest"))
+    start = F.struct(even.alias("a"), c("wanted").alias("open"), weight.alias("rest"), weight.alias("whole"))
 
     def step(s: Column, x: Column) -> Column:
         left, rest = s["open"] - x["t"] * most, s["rest"] - x["t"] * x["pull"]
         # Nothing left to draw from: all cells are taken at the highest rate.
-        a = F.when(rest > 1e-12 * weight, F.greatest(left, F.lit(0.0)) / rest).otherwise(F.lit(1e300))
-        capped = F.struct(a.alias("a"), left.alias("open"), rest.alias("rest"))
+        a = F.when(rest > 1e-12 * s["whole"], F.greatest(left, F.lit(0.0)) / rest).otherwise(F.lit(1e300))
+        capped = F.struct(a.alias("a"), left.alias("open"), rest.alias("rest"), s["whole"].alias("whole"))
         return F.when((s["a"] * x["pull"] > most) & (s["a"] < 1e300), capped).otherwise(s)
 
     return F.aggregate("cells", start, step, lambda s: s["a"])
