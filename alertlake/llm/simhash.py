@@ -34,7 +34,7 @@ MADE = ["fingerprint", "component_id"]
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _word_chunks(data: bytes, width: int) -> Iterator[list[bytes]]:
+def word_chunks(data: bytes, width: int) -> Iterator[list[bytes]]:
     """Words of a text in lists that overlap by width - 1, so that long texts need little memory."""
     if len(data) < LONG_TEXT:
         yield data.split()
@@ -50,7 +50,7 @@ def _word_chunks(data: bytes, width: int) -> Iterator[list[bytes]]:
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> bytes:
     """Eight bytes, highest bit first; zero without words."""
     ones, n = np.zeros(64, np.int64), 0
-    for words in _word_chunks((text or "").encode("utf-8", "surrogatepass").lower(), width):
+    for words in word_chunks((text or "").encode("utf-8", "surrogatepass").lower(), width):
         if not words:
             continue
         if len(words) < width:
@@ -191,7 +191,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", width: i
 
     Rows without an id are only kept if their component has none with an id, one per component.
     """
-    groups = simhash_groups(docs, text, id, width, radius)
+    return first_of_groups(docs, simhash_groups(docs, text, id, width, radius), text, id)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row for each row_key that is the group_key of its own group, from groups (key, group_key)."""
     keep = groups.filter(F.col("key") == F.col("group_key")).select("key").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in carried(docs)]).alias("row"), row_key(id, text).alias("key"))
     # Both steps deal rows out by key, so whole texts move once.

@@ -310,3 +310,34 @@ def test_held_out_languages(spark):
     given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right = found.join(given, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.97
+
+
+def shingle_similarity(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_drops_edited_copies(spark):
+    rows, want, pairs = [], set(), 0
+    for i in range(60):
+        words = [f"{i}x{RNG.randint(0, 10**6)}" for _ in range((100, 300, 1000)[i % 3])]
+        edited = list(words)
+        for at in RNG.sample(range(len(words)), RNG.randint(1, max(1, len(words) // 40))):
+            edited[at] = "changed"
+        a, b = " ".join(words), " ".join(edited)
+        alike = shingle_similarity(a, b) >= 0.8
+        pairs += alike
+        rows += [(i, a), (1000 + i, b)]
+        want |= {i} if alike else {i, 1000 + i}
+    # The ends of a chain are only joined by its middle.
+    words = [f"chain{k}" for k in range(100)]
+    tail = words[:91] + [f"own{k}" for k in range(9)]
+    rows += [(2000 + k, " ".join(w)) for k, w in enumerate((words, tail, [f"new{k}" for k in range(9)] + tail[9:]))]
+    assert shingle_similarity(rows[-3][1], rows[-1][1]) < 0.7
+    want |= {2000}
+    rows += [(3000, None), (3001, " "), (3002, ""), (3003, "one"), (3004, "ONE")]
+    want |= {3000, 3003}
+    assert pairs >= 20
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, node string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == want
