@@ -26,15 +26,23 @@ SEED_SHARE = 0.5
 MIN_SCORE = 0.6
 MIN_WORDS = 8
 SLACK = 8
+# A copy of so many words is a hit in an item of any length. Of so many successive n-grams one is a
+# seed, so that any nine successive words of it hold one.
+LONG_COPY = 30
+STRETCH = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 # 4 MiB of bits; a benchmark of a million n-grams still lets only three of a hundred others pass.
 BITMAP_BITS = 1 << 25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
+# Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: a character is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_WORD = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    lower = (text or "").lower()
+    return (_WORD if lower.isascii() else _ANY_WORD).findall(lower)
 
 
 def gram_hashes(words: list[str], n: int = NGRAM) -> np.ndarray:
@@ -102,14 +110,22 @@ def document_counts(rows: DataFrame, bits, n: int = NGRAM) -> DataFrame:
 
 
 def seeds_of(grams: DataFrame, counts: DataFrame, share: float = SEED_SHARE, least: int = MIN_SEEDS) -> DataFrame:
-    """The n-grams of each item found in the fewest documents: a share of them, 16 at least."""
+    """The n-grams of each item found in the fewest documents: a share of them, 16 at least.
+
+    A document that copies only a part of a long item may hold none of these, as what it copies is
+    more frequent than what nobody does. So items that a long copy need not cover also have the
+    rarest n-gram that any document holds of each stretch of four.
+    """
     c = F.col
     ranked = grams.join(counts, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     order = Window.partitionBy("item").orderBy("df", "pos")
     n = F.count("*").over(Window.partitionBy("item"))
-    return ranked.select("item", "pos", "h", F.row_number().over(order).alias("place"), n.alias("n")).filter(
+    rarest = ranked.select("item", "pos", "h", F.row_number().over(order).alias("place"), n.alias("n")).filter(
         c("place") <= F.greatest(F.lit(least), F.ceil(c("n") * share))
     ).select("item", "h")
+    part = ranked.filter((c("df") > 0) & (c("n_words") * MIN_SCORE > LONG_COPY)).groupBy("item", F.floor(c("pos") / STRETCH))
+    spread = part.agg(F.min(F.struct("df", "pos", "h")).alias("least")).select("item", "least.h")
+    return rarest.unionByName(spread).distinct()
 
 
 def passages(rows: DataFrame, bits, reach: int, n: int = NGRAM) -> DataFrame:
@@ -159,21 +175,25 @@ def smith_waterman(item: list[str], passage: list[str]) -> tuple[int, int]:
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
-    """(key, item, score, end_word) of pairs (key, item, start, words, item_text)."""
+    """(key, item, score, n_same, end_word) of pairs (key, item, start, words, item_text).
+
+    n_same is the number of matching words that alone give the alignment's score.
+    """
     def run(batches):
         for batch in batches:
             names = ("key", "item", "start", "words", "item_text")
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for key, item, start, words, text in zip(*[batch.column(x).to_pylist() for x in names]):
                 wanted = words_of(text)
                 score, end = smith_waterman(wanted, words.split(" "))
                 enough = MATCH * min(len(wanted), MIN_WORDS)
-                for column, x in zip(out, (key, item, score / (MATCH * len(wanted)) if score >= enough else 0.0, start + end)):
+                share = score / (MATCH * len(wanted)) if score >= enough else 0.0
+                for column, x in zip(out, (key, item, share, score // MATCH, start + end)):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "item", "score", "end_word"])
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "item", "score", "n_same", "end_word"])
 
-    return pairs.select("key", "item", "start", "words", "item_text").mapInArrow(run, "key bigint, item bigint, score double, end_word bigint")
+    return pairs.select("key", "item", "start", "words", "item_text").mapInArrow(run, "key bigint, item bigint, score double, n_same bigint, end_word bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, n: int = NGRAM, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -181,7 +201,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, n
 
     Words are runs of word characters, lower-cased. The score is the Smith-Waterman score over that
     of the whole item; a hit needs `min_score` and eight matching words, or the whole of a shorter
-    item. Null and empty texts, and items of under three words, are never hits. Rows that share an
+    item, or the score of 30 matching words whatever the item's length. Characters of scripts
+    without blanks are words. Null and empty texts, and items of under three words, are never hits. Rows that share an
     id are one document; those without one are told apart by their text. Repeated items count once.
     """
     spark = docs.sparkSession
@@ -199,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, n
     cut = written(passages(rows, chosen, (longest or 0) + SLACK, n), "passages")
     met = cut.select("key", "start", F.explode("hs").alias("h")).join(seeds, "h").select("key", "start", "item").distinct()
     pairs = met.join(cut.select("key", "start", "words"), ["key", "start"]).join(items.select("item", c("t").alias("item_text")), "item")
-    best = aligned(pairs).filter(c("score") >= min_score).groupBy("key", "item").agg(F.max(F.struct("score", "end_word")).alias("best"))
+    best = aligned(pairs).filter((c("score") >= min_score) | (c("n_same") >= LONG_COPY)).groupBy("key", "item").agg(F.max(F.struct("score", "end_word")).alias("best"))
     return best.join(items.select("item", "item_id"), "item").select(
         "key", F.when(c("key") < (1 << 62), c("key")).alias(id), "item_id", "best.score", "best.end_word"
     )

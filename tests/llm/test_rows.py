@@ -341,3 +341,18 @@ def test_pipeline_drops_edited_copies(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, node string")
     left = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == want
+
+
+def test_parts_of_long_items_are_leaks(spark):
+    long, longer = [f"a{k}" for k in range(200)], [f"b{k}" for k in range(1000)]
+    edited = [w if k % 10 else "changed" for k, w in enumerate(longer[400:460])]
+    chinese = "水的沸点在标准大气压下是一百摄氏度"
+    rows = [(1, prose(100) + " " + " ".join(long[100:]) + " " + prose(100)), (2, " ".join(long[:20]) + " " + prose(80)), (3, " ".join(longer[613:643])),
+            (4, prose(50) + " " + " ".join(edited)), (5, f"前文。{chinese}。后文"), (6, "水是一种液体"), (7, prose(300))]
+    # What others copy must not keep a document's own part from being found.
+    rows += [(100 + k, " ".join(longer[:600])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(longer)), (3, chinese + "。")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert found.keys() == {(1, 1), (3, 2), (4, 2), (5, 3), (100, 2), (101, 2), (102, 2)}
+    assert found[(1, 1)] == 0.5 and found[(5, 3)] == 1.0
