@@ -41,20 +41,23 @@ ENTRY = "key string, page_id bigint, archive string, offset bigint, length bigin
 RECORD = "key string, page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
+def _line(text: str) -> str:
+    """A header value without control characters or blanks."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", text)
+
+
 def surt_key(url: str | None) -> str:
-    """Host parts in reverse, then path and query; the scheme, www-less or not, does not count."""
+    """Host parts in reverse, then path and query; the scheme, www-less or not, does not count.
+
+    Blanks and control characters are escaped, so a key is sorted, stored and looked up as one text.
+    """
     try:
         parts = urlsplit((url or "").strip())
         host, port = (parts.hostname or ""), parts.port
     except ValueError:
-        return (url or "").lower()
+        return _line((url or "").lower())
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + path
-
-
-def _line(text: str) -> str:
-    """A header value without control characters or blanks."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", text)
+    return _line(",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + path)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
@@ -224,7 +227,7 @@ def build_index(entries: DataFrame, root: str, block_lines: int = BLOCK_LINES) -
 
         for batch in batches:
             for key, *rest in zip(*[batch.column(n).to_pylist() for n in _ENTRY.names]):
-                held.append((_line(key), *rest))
+                held.append((key, *rest))
                 if len(held) >= lines:
                     flush()
         if held:
@@ -263,8 +266,7 @@ def lookup(index: Index, keys: DataFrame, key: str = "key") -> DataFrame:
         firsts, lasts = [order(r[0]) for r in shared.value], [order(r[1]) for r in shared.value]
         for batch in batches:
             found = [], []
-            for wanted in batch.column("key").to_pylist():
-                at = _line(wanted)
+            for at in batch.column("key").to_pylist():
                 for block in range(bisect_left(lasts, order(at)), bisect_right(firsts, order(at))):
                     found[0].append(block)
                     found[1].append(at)
@@ -281,7 +283,12 @@ def lookup(index: Index, keys: DataFrame, key: str = "key") -> DataFrame:
                 rows += lines[bisect_left(at, order(wanted)):bisect_right(at, order(wanted))]
             yield _batch(rows, _ENTRY)
 
-    wanted = keys.select(F.col(f"`{key}`").cast("string").alias("key")).filter("key is not null").distinct()
+    def escaped(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_line(k) for k in batch.column("key").to_pylist()], pa.string())], ["key"])
+
+    given = keys.select(F.col(f"`{key}`").cast("string").alias("key")).filter("key is not null")
+    wanted = given.mapInArrow(escaped, "key string").distinct()
     hits = wanted.mapInArrow(blocks_of, "block bigint, key string").repartition("block").sortWithinPartitions("block", "key")
     return hits.mapInArrow(entries_of, ENTRY)
 

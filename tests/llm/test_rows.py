@@ -356,3 +356,17 @@ def test_parts_of_long_items_are_leaks(spark):
     found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, benchmark).collect()}
     assert found.keys() == {(1, 1), (3, 2), (4, 2), (5, 3), (100, 2), (101, 2), (102, 2)}
     assert found[(1, 1)] == 0.5 and found[(5, 3)] == 1.0
+
+
+def test_raw_and_escaped_urls_are_one_key(spark):
+    # Raw, "a b" sorts before "a!b"; stored as a%20b it comes after.
+    urls = ["http://x/a b", "http://x/a%20b", "http://x/a!b", "http://x/a\x7fb", "http://x/a%7Fb", "http://x/a#", "http://x/a$b", "http://[x/a b", "http://[x/a%20b"]
+    rows = [(i, url, f"<p>{i}") for i, url in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    root = warc.shared_folder(spark, "warc")
+    for block_lines in (1, 2, 100):
+        index = warc.build_index(warc.write_archives(warc.with_revisits(pages), root), root, block_lines=block_lines)
+        got = warc.read_records(warc.lookup(index, warc.url_keys(pages)), root).collect()
+        assert sorted(r.page_id for r in got) == list(range(len(urls)))
+        raw = spark.createDataFrame([("x)/a b",), ("x)/a%20b",), ("x)/a!b",)], "key string")
+        assert sorted(r.page_id for r in warc.lookup(index, raw).collect()) == [0, 1, 2]
