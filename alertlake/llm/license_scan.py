@@ -1,7 +1,7 @@
 """Licence scan: passages of a text against licence templates, by Dice over word bigrams.
 
-All of it is DataFrame expressions. A text is cut into sentences, lines, paragraphs and itself;
-a passage is compared only with templates of two thirds to three halves of its words, found by an
+All of it is DataFrame expressions. A text is cut into sentences, lines, paragraphs and itself,
+and into windows of successive sentences or lines that begin and end like a template; a passage is compared only with templates of two thirds to three halves of its words, found by an
 equality join on the word count with the fixed template table. Before that, passages go whose
 bigrams known to any template are too few for the coefficient, which loses nothing.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from alertlake.llm.license_texts import TEMPLATES
 
 MIN_DICE = 0.8
+SENTENCE = r"(?<=[.!?;]) +|\n"
 
 
 def _plain(text: Column) -> Column:
@@ -33,10 +34,40 @@ def _bigrams(words: Column) -> Column:
 def passages(text: Column) -> Column:
     """Distinct pieces of a plain text: itself, its paragraphs, its lines, its sentences."""
     return F.array_distinct(F.concat(
-        F.array(text), F.split(text, r"\n *\n"), F.split(text, "\n"), F.split(text, r"(?<=[.!?;]) +|\n")
+        F.array(text), F.split(text, r"\n *\n"), F.split(text, "\n"), F.split(text, SENTENCE)
     ))
 
 
+def windows(docs: DataFrame, named: list[int], longest: int, min_dice: float = MIN_DICE) -> DataFrame:
+    """(id, of, first, last, w): windows of two or more sentences or lines of texts (id, t).
+
+    Dropping a first or last piece raises a window's coefficient d if less than d / 2 of its bigrams,
+    with the one that leads into the window, are in the template. So the best windows begin and end
+    with pieces of which min_dice / 2 are known to some template, which few pieces of other texts are.
+    """
+    c = F.col
+    known = lambda pair: F.xxhash64(pair).isin(named)
+
+    def piece(p: Column, i: Column) -> Column:
+        inside = F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda k: (k < F.size(p)) & (k > 0) & known(F.slice(p, k, 2)))
+        after = F.get("ps", i + 1)
+        across = F.coalesce(known(F.array(F.element_at(p, -1), F.element_at(after, 1))), F.lit(False))
+        return F.struct(F.size(p).alias("n"), F.size(inside).alias("k"), across.cast("int").alias("x"))
+
+    cut = F.filter(F.transform(F.split(c("t"), SENTENCE), _words), lambda p: F.size(p) > 0)
+    whole = docs.select("id", F.xxhash64("t").alias("of"), F.explode(F.array(cut)).alias("ps")).filter(F.size("ps") > 1)
+    judged = whole.select("id", "of", "ps", F.explode(F.array(F.transform("ps", piece))).alias("st"))
+    share = min_dice / 2
+    begins = F.transform("st", lambda s, i: F.when(s.k + s.x >= s.n * share, i))
+    at = judged.select("id", "of", "ps", "st", F.explode(F.array_compact(begins)).alias("first")).filter(c("first") < F.size("st") - 1)
+    reach = F.sequence(c("first") + 1, F.least(F.size("st") - 1, c("first") + F.lit(longest)))
+    ends = F.filter(reach, lambda i: F.get("st", i).k + F.get("st", i - 1).x >= F.get("st", i).n * share)
+    both = at.select("id", "of", "ps", "st", "first", F.explode(ends).alias("last"))
+    span = lambda name: F.slice(name, c("first") + 1, c("last") - c("first") + 1)
+    size = F.aggregate(span("st"), F.lit(0), lambda total, s: total + s.n)
+    return both.filter(size <= longest).select("id", "of", "first", "last", F.flatten(span("ps")).alias("w"))
+
+
 def templates(spark: SparkSession, min_dice: float = MIN_DICE, texts: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(n_words, licence, t_bigrams) for every word count a template can meet: some thousand rows."""
     rows = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in texts])
@@ -53,7 +84,8 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE, text: str = "text"
 
     A passage counts if it has two thirds to three halves (at 0.8) of a template's words and the
     sets of word bigrams have a Dice coefficient of min_dice or more; if several licences fit it,
-    the best does, then the first by name. n_passages counts the distinct passages of a text.
+    the best does, then the first by name. n_passages counts the distinct passages of a text; of
+    windows that share half of the shorter one's pieces only the best counts.
     Null, empty and one-word texts name none. Rows that share an id, or have none, are one
     document. Other columns are not read.
     """
@@ -62,17 +94,32 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE, text: str = "text"
     # The fixed table of texts bounds both: about a thousand bigrams, some thousand rows.
     named = [r[0] for r in known.select(F.explode("t_bigrams")).distinct().collect()]
     longest = known.agg(F.max("n_words")).first()[0] or 0
-    pieces = docs.select(c(f"`{id}`").alias("id"), _plain(c(f"`{text}`").cast("string")).alias("t"))
-    pieces = pieces.select("id", F.explode(passages(c("t"))).alias("passage")).select("id", _words(c("passage")).alias("w"))
-    short = pieces.withColumn("n_words", F.size("w")).filter((c("n_words") > 1) & (c("n_words") <= longest))
-    # One generated row per passage, so that no filter works the bigrams out again.
-    cut = short.select("id", "n_words", "w", F.explode(F.array(_bigrams(c("w")))).alias("p_bigrams"))
-    # No template can share more bigrams than all templates have, and a Dice of d needs the share d / (2 - d).
-    shared = F.size(F.filter("p_bigrams", lambda x: x.isin(named)))
-    met = cut.filter(shared * (2 - min_dice) >= F.size("p_bigrams") * min_dice).join(F.broadcast(known), "n_words")
-    mine = met.select("id", "licence", "t_bigrams", "w", "p_bigrams")
-    dice = 2 * F.size(F.array_intersect("p_bigrams", "t_bigrams")) / (F.size("p_bigrams") + F.size("t_bigrams"))
-    close = mine.withColumn("dice", dice).filter(c("dice") >= min_dice)
+    rows = docs.select(c(f"`{id}`").alias("id"), _plain(c(f"`{text}`").cast("string")).alias("t"))
+    pieces = rows.select("id", F.explode(passages(c("t"))).alias("passage")).select("id", _words(c("passage")).alias("w"))
+
+    def close(some: DataFrame, *more: str) -> DataFrame:
+        short = some.withColumn("n_words", F.size("w")).filter((c("n_words") > 1) & (c("n_words") <= longest))
+        # One generated row per passage, so that no filter works the bigrams out again.
+        cut = short.select("id", *more, "n_words", "w", F.explode(F.array(_bigrams(c("w")))).alias("p_bigrams"))
+        # No template can share more bigrams than all templates have, and a Dice of d needs the share d / (2 - d).
+        shared = F.size(F.filter("p_bigrams", lambda x: x.isin(named)))
+        met = cut.filter(shared * (2 - min_dice) >= F.size("p_bigrams") * min_dice).join(F.broadcast(known), "n_words")
+        mine = met.select("id", *more, "licence", "t_bigrams", "w", "p_bigrams")
+        dice = 2 * F.size(F.array_intersect("p_bigrams", "t_bigrams")) / (F.size("p_bigrams") + F.size("t_bigrams"))
+        return mine.withColumn("dice", dice).filter(c("dice") >= min_dice).select("id", *more, "licence", "dice", "w")
+
+    runs = close(windows(rows, named, longest, min_dice), "of", "first", "last")
+    names = ("order", "n", "first", "last", "licence", "dice", "w")
+    order = F.struct((-c("dice")).alias("order"), F.size("w").alias("n"), "first", "last", "licence", "dice", "w")
+    for end in ("first", "last"):
+        runs = runs.groupBy("id", "of", end).agg(F.min(order).alias("best")).select("id", "of", *[f"best.{x}" for x in names[2:]])
+    rank = lambda x: F.struct(*[x.getField(name) for name in names[:5]])
+    shared = lambda x, y: F.least(x['last'], y['last']) - F.greatest(x['first'], y['first']) + 1
+    half = lambda x, y: 2 * shared(x, y) >= F.least(x['last'] - x['first'], y['last'] - y['first']) + 1
+    runs = runs.groupBy("id", "of").agg(F.collect_list(order).alias("all"))
+    alone = F.filter("all", lambda x: ~F.exists("all", lambda y: (rank(y) < rank(x)) & half(x, y)))
+    runs = runs.select("id", F.explode(alone).alias("x")).select("id", "x.licence", "x.dice", "x.w")
+    close = close(pieces).unionByName(runs)
     fits = close.groupBy("id", F.array_join("w", " ").alias("passage")).agg(
         F.min(F.struct((-c("dice")).alias("order"), "licence")).alias("best")
     )

@@ -158,3 +158,32 @@ def test_quality_classifier(spark):
     assert {r.score for r in one} == {1.0}
     assert {r.score for r in quality_classifier.quality_classifier(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.quality_classifier(docs.limit(0), labels).count() == 0
+
+
+def licence_rows(texts):
+    """Each text in paragraphs and lines of about ten words, inside a longer document."""
+    rows = []
+    for i, (paragraphs, mark) in enumerate(texts):
+        lines = []
+        for paragraph in paragraphs:
+            words = paragraph.split()
+            lines += [mark + " ".join(words[k:k + 10]) for k in range(0, len(words), 10)] + [mark.rstrip()]
+        rows.append((i, "#!/usr/bin/env python\nCopyright (c) 2020 Somebody Else\n\n" + "\n".join(lines) + "\nimport os\n" + (PROSE + ".\n") * 30))
+    return rows
+
+
+def test_licences_of_several_paragraphs(spark):
+    longest = {}
+    for name, text in license_scan.TEMPLATES:
+        longest[name] = max(longest.get(name, ""), text, key=len)
+    mit, gpl = longest["MIT"], longest["GPL-3.0"]
+    cut = lambda text, *marks: re.split("|".join(f"(?={re.escape(m)})" for m in marks), text)
+    three = cut(mit, "The above copyright", "THE SOFTWARE IS"), cut(gpl, "This program is distributed", "You should have")
+    assert all(len(x) == 3 for x in three)
+    rows = licence_rows([(three[0], ""), (three[1], ""), (three[0], "// "), (three[1], "# ")])
+    rows.append((4, (PROSE + ".\n\n") * 9 + "\n\n".join(x.replace("\n", " ") for x in three[0]) + "\n\n" + PROSE))
+    rows += [(5, three[0][0]), (6, "\n".join(["of", "the", "software"] * 300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.licence): r for r in license_scan.license_scan(docs).collect()}
+    assert found.keys() == {(0, "MIT"), (1, "GPL-3.0"), (2, "MIT"), (3, "GPL-3.0"), (4, "MIT")}
+    assert all(r.dice > 0.97 and r.n_passages == 1 for r in found.values())
