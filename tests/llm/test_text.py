@@ -187,3 +187,13 @@ def test_licences_of_several_paragraphs(spark):
     found = {(r.doc_id, r.licence): r for r in license_scan.license_scan(docs).collect()}
     assert found.keys() == {(0, "MIT"), (1, "GPL-3.0"), (2, "MIT"), (3, "GPL-3.0"), (4, "MIT")}
     assert all(r.dice > 0.97 and r.n_passages == 1 for r in found.values())
+
+
+def test_complete_licences_have_their_own_name(spark):
+    short = lambda text: len(text.split()) < 60
+    whole = [(name, text) for name, text in license_scan.TEMPLATES if not short(text)]
+    assert {name for name, _ in whole} >= {"BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MIT"}
+    assert all("WARRANT" in text.upper() for _, text in whole)
+    docs = spark.createDataFrame(licence_rows([([text], "// ") for _, text in whole]), "doc_id bigint, text string")
+    found = [(r.doc_id, r.licence) for r in license_scan.license_scan(docs).collect()]
+    assert sorted(found) == [(i, name) for i, (name, _) in enumerate(whole)]
