@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, quality_classifier, quality_rules, simhash, warc
+from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, periodic_runs, quality_classifier, quality_rules, simhash, warc
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -106,6 +106,13 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(texts), "doc_id")
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

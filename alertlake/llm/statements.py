@@ -132,10 +132,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM latest
 """
 
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),"
+    " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),"
+    " lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT)"
+)
+
+# Three words that match a period apart are one pair; pairs at successive places are one stretch.
+PERIODIC_RUNS = rf"""
+WITH given AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), cut AS (
+  SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM given
+), texts AS (
+  SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+    CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w
+  FROM cut
+), threes AS (
+  SELECT rid, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM texts, unnest(range(n - 2)) AS u(i)
+), pairs AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM threes AS x JOIN threes AS y ON x.rid = y.rid AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT rid, q, min(i) AS start, max(i) + 3 + q - min(i) AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM pairs) GROUP BY rid, q, k
+), runs AS (
+  SELECT rid, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY rid, start, length
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / period DESC, start, period) = 1
+), listed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY rid
+), gone AS (
+  SELECT DISTINCT rid, i FROM runs, unnest(range(start + period, start + length)) AS u(i)
+), dropped AS (SELECT rid, list(i) AS g FROM gone GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(t, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i - 1)) END, ' ')) AS collapsed_sha256
+FROM texts LEFT JOIN best USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN dropped USING (rid)
+"""
+
 STATEMENTS = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_line_dedup": LINE_DEDUP,
     "op6_warc": WARC,
     "op9_license_scan": LICENSE_SCAN,
     "op10_chat_format": CHAT_FORMAT,
+    "op11_periodic_runs": PERIODIC_RUNS,
 }
