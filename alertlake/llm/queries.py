@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertlake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, periodic_runs, quality_classifier, quality_rules, simhash, warc
+from alertlake.llm import centroids, chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, periodic_runs, quality_classifier, quality_rules, simhash, warc
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -113,6 +113,12 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.periodic_runs(texts), "doc_id")
 
 
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    found, centres = centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return centroids.digests(found, centres).drop("compared")
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -170,6 +170,32 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, le
 FROM texts LEFT JOIN best USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN dropped USING (rid)
 """
 
+
+def _centroid_clusters(clusters: int = 40, rounds: int = 5) -> str:
+    """One nearest-centroid step and one step of means per round, spelled out."""
+    nearest = """near{0} AS MATERIALIZED (
+  SELECT v.rid, v.vec_id, v.v, c.k, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+  FROM kept AS v, centres{0} AS c QUALIFY row_number() OVER (PARTITION BY v.rid ORDER BY d, c.k) = 1
+)"""
+    means = """parts{0} AS (
+  SELECT k, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM near{0}, unnest(range(1, 65)) AS u(i) GROUP BY k, i
+), means{0} AS (
+  SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM parts{0} GROUP BY k
+), centres{1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM centres{0} AS c LEFT JOIN means{0} AS m USING (k))"""
+    steps = [f"{nearest.format(r)}, {means.format(r, r + 1)}" for r in range(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: (x IS NOT NULL AND isfinite(x))::INT), 'min') = 1
+), centres0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INT AS k, v FROM kept ORDER BY sha256('2:' || vec_id), v LIMIT {clusters}
+), {", ".join(steps)}, {nearest.format(rounds)}
+SELECT vec_id, near{rounds}.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY near{rounds}.k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centres{rounds} AS c ON near{rounds}.k = c.k
+"""
+
+
 STATEMENTS = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_line_dedup": LINE_DEDUP,
@@ -177,4 +203,5 @@ STATEMENTS = {
     "op9_license_scan": LICENSE_SCAN,
     "op10_chat_format": CHAT_FORMAT,
     "op11_periodic_runs": PERIODIC_RUNS,
+    "op12_centroid_clusters": _centroid_clusters(),
 }

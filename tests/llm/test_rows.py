@@ -286,7 +286,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     names = queries.registered()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(queries.statements()) <= set(names)
 
 
@@ -295,7 +295,7 @@ def test_queries_match_their_statements(spark, name):
     import duckdb
 
     database = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         database.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     df = queries.registered()[name](spark, "/root/testdata/sf0.001")
     cursor = database.execute(queries.statements()[name])
