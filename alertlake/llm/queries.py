@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertlake.llm import centroids, chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, periodic_runs, quality_classifier, quality_rules, simhash, warc
+from alertlake.llm import centroids, chat_format, decontaminate, language_id, license_scan, line_dedup, mix_sources, periodic_runs, pii, quality_classifier, quality_rules, simhash, warc
 from alertlake.llm.common import table
 from alertlake.llm.statements import STATEMENTS
 from alertlake.session import written
@@ -119,6 +119,11 @@ def op12_centroid_clusters(spark, sf_dir):
     return centroids.digests(found, centres).drop("compared")
 
 
+@query
+def op13_pii(spark, sf_dir):
+    return pii.digests(pii.pii_spans(table(spark, sf_dir, "documents"))[0])
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
