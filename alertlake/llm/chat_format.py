@@ -108,15 +108,27 @@ def turns_of(record, mapping: Mapping) -> Iterator[tuple[str, str]]:
         yield mapping.aliases.get(role, role), _text(item.get(mapping.text))
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+# Mappings of layouts a worker remembers; beyond that it starts anew, which only costs time.
+KNOWN = 10_000
+
+
+def well_formed(text: str | None) -> str | None:
+    """The text with U+FFFD for halves of cut characters, which no UTF-8 text can hold."""
+    return _LONE.sub("\ufffd", text) if text and not text.isascii() else text
+
+
 TURN_SCHEMA = "layout string, fingerprint string, pos bigint, role string, text string"
 
 
 def canonical_turns(records: DataFrame, keys: list[str], record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """The key columns and (layout, fingerprint, pos, role, text): one row per turn, in order of pos.
 
-    Null roles and texts are empty. A record that is null, no JSON or fits no layout gives one row
-    with a null layout, role and text, so that it can be counted and kept aside. Repeated records
-    give repeated turns. Columns other than the keys and the record are not passed on.
+    Null roles and texts are empty. A record that is null, no JSON, nested deeper than Python's JSON
+    reader goes (about a thousand levels), or fits no layout gives one row with a null layout, role
+    and text, so that it can be counted and kept aside. Halves of cut characters (lone surrogates)
+    become U+FFFD. Repeated records give repeated turns. Columns other than the keys and the record
+    are not passed on.
     """
     known: dict[str, Mapping | None] = {}
 
@@ -126,16 +138,21 @@ def canonical_turns(records: DataFrame, keys: list[str], record: str = "record",
             for i, raw in enumerate(batch.column("__record").to_pylist()):
                 try:
                     value = json.loads(raw) if raw is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     value = None
                 paths = field_paths(value)
                 print_ = fingerprint(paths)
                 if print_ not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     known[print_] = select_mapping(paths, mappings) if isinstance(value, dict) else None
                 mapping = known[print_]
-                turns = turns_of(value, mapping) if mapping else [(None, None)]
+                try:
+                    turns = list(turns_of(value, mapping)) if mapping else [(None, None)]
+                except RecursionError:  # writing nested values back as text goes less deep than reading
+                    mapping, turns = None, [(None, None)]
                 for pos, (role, text) in enumerate(turns):
-                    made = (i, mapping.name if mapping else None, print_, pos, role, text)
+                    made = (i, mapping.name if mapping else None, print_, pos, well_formed(role), well_formed(text))
                     for name, x in zip(rows, made):
                         rows[name].append(x)
             at = pa.array(rows["at"], pa.int64())
