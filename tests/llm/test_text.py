@@ -1,7 +1,10 @@
 """Quality rules, line dedup, licences, language: edge rows and plain versions."""
 
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +200,86 @@ def test_complete_licences_have_their_own_name(spark):
     docs = spark.createDataFrame(licence_rows([([text], "// ") for _, text in whole]), "doc_id bigint, text string")
     found = [(r.doc_id, r.licence) for r in license_scan.license_scan(docs).collect()]
     assert sorted(found) == [(i, name) for i, (name, _) in enumerate(whole)]
+
+
+def plain_licences(text, templates=license_scan.TEMPLATES):
+    """(licence, dice, passages) of a text, by comparing every passage and window with every template."""
+    plain = lambda t: re.sub(r"[^\w\n.!?;]+|_", " ", t.lower())
+    words = lambda t: [w for w in re.split(r"[ \n.!?;]+", t) if w]
+    grams = lambda w: set(zip(w, w[1:]))
+    known = [(name, words(plain(t))) for name, t in templates]
+
+    def best(w):
+        fits = []
+        for name, t in known:
+            if len(w) > 1 and math.ceil(len(t) * 0.8 / 1.2 - 1e-9) <= len(w) <= math.floor(len(t) * 1.2 / 0.8 + 1e-9):
+                a, b = grams(w), grams(t)
+                fits.append((-2 * len(a & b) / (len(a) + len(b)), name))
+        return min((f for f in fits if f[0] <= -0.8), default=None)
+
+    t = plain(text)
+    pieces = [t, *re.split(r"\n *\n", t), *t.split("\n"), *re.split(license_scan.SENTENCE, t)]
+    found = {tuple(words(p)): best(words(p)) for p in pieces}
+    parts = [w for w in map(words, re.split(license_scan.SENTENCE, t)) if w]
+    named = {g for _, w in known for g in zip(w, w[1:])}
+    inside = [sum(g in named for g in zip(p, p[1:])) for p in parts]
+    leads = [(p[-1], q[0]) in named for p, q in zip(parts, parts[1:])] + [False]
+    runs = []
+    for first in range(len(parts)):
+        if inside[first] + leads[first] < 0.4 * len(parts[first]):
+            continue
+        for last in range(first + 1, len(parts)):
+            w = [x for p in parts[first:last + 1] for x in p]
+            if len(w) > 600:
+                break
+            if inside[last] + leads[last - 1] >= 0.4 * len(parts[last]) and (hit := best(w)):
+                runs.append((hit[0], len(w), first, last, hit[1], tuple(w)))
+    for end in (2, 3):
+        runs = [min(r for r in runs if r[end] == at) for at in {r[end] for r in runs}]
+    half = lambda x, y: 2 * (min(x[3], y[3]) - max(x[2], y[2]) + 1) >= min(x[3] - x[2], y[3] - y[2]) + 1
+    for r in runs:
+        if not any(y[:5] < r[:5] and half(r, y) for y in runs):
+            found[r[5]] = min(found.get(r[5]) or (0, ""), (r[0], r[4]))
+    out = {}
+    for hit in found.values():
+        if hit:
+            out.setdefault(hit[1], []).append(-hit[0])
+    return {name: (round(max(d), 9), len(d)) for name, d in out.items()}
+
+
+def test_licences_match_a_plain_search(spark):
+    rng = random.Random(8)
+    sentences = [x for _, t in license_scan.TEMPLATES for x in re.split(r"(?<=[.;:]) +", t)]
+    texts = []
+    for _ in range(60):
+        lines = [PROSE + "." for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(1, 3)):
+            _, t = rng.choice(license_scan.TEMPLATES)
+            cut = re.split(r"(?<=[.;]) +", t)
+            if rng.random() < 0.5 and len(cut) > 2:
+                cut.pop(rng.randrange(len(cut)))
+            at = rng.randint(0, len(lines))
+            lines[at:at] = cut
+        if rng.random() < 0.5:
+            lines.insert(rng.randint(0, len(lines)), rng.choice(sentences))
+        texts.append(rng.choice(["\n", "\n\n", " "]).join(lines))
+    texts += ["Released under the MIT License.\n" * 12, "Licensed under the Apache License, Version 2.0. " * 5 + PROSE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in license_scan.license_scan(docs).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = (round(r.dice, 9), r.n_passages)
+    for i, text in enumerate(texts):
+        assert got.get(i, {}) == plain_licences(text), text
+
+
+def test_many_licence_lines_take_linear_time(spark):
+    texts = ["Released under the MIT License.\n" * n for n in (1600, 6400)]
+    license_scan.license_scan(spark.createDataFrame([(0, texts[0])], "doc_id bigint, text string")).collect()
+    took = []
+    for text in texts:
+        began = time.perf_counter()
+        rows = license_scan.license_scan(spark.createDataFrame([(0, text)], "doc_id bigint, text string")).collect()
+        took.append(time.perf_counter() - began)
+        assert [(r.licence, r.dice) for r in rows] == [("MIT", 1.0)]
+    print(took)
+    assert took[1] < 4 * took[0] + 10
