@@ -6,6 +6,8 @@ that holds a large share of the alerts is reduced in every task before it is shu
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,48 +15,90 @@ from alertlake import dims
 from alertlake.functions import clock
 from alertlake.functions.scoring import risk_level, severity
 from alertlake.functions.text import known, or_missing, split_list
+from alertlake.session import written
 
 ASSET_KEYS = ["manager_name", "agent_id", "affected_asset"]
 TOP = 5
 
 
-def time_range(order: str = "pos") -> list[Column]:
+# A time, the line it stands in and its offset as one decimal: hash aggregation can keep its
+# smallest and largest, where a struct would be sorted first. Times of the years 0 to 9999 are
+# positive once shifted and have 18 digits; lines stay below 10^14; offsets are under a day.
+_SHIFT_US = 10**17
+_LINES = Decimal(10**14)
+_OFFSETS = Decimal(10**6)
+_DAY = 86_400
+# Buckets of one alert, as many as a list can have.
+_BUCKETS = Decimal(10**10)
+_MEASURES = ["alert_count", "critical_count", "high_count", "medium_count", "low_count"]
+
+
+def moment(us: Column, order: str = "pos") -> Column:
+    line = us.cast("decimal(19,0)") * F.lit(_LINES) + F.col(order).cast("decimal(14,0)")
+    return (line.cast("decimal(33,0)") * F.lit(_OFFSETS) + (F.col("offset_s") + _DAY).cast("decimal(6,0)")).cast("decimal(38,0)")
+
+
+def moment_us(place: Column) -> Column:
+    return F.call_function("div", place, F.lit(_LINES * _OFFSETS)) - _SHIFT_US
+
+
+def moment_offset(place: Column) -> Column:
+    return (place % F.lit(_OFFSETS)).cast("int") - _DAY
+
+
+def time_range() -> list[Column]:
     """First and last time; equal instants are told apart by load order."""
     c = F.col
-    seen = F.when(c("event_us").isNotNull(), F.struct("event_us", order, "offset_s"))
-    text = F.when(known(c("timestamp")), c("timestamp"))
-    return [
-        F.min(seen).alias("first_time"), F.max(seen).alias("last_time"),
-        F.min(text).alias("first_text"), F.max(text).alias("last_text"),
-    ]
+    seen = F.when(c("event_us").isNotNull(), moment(c("event_us") + F.lit(_SHIFT_US)))
+    return [F.min(seen).alias("first_place"), F.max(seen).alias("last_place")]
 
 
 def range_texts() -> dict[str, Column]:
     """Texts for `time_range`: times if there are any, else the raw texts, else "-"."""
     return {
         f"{end}_seen": F.coalesce(
-            clock.iso_text(F.col(f"{end}_time.event_us"), F.col(f"{end}_time.offset_s")),
+            clock.iso_text(moment_us(F.col(f"{end}_place")), moment_offset(F.col(f"{end}_place"))),
             F.col(f"{end}_text"), F.lit(dims.MISSING),
         )
         for end in ("first", "last")
     }
 
 
-def common(alerts: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+def untimed_texts(alerts: DataFrame) -> DataFrame:
+    """Alerts that have a time's text but no time: all that `range_texts` can fall back on."""
+    c = F.col
+    return alerts.filter(c("event_us").isNull() & known(c("timestamp")))
+
+
+def common(alerts: DataFrame, keys: list[str], first: str | None = None, least: str | None = None) -> DataFrame:
+    """The measures of each key, and the value of `first` in its first line or its smallest `least`.
+
+    Alerts are counted per key and value; the value is chosen among these few rows.
+    """
     c = F.col
     bands = [
         F.count_if(c("risk_level") == name).alias(f"{name.lower()}_count")
         for name in ("Critical", "High", "Medium", "Low")
     ]
-    return (
-        alerts.groupBy(*keys)
-        .agg(
-            F.count("*").alias("alert_count"), F.max("risk_score").alias("max_risk_score"), *bands,
-            *time_range(), F.min("pos").alias("first_pos"), *extra,
+    value = [x for x in (first, least) if x]
+    rows = alerts.groupBy(*keys, *value).agg(
+        F.count("*").alias("alert_count"), F.max("risk_score").alias("max_risk_score"), *bands,
+        *time_range(), F.min("pos").alias("first_pos"),
+    )
+    if value:
+        chosen = F.min(F.struct("first_pos", first))[first].alias(first) if first else F.min(least).alias(least)
+        rows = rows.groupBy(*keys).agg(
+            *[F.sum(n).alias(n) for n in _MEASURES], F.max("max_risk_score").alias("max_risk_score"),
+            F.min("first_place").alias("first_place"), F.max("last_place").alias("last_place"), chosen, F.min("first_pos").alias("first_pos"),
         )
+    texts = untimed_texts(alerts).groupBy(*keys, "timestamp").agg(F.lit(1)).groupBy(*keys).agg(
+        F.min("timestamp").alias("first_text"), F.max("timestamp").alias("last_text")
+    )
+    return (
+        rows.join(texts, keys, "left")
         .withColumns(range_texts())
         .withColumn("max_risk_level", risk_level(c("max_risk_score")))
-        .drop("first_time", "last_time", "first_text", "last_text")
+        .drop("first_place", "last_place", "first_text", "last_text")
     )
 
 
@@ -124,7 +168,7 @@ def by_source(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     sourced = alerts.filter(known(c("source_ip")))
     tops = top_values(sourced, keys, {"top_alert_types": c("alert_type"), "affected_assets": c("affected_asset")})
     rows = (
-        common(sourced, keys, F.min("source_scope").alias("source_scope"))
+        common(sourced, keys, least="source_scope")
         .join(tops, keys, "left")
         .join(ordered_values(sourced, keys, "username", "usernames"), keys, "left")
         .join(incident_counts(incidents, keys), keys, "left")
@@ -136,17 +180,15 @@ def by_source(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def by_type(alerts: DataFrame) -> DataFrame:
     keys = ["alert_type"]
-    category = F.min(F.struct("pos", "event_category"))["event_category"].alias("event_category")
     tops = top_values(alerts, keys, {"source_ips": _source(), "affected_assets": F.col("affected_asset")})
-    rows = common(alerts, keys, category).join(tops, keys, "left")
+    rows = common(alerts, keys, first="event_category").join(tops, keys, "left")
     return _ranked(rows.withColumn("source_ips", or_missing(F.col("source_ips")))).select(*dims.TYPE_SUMMARY_COLUMNS)
 
 
 def by_asset(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
-    agent_ip = F.min(F.struct("pos", "agent_ip"))["agent_ip"].alias("agent_ip")
     tops = top_values(alerts, ASSET_KEYS, {"top_alert_types": F.col("alert_type"), "source_ips": _source()})
     rows = (
-        common(alerts, ASSET_KEYS, agent_ip)
+        common(alerts, ASSET_KEYS, first="agent_ip")
         .join(tops, ASSET_KEYS, "left")
         .join(incident_counts(incidents, ASSET_KEYS), ASSET_KEYS, "left")
         .fillna(0, ["incident_count"])
@@ -217,7 +259,7 @@ def by_mitre(alerts: DataFrame) -> DataFrame:
         buckets.groupBy(*keys)
         .agg(
             F.count("*").alias("alert_count"), F.max("risk_score").alias("max_risk_score"),
-            F.min(F.struct("pos", "place")).alias("first_at"),
+            F.min(c("pos").cast("decimal(15,0)") * F.lit(_BUCKETS) + c("place").cast("decimal(10,0)")).alias("first_at"),
         )
         .join(tops, keys, "left")
         .withColumns({
@@ -235,31 +277,50 @@ def recommendations(queue: DataFrame) -> DataFrame:
     return queue.select(*dims.RECOMMENDATION_COLUMNS)
 
 
-def timeline(alerts: DataFrame, zone: str = "input") -> DataFrame:
-    """Counts per time bucket; the bucket size follows from the span of all alerts."""
+_TEN_MINUTES = 600
+
+
+def timeline_buckets(alerts: DataFrame) -> DataFrame:
+    """Counts per ten minutes with the bucket's first and last time and the offset of its first alert.
+
+    Every coarser bucket is a sum of these rows, of which a year has some fifty thousand however
+    many alerts there are. Written, as the bucket size follows from all of them.
+    """
     c = F.col
-    timed = alerts.filter(c("event_us").isNotNull())
-    span = timed.agg((F.max("event_us") - F.min("event_us")).alias("span")).scalar()
-    hour = 3_600_000_000
-    size = (
-        F.when(span <= 2 * hour, 600).when(span <= 24 * hour, 3_600)
-        .when(span <= 7 * 24 * hour, 21_600).otherwise(86_400)
-    )
     second = F.call_function("div", c("event_us"), F.lit(1_000_000))
     rows = (
-        timed.withColumn("second", second)
-        .withColumn("bucket", c("second") - F.pmod(c("second"), size))
-        .groupBy("bucket")
+        alerts.filter(c("event_us").isNotNull())
+        .groupBy((second - F.pmod(second, F.lit(_TEN_MINUTES))).alias("bucket"))
         .agg(
             F.count("*").alias("alert_count"),
             F.count_if(c("risk_level").isin("High", "Critical")).alias("high_or_critical_count"),
             F.count_if(c("event_category") == "Credential Attack").alias("credential_attack_count"),
-            F.min(F.struct("event_us", "pos", "offset_s"))["offset_s"].alias("offset_s"),
+            *time_range(),
         )
     )
+    return written(rows, "timeline-buckets")
+
+
+def timeline(alerts: DataFrame, zone: str = "input") -> DataFrame:
+    """Counts per time bucket; the bucket size follows from the span of all alerts.
+
+    Alerts are read once; the size is chosen and buckets are joined among ten-minute counts.
+    """
+    c = F.col
+    fine = timeline_buckets(alerts)
+    span = fine.agg((moment_us(F.max("last_place")) - moment_us(F.min("first_place"))).alias("span")).scalar()
+    hour = 3_600_000_000
+    size = (
+        F.when(span <= 2 * hour, _TEN_MINUTES).when(span <= 24 * hour, 3_600)
+        .when(span <= 7 * 24 * hour, 21_600).otherwise(86_400)
+    )
+    rows = fine.groupBy((c("bucket") - F.pmod(c("bucket"), size)).alias("bucket")).agg(
+        *[F.sum(n).alias(n) for n in ("alert_count", "high_or_critical_count", "credential_attack_count")],
+        F.min("first_place").alias("first_place"),
+    )
     start = c("bucket") * 1_000_000
     zone_shift = clock.zone_offset(start, zone)
-    shift = c("offset_s") if zone_shift is None else zone_shift
+    shift = moment_offset(c("first_place")) if zone_shift is None else zone_shift
     return (
         rows.withColumn("period_start", clock.iso_text(start, shift, "yyyy-MM-dd'T'HH:mm"))
         .orderBy("bucket").select(*dims.TIMELINE_COLUMNS)
@@ -276,15 +337,17 @@ def metrics(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     def category(name: str, alias: str) -> Column:
         return F.count_if(c("event_category") == name).alias(alias)
 
-    # Distinct counts apart from the rest: they multiply the rows they are computed from.
-    distinct = alerts.agg(F.struct(
-        F.countDistinct(F.when(sourced, c("source_ip"))).alias("source_ip_count"),
-        F.countDistinct(
-            F.when(sourced & (c("source_scope") == "Public/External"), c("source_ip"))
-        ).alias("external_source_count"),
-        F.countDistinct(F.struct(*ASSET_KEYS)).alias("asset_count"),
-        F.countDistinct("rule_id").alias("rule_count"),
+    # Each dimension is grouped once by its key; counting distinct values side by side would
+    # multiply the alerts they are counted in.
+    external = F.max(c("source_scope") == "Public/External").alias("external")
+    sources = alerts.filter(sourced).groupBy("source_ip").agg(external).agg(F.struct(
+        F.count("*").alias("source_ip_count"), F.count_if("external").alias("external_source_count"),
     ).alias("d")).scalar()
+    assets = alerts.select(*ASSET_KEYS).distinct().agg(F.count("*").alias("n")).scalar()
+    rules = alerts.select("rule_id").distinct().agg(F.count("rule_id").alias("n")).scalar()
+    texts = untimed_texts(alerts).select("timestamp").distinct().agg(
+        F.struct(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).alias("t")
+    ).scalar()
     per_alert = alerts.agg(
         F.count("*").alias("total_alerts"),
         *[F.count_if(c("risk_level") == b).alias(f"{b.lower()}_alerts") for b in bands],
@@ -304,19 +367,20 @@ def metrics(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     total = c("total_alerts")
     share = F.bround(F.try_divide(c("mitre_mapped_alerts"), total) * 100, 1)
     return (
-        per_alert.withColumns({"incident": per_incident, "distinct": distinct})
+        per_alert.withColumns({"incident": per_incident, "sources": sources, "asset_count": assets, "rule_count": rules, "texts": texts})
+        .withColumns({"first_text": c("texts.low"), "last_text": c("texts.high")})
         .withColumns(range_texts())
         .select(
             "total_alerts", "incident.total_incidents",
             *[f"{b.lower()}_alerts" for b in bands],
             *[f"incident.{b.lower()}_incidents" for b in bands],
-            "distinct.source_ip_count", "distinct.external_source_count", "unknown_source_alerts",
-            "distinct.asset_count", "distinct.rule_count", "credential_attack_alerts", "privilege_alerts", "agent_visibility_alerts",
+            "sources.source_ip_count", "sources.external_source_count", "unknown_source_alerts",
+            "asset_count", "rule_count", "credential_attack_alerts", "privilege_alerts", "agent_visibility_alerts",
             "mitre_mapped_alerts", (total - c("mitre_mapped_alerts")).alias("mitre_unmapped_alerts"),
             F.when(total > 0, share).otherwise(0.0).alias("mitre_coverage_percent"),
             "low_confidence_classifications", "first_seen", "last_seen",
             F.coalesce(
-                clock.whole_seconds(c("last_time.event_us") - c("first_time.event_us")), F.lit(0)
+                clock.whole_seconds(moment_us(c("last_place")) - moment_us(c("first_place"))), F.lit(0)
             ).alias("duration_seconds"),
             F.coalesce("incident.highest", F.lit(0)).alias("highest_risk_score"),
             F.when(c("incident.total_incidents") > 0, risk_level(c("incident.highest")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake import dims
 from alertlake.operators.incidents import queue_order
+from alertlake.session import written
 
 
 def newest(alerts: DataFrame, categories: list[str], columns: list[str], n: int = dims.AUDIT_ROWS) -> DataFrame:
@@ -31,10 +32,15 @@ def agent_health(alerts: DataFrame) -> DataFrame:
 
 
 def shown(summary: DataFrame, table: str) -> DataFrame:
-    """The first rows of a summary in its order, with how many there are in all."""
+    """The first rows of a summary in its order, with how many there are in all.
+
+    The sorted summary is worked out and written once; its row numbers follow the order, and both
+    the first rows and their number come from the written table.
+    """
     rows, columns = dims.REPORT_TABLES[table]
-    total = summary.agg(F.count("*").alias("n")).scalar()
-    return summary.limit(rows).select(*columns).withColumn("total_rows", total)
+    kept = written(summary.select(*columns).withColumn("row", F.monotonically_increasing_id()), f"shown-{table}")
+    total = kept.agg(F.count("*").alias("n")).scalar()
+    return kept.orderBy("row").limit(rows).select(*columns).withColumn("total_rows", total)
 
 
 def priority_incidents(incidents: DataFrame, n: int = 12) -> DataFrame:
