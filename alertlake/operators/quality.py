@@ -19,32 +19,56 @@ class InputRejected(ValueError):
     """The input must not be reported on."""
 
 
-def quality_stats(records: DataFrame, alerts: DataFrame, line_limit: int = 0) -> DataFrame:
-    """One row of counters over all judged lines and the alerts left of them.
+def line_counts(line_limit: int = 0) -> dict[str, Column]:
+    """Aggregates over judged lines (record_number, n_bytes, line_status, event_us, drop_reason).
 
-    `records` needs record_number, n_bytes, line_status, event_us and drop_reason. With a line
-    limit it may hold later lines too: they only show that the limit was reached.
+    With a line limit the lines may hold later ones too: they only show that the limit was reached.
     """
     c = F.col
     within = c("record_number") <= (line_limit or 2**62)
-    counted = records.filter(within)
-    dropped = counted.filter(c("line_status") == "ok")
-    counters = records.agg(
-        F.count_if(within).alias("total_lines"),
-        F.coalesce(F.sum(F.when(within, c("n_bytes"))), F.lit(0)).alias("input_bytes"),
-        F.coalesce(F.max(~within), F.lit(False)).alias("line_limit_reached"),
-        *[F.count_if(within & (c("line_status") == s)).alias(n) for n, s in COUNTED.items()],
-        F.count_if(within & (c("line_status") == "ok") & c("event_us").isNull()).alias("invalid_timestamps"),
-        *[
-            F.count_if(within & (c("line_status") == "ok") & (c("drop_reason") == r)).alias(f"filtered_by_{r}")
-            for r in DROPPED
-        ],
-    )
-    kept = alerts.agg(F.struct(
-        F.count("*").alias("included_alerts"),
-        F.coalesce(F.sum(c("copies") - 1), F.lit(0)).alias("duplicate_records"),
-    ).alias("k")).scalar()
-    samples = reject_samples(counted).agg(
+    good = within & (c("line_status") == "ok")
+    return {
+        "total_lines": F.count_if(within),
+        "input_bytes": F.coalesce(F.sum(F.when(within, c("n_bytes"))), F.lit(0)),
+        "line_limit_reached": F.coalesce(F.max(~within), F.lit(False)),
+        **{n: F.count_if(within & (c("line_status") == s)) for n, s in COUNTED.items()},
+        "invalid_timestamps": F.count_if(good & c("event_us").isNull()),
+        **{f"filtered_by_{r}": F.count_if(good & (c("drop_reason") == r)) for r in DROPPED},
+    }
+
+
+def alert_counts() -> dict[str, Column]:
+    """Aggregates over the alerts that are left."""
+    return {"included_alerts": F.count("*"), "duplicate_records": F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))}
+
+
+def _named(aggregates: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in aggregates.items()]
+
+
+def quality_stats(records: DataFrame, alerts: DataFrame, line_limit: int = 0) -> DataFrame:
+    """One row of counters over all judged lines and the alerts left of them."""
+    kept = alerts.agg(F.struct(*_named(alert_counts())).alias("k")).scalar()
+    counted = records.agg(*_named(line_counts(line_limit))).withColumn("kept", kept)
+    counted = counted.withColumns({n: F.col(f"kept.{n}") for n in alert_counts()}).drop("kept")
+    return _with_samples(counted, records, line_limit)
+
+
+def stats_of_counts(counts: dict, records: DataFrame, line_limit: int = 0) -> DataFrame:
+    """quality_stats from `line_counts` and `alert_counts` that were taken while tables were written.
+
+    Only where lines were rejected are their first numbers looked up.
+    """
+    spark = records.sparkSession
+    rejected = sum(counts[n] for n, s in COUNTED.items() if s in REJECTED)
+    kinds = {"line_limit_reached": "boolean"}
+    row = spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in counts))
+    return _with_samples(row, records if rejected else records.limit(0), line_limit)
+
+
+def _with_samples(counted: DataFrame, records: DataFrame, line_limit: int) -> DataFrame:
+    c = F.col
+    samples = reject_samples(records.filter(c("record_number") <= (line_limit or 2**62))).agg(
         F.map_from_entries(F.collect_list(F.struct("line_status", "samples"))).alias("m")
     ).scalar()
     none = F.array().cast("array<bigint>")
@@ -52,16 +76,14 @@ def quality_stats(records: DataFrame, alerts: DataFrame, line_limit: int = 0) ->
     judged = c("parsed_records") + c("rejected_records")
     rate = F.bround(F.try_divide(c("parsed_records"), judged) * 100, 2)
     return (
-        counters.withColumns({"kept": kept, "samples": samples, "rejected_records": rejected})
+        counted.withColumns({"samples": samples, "rejected_records": rejected})
         .withColumns({
-            "included_alerts": c("kept.included_alerts"),
-            "duplicate_records": c("kept.duplicate_records"),
             "malformed_line_samples": F.coalesce(F.try_element_at("samples", F.lit("malformed")), none),
             "oversized_line_samples": F.coalesce(F.try_element_at("samples", F.lit("oversized")), none),
             "encoding_error_samples": F.coalesce(F.try_element_at("samples", F.lit("encoding")), none),
             "parse_success_rate": F.coalesce(rate, F.lit(100.0)),
         })
-        .drop("kept", "samples")
+        .drop("samples")
     )
 
 

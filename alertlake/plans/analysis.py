@@ -14,9 +14,9 @@ from alertlake.operators.filters import dedup_best, drop_reason
 from alertlake.operators.incidents import incidents as find_incidents
 from alertlake.operators.incidents import queue_order
 from alertlake.operators.normalize import in_display_zone, normalize_alerts
-from alertlake.operators.quality import check_byte_budget, check_strict, quality_stats
+from alertlake.operators.quality import alert_counts, check_byte_budget, check_strict, line_counts, stats_of_counts
 from alertlake.session import prepare, written
-from alertlake.sources.lines import judged_lines, line_prefix, numbered_lines
+from alertlake.sources.lines import counted_lines, judged_lines, line_prefix
 
 
 @dataclass(frozen=True)
@@ -117,19 +117,19 @@ def report(spark: SparkSession, paths: str | list[str], options: Options = Optio
     prepare(spark)
     options.bounds()
     clock.zone_offset(F.col("event_us"), options.timezone)
-    lines = numbered_lines(spark, paths, options.partitions)
-    if options.line_limit:
-        # One line more than the limit shows that there are more.
-        lines = line_prefix(lines, options.line_limit + 1)
+    lines, scanned = counted_lines(spark, paths, options.partitions, options.line_limit)
     if options.max_input_bytes:
-        # Sizes only: an input over the budget is refused before anything is parsed.
-        counted = lines.agg(F.sum(F.octet_length("value") + 1).alias("input_bytes")).first().asDict()
-        check_byte_budget(counted, options.max_input_bytes)
-    records = written(load_records(lines, options), "records")
-    alerts = written(
-        in_display_zone(accepted(records, options.line_limit), options.timezone), "alerts"
+        # An input over the budget is refused before anything is parsed. With a line limit the
+        # bytes are those of the lines within it.
+        if options.line_limit:
+            within = line_prefix(lines, options.line_limit + 1)
+            scanned = within.agg(F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes")).first().asDict()
+        check_byte_budget({"input_bytes": scanned["bytes"]}, options.max_input_bytes)
+    records, counts = written(load_records(lines, options), "records", line_counts(options.line_limit))
+    alerts, kept = written(
+        in_display_zone(accepted(records, options.line_limit), options.timezone), "alerts", alert_counts()
     )
-    stats = written(quality_stats(records, alerts, options.line_limit), "stats")
+    stats = written(stats_of_counts(counts | kept, records, options.line_limit), "stats")
     if options.strict:
         check_strict(stats.first().asDict())
     result = analyze(alerts, options.incident_window_minutes, options.timezone)

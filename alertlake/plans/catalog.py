@@ -16,7 +16,7 @@ from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
 from alertlake.plans.analysis import Options, accepted, load_records
 from alertlake.plans.publish import write_csv
-from alertlake.session import discard_written, prepare, work_dir, written
+from alertlake.session import discard_written, prepare, spread, work_dir, written
 from alertlake.sources import event_alerts, lines
 
 WINDOW = 1440
@@ -65,12 +65,12 @@ def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], obj
 
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("alert_lines", spark, sf_dir, lambda: written(
-        event_alerts.alert_lines(spark, sf_dir), "lines"))
+        spread(event_alerts.alert_lines(spark, sf_dir), "record_number"), "lines"))
 
 
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("damaged_lines", spark, sf_dir, lambda: written(
-        event_alerts.damaged_lines(spark, sf_dir), "lines"))
+        spread(event_alerts.damaged_lines(spark, sf_dir), "record_number"), "lines"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

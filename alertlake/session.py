@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,14 +53,38 @@ def discard_written(spark: SparkSession, *names: str) -> None:
         mine.remove(entry)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+# Bytes of input files for one part; packed text grows about tenfold.
+_PART_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key without equal values where reading them is fewer tasks than cores.
+
+    A packed file is read by one task, and so are a few small files; what follows shall not be.
+    The hash of the key deals evenly whatever the rows compress to, and again alike on a retry.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0
+    return df.repartition(max(cores, known // _PART_BYTES), key)
+
+
+def written(df: DataFrame, name: str, counts: dict[str, Column] | None = None) -> DataFrame | tuple[DataFrame, dict]:
     """Write a result that several later steps read, and read it back.
 
     The table cuts the lineage, outlives executors, is read column by column, and gives the
-    optimiser the true size, so a later join is broadcast only when that size allows it.
+    optimiser the true size, so a later join is broadcast only when that size allows it. `counts`
+    are aggregates of the rows that are taken while they are written, without another scan, and
+    returned beside the table. Only the try of a task that is kept counts.
     """
     spark = df.sparkSession
+    seen = Observation(f"{name}-{uuid.uuid4().hex}") if counts else None
+    if seen:
+        df = df.observe(seen, *[column.alias(key) for key, column in counts.items()])
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append((name, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, seen.get) if seen else table

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions import jsontext
 from alertlake.functions.text import strip
 from alertlake.operators.ranges import running_total
-from alertlake.session import written
+from alertlake.session import spread, written
 
 SAMPLE_SIZE = 10
 REJECTED = ["malformed", "non_object", "oversized", "encoding"]
@@ -17,21 +20,38 @@ ALERT_FIELDS = [
 ]
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def first_files(spark: SparkSession, paths: str | list[str], limit: int) -> list[str]:
+    """The files, in name order, that hold the first `limit` lines and one more, if there are so many.
+
+    Files are counted in growing batches, so a small limit opens few of many files.
+    """
+    def literal(uri: str) -> str:
+        return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+    files = sorted(spark.read.text(paths).inputFiles())
+    taken, counted, step = 0, 0, 1
+    while taken < len(files) and counted <= limit:
+        batch = [literal(f) for f in files[taken:taken + step]]
+        counted += spark.read.option("lineSep", "\n").text(batch).count()
+        taken, step = taken + step, 2 * step
+    return [literal(f) for f in files[:taken]]
+
+
+def scan_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, dict]:
     """Lines of plain or .gz files as raw text, written once; only a newline ends a line.
 
     `seq` rises along every block of a file. All later steps read the written rows, so a line's
-    block and place do not depend on how a second scan would split the files.
+    block and place do not depend on how a second scan would split the files. Also how many lines
+    and bytes there are, counted while they are written.
     """
-    return written(
-        spark.read.option("lineSep", "\n").text(paths).select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-        ),
-        "scanned",
+    scanned = spark.read.option("lineSep", "\n").text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
     )
+    counts = {"lines": F.count("*"), "bytes": F.coalesce(F.sum(F.octet_length("value").cast("bigint") + 1), F.lit(0))}
+    return written(spread(scanned, "seq"), "scanned", counts)
 
 
 def block_offsets(lines: DataFrame) -> DataFrame:
@@ -44,22 +64,32 @@ def block_offsets(lines: DataFrame) -> DataFrame:
 
 
 def numbered_lines(
-    spark: SparkSession, paths: str | list[str], partitions: int | None = None
+    spark: SparkSession, paths: str | list[str], partitions: int | None = None, limit: int = 0
 ) -> DataFrame:
-    """Lines with their position in the input, without a global sort.
+    """Lines with their position in the input, without a global sort: `counted_lines` without counts."""
+    return counted_lines(spark, paths, partitions, limit)[0]
+
 
-    The offsets come from the written lines themselves, and every line must get a number.
-    `partitions` spreads lines of files that cannot be split (.gz).
+def counted_lines(
+    spark: SparkSession, paths: str | list[str], partitions: int | None = None, limit: int = 0
+) -> tuple[DataFrame, dict]:
+    """(lines with their position in the input, how many lines and bytes were scanned).
+
+    The offsets come from the written lines themselves, and every line must get a number. With a
+    limit only the files that hold so many lines and one more are read, and only these lines are
+    returned. `partitions` sets how many parts the lines are dealt out to.
     """
-    lines = scan_lines(spark, paths)
-    offsets = written(block_offsets(lines), "blocks")
-    ends = offsets.agg(F.sum("n"), F.max(F.col("base") + F.col("n"))).first()
-    if (ends[0] or 0) != lines.count() or ends[0] != ends[1]:
-        raise RuntimeError(f"numbered {ends[0]} lines up to {ends[1]}, read {lines.count()}")
+    lines, counts = scan_lines(spark, first_files(spark, paths, limit) if limit else paths)
+    offsets, ends = written(
+        block_offsets(lines), "blocks", {"n": F.coalesce(F.sum("n"), F.lit(0)), "top": F.coalesce(F.max(F.col("base") + F.col("n")), F.lit(0))}
+    )
+    if not counts["lines"] == ends["n"] == ends["top"]:
+        raise RuntimeError(f"numbered {ends['n']} lines up to {ends['top']}, read {counts['lines']}")
     numbered = lines.join(offsets, ["path", "block"]).select(
         (F.col("base") + F.col("seq") - F.col("first_seq") + 1).alias("record_number"), "value"
     )
-    return numbered.repartition(partitions) if partitions else numbered
+    numbered = line_prefix(numbered, limit + 1 if limit else 0)
+    return numbered.repartition(partitions) if partitions else numbered, counts
 
 
 def judged_lines(lines: DataFrame, max_line_bytes: int = 0) -> DataFrame:

@@ -19,7 +19,7 @@ from alertlake.operators import incidents, summaries
 from alertlake.operators.ranges import ranked
 from alertlake.plans.analysis import accepted, load_records
 from alertlake.plans.catalog import WINDOW
-from alertlake.session import discard_written, prepare, written
+from alertlake.session import discard_written, prepare, spread, written
 from alertlake.sources.event_alerts import alert_lines
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -55,7 +55,7 @@ def main() -> None:
     def consumed(build):
         return lambda: build().write.format("noop").mode("overwrite").save()
 
-    lines = written(alert_lines(spark, SF_DIR), "lines")
+    lines = written(spread(alert_lines(spark, SF_DIR), "record_number"), "lines")
     records = timed("normalize_alerts", lambda: written(load_records(lines), "records"))
     alerts = timed("dedup_best", lambda: written(accepted(records), "alerts"))
     run = timed("sessions_and_matches", lambda: incidents.correlate(alerts, WINDOW))

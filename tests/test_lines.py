@@ -4,10 +4,11 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from alertlake.operators.quality import InputRejected
 from alertlake.plans.analysis import Options, report
-from alertlake.sources.lines import numbered_lines
+from alertlake.sources.lines import counted_lines, first_files, numbered_lines
 from tests.conftest import attack, make_alert
 
 
@@ -69,3 +70,47 @@ def test_gzip_budget_limit_and_scope(spark, tmp_path):
 def test_bounds_must_be_in_order():
     with pytest.raises(ValueError):
         Options(since="2026-02-01", until="2026-01-01").bounds()
+
+
+def test_one_packed_file_is_normalised_by_all_cores(spark, tmp_path):
+    texts = [json.dumps(make_alert(str(i), full_log="x" * 3000 + str(i * 7919))).encode() for i in range(20_000)]
+    path = write(tmp_path / "alerts.json.gz", texts, gzip.open)
+    lines, counts = counted_lines(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    assert counts == {"lines": 20_000, "bytes": sum(len(t) + 1 for t in texts)}
+    assert lines.rdd.getNumPartitions() >= cores
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= cores and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert {r.record_number: len(r.value) for r in lines.collect()} == {i: len(t) for i, t in enumerate(texts, 1)}
+
+
+def test_a_line_limit_opens_few_files(spark, tmp_path):
+    for i in range(100):
+        # From the eighth file on no file can be read.
+        rows = [make_alert(f"{i}-{k}") for k in range(300)]
+        if i < 7:
+            write(tmp_path / f"a {i:03d} [x].json.gz", rows, gzip.open)
+        else:
+            (tmp_path / f"a {i:03d} [x].json.gz").write_bytes(b"not packed")
+    folder = str(tmp_path)
+    assert len(first_files(spark, folder, 1000)) == 7 and len(first_files(spark, folder, 299)) == 1
+    assert numbered_lines(spark, folder, limit=1000).count() == 1001
+    stats = report(spark, folder, Options(line_limit=1000)).stats.first()
+    assert (stats.total_lines, stats.line_limit_reached, stats.included_alerts) == (1000, True, 1000)
+    short = [str(tmp_path / f"a {i:03d} \\[x\\].json.gz") for i in range(2)]
+    assert numbered_lines(spark, short, limit=600).count() == 600 and len(first_files(spark, short, 5000)) == 2
+
+
+def test_counters_come_from_the_writing_itself(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "alerts.json", [make_alert(str(i // 2)) for i in range(50)] + [b"{bad", b""])
+    from alertlake.operators import quality
+    from alertlake.plans import analysis
+
+    seen = []
+    monkeypatch.setattr(analysis, "stats_of_counts", lambda counts, records, limit: seen.append((counts, records)) or quality.stats_of_counts(counts, records, limit))
+    made = report(spark, path, Options(min_level=1))
+    stats = made.stats.first().asDict()
+    (counts, records), = seen
+    again = quality.quality_stats(records, made.result.alerts).first().asDict()
+    assert stats == again and counts["total_lines"] == 52 and stats["duplicate_records"] == 25
+    assert stats["malformed_line_samples"] == [51]
