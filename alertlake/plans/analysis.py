@@ -85,7 +85,11 @@ def accepted(records: DataFrame, line_limit: int = 0) -> DataFrame:
 
 def analyze(alerts: DataFrame, incident_window_minutes: int = 10, timezone: str = "input") -> Result:
     """All tables from one set of alerts. Incidents are written once; the rest stays lazy."""
-    found = written(find_incidents(alerts, incident_window_minutes), "incidents")
+    return tables_of(alerts, written(find_incidents(alerts, incident_window_minutes), "incidents"), timezone)
+
+
+def tables_of(alerts: DataFrame, found: DataFrame, timezone: str = "input") -> Result:
+    """All tables from alerts and their incidents."""
     queue = found.orderBy(*queue_order())
     return Result(
         alerts=alerts,

