@@ -66,7 +66,7 @@ def test_versions_are_read_through_manifests(spark, tmp_path, small_report):
     first = publish_bundle(small_report, root, {"title": "One"})
     assert first["version"] == 1 and first["rows"]["cleaned_alerts"] == 5 and read_manifest(spark, root) == first
     rows = read_bundle(spark, root, "cleaned_alerts").collect()
-    assert [r["event_id"] for r in rows] == [str(i) for i in range(5)] and rows[3]["full_log"] == 'a,\n"3"'
+    assert [r["event_id"] for r in rows] == [str(i) for i in range(5)] and rows[3]["full_log"] == 'a,\\n"3"'
     second = publish_bundle(small_report, root)
     assert read_manifest(spark, root) == second and second["version"] == 2 and second["run"] != first["run"]
     assert read_bundle(spark, root, "incidents", first).count() == first["rows"]["incidents"]
