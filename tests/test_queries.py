@@ -51,3 +51,16 @@ def test_query(spark, database, name):
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert [r.priority for r in sorted(rows, key=lambda r: r.priority)] == list(range(1, len(rows) + 1))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alerts_are_not_multiplied_or_sorted_to_be_counted(spark):
+    made = {n: plan_of(QUERIES[n](spark, SF_DIR)) for n in ("metrics", "timeline", "mitre_summary", "report_top_assets", "report_timeline_share")}
+    assert not any("Expand" in plan for plan in made.values())
+    assert "SortAggregate" not in made["timeline"] and "SortAggregate" not in made["report_timeline_share"]
+    # Both read small written tables alone.
+    assert "shown-by_asset" in made["report_top_assets"] and "/alerts-" not in made["report_top_assets"]
+    assert "timeline-buckets" in made["report_timeline_share"] and "/alerts-" not in made["report_timeline_share"]
