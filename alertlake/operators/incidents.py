@@ -59,7 +59,8 @@ _SHIFT_US = 10**17
 _LINES = Decimal(10**15)
 
 
-_ITEMS = Decimal(10**3)
+# Places of the items of one alert; a line of a megabyte holds fewer.
+_ITEMS = Decimal(2 * 10**5)
 
 
 def _place(us: Column, missing: int = 0) -> Column:
@@ -139,14 +140,13 @@ def session_lists(run: Correlation) -> DataFrame:
     techniques = F.transform(
         split_list(c("mitre_ids")), lambda v, i: entry("mitre_ids", clean_text(v, ""), i)
     )
-    entries = F.concat(F.array(*single), techniques)
+    entries = F.filter(F.concat(F.array(*single), techniques), lambda x: ~x["value"].isin("", dims.MISSING))
     rows = (
         run.members.select(*CELL, "event_us", "record_number", F.explode(entries).alias("entry"))
         .select(
             *CELL, "entry.field", "entry.value",
-            (_place(c("event_us")) * F.lit(_ITEMS) + F.least(c("entry.i"), F.lit(int(_ITEMS) - 1)).cast("decimal(5,0)")).alias("at"),
+            (_place(c("event_us")) * F.lit(_ITEMS) + F.least(c("entry.i"), F.lit(int(_ITEMS) - 1)).cast("decimal(6,0)")).alias("at"),
         )
-        .filter(~c("value").isin("", dims.MISSING))
     )
     per_cell = rows.groupBy(*CELL, "field", "value").agg(F.min("at").alias("at"))
     per_session = (

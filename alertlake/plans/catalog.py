@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from alertlake import dims
 from alertlake.functions import clock, ip, jsontext, scoring, text
-from alertlake.operators import filters, incidents, normalize, quality, sessions, summaries, views
+from alertlake.operators import filters, incidents, networks, normalize, quality, sessions, summaries, views
 from alertlake.operators.compromise import is_chain
 from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
@@ -457,6 +457,23 @@ def fn_ip6_scope(spark, sf_dir):
     return events(spark, sf_dir).filter("u < 255").select("e", ip.ip_scope(ip.normalize_ip(_address6())).alias("scope"))
 
 
+@query
+def scope_by_networks(spark, sf_dir):
+    """Addresses of events against one network per user, four lengths, ranks with ties."""
+    u = F.col("u")
+    second, third = (u % 20).cast("string"), (u % 7).cast("string")
+    network = pick(
+        u % 4, F.concat(F.lit("10."), second, F.lit("."), third, F.lit(".77/24")), F.concat(F.lit("10."), second, F.lit(".0.0/16")),
+        F.concat(F.lit("10."), second, F.lit("."), third, F.lit("."), (u % 250).cast("string")), F.concat(F.lit("10."), second, F.lit(".4.0/22")),
+    )
+    users = events(spark, sf_dir).select("u").distinct()
+    table = networks.network_table(users.select(network.alias("network"), F.concat(F.lit("site "), (u % 9).cast("string")).alias("label"), (u % 5).alias("rank")))
+    e = F.col("e")
+    parts = [(e % n).cast("string") for n in (25, 7, 250)]
+    address = pick(e % 10, *[F.concat(F.lit("10."), F.concat_ws(".", *parts))] * 8, "-", F.concat(F.lit("::ffff:10."), F.concat_ws(".", *parts)))
+    return networks.with_network(events(spark, sf_dir).select("e", address.alias("address")), "address", table)
+
+
 @query
 def fn_normalize_username(spark, sf_dir):
     u = F.concat(F.lit("User"), F.col("u").cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -26,12 +27,15 @@ def work_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
     It is the one the session names in spark.checkpoint.dir. Where none is named, a folder below
-    the warehouse is set, which every cluster shares as well.
+    the warehouse is set; on a cluster, a warehouse on the driver's own disk is refused.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
-        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/alertlake-work")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not sc.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(f"{warehouse}/alertlake-work")
         configured = sc.getCheckpointDir()
     return configured
 
@@ -53,6 +57,13 @@ def discard_written(spark: SparkSession, *names: str) -> None:
         mine.remove(entry)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, which `discard_written` deletes under its name."""
+    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append((name, path))
+    return path
+
+
 # Bytes of input files for one part; packed text grows about tenfold.
 _PART_BYTES = 32 << 20
 
@@ -83,8 +94,7 @@ def written(df: DataFrame, name: str, counts: dict[str, Column] | None = None) -
     seen = Observation(f"{name}-{uuid.uuid4().hex}") if counts else None
     if seen:
         df = df.observe(seen, *[column.alias(key) for key, column in counts.items()])
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append((name, path))
     table = spark.read.schema(df.schema).parquet(path)
     return (table, seen.get) if seen else table

@@ -143,6 +143,19 @@ def _quality_table() -> str:
     )
 
 
+# Networks as ranges of numbers, every address compared with all of them.
+SCOPE_BY_NETWORKS = f"""WITH ev AS ({EV}),
+  given AS (SELECT DISTINCT u % 5 AS rank, 'site ' || u % 9 AS label, [24, 16, 32, 22][u % 4 + 1] AS bits,
+      10 * 16777216 + (u % 20) * 65536 + [(u % 7) * 256 + 77, 0, (u % 7) * 256 + u % 250, 1024][u % 4 + 1] AS host FROM ev),
+  nets AS (SELECT *, (host >> (32 - bits)) << (32 - bits) AS low, 1 << (32 - bits) AS width FROM given),
+  asked AS (SELECT e, CASE WHEN e % 10 <> 8 THEN 10 * 16777216 + (e % 25) * 65536 + (e % 7) * 256 + e % 250 END AS n,
+      (e % 25) || '.' || (e % 7) || '.' || (e % 250) AS parts FROM ev)
+SELECT e, CASE e % 10 WHEN 8 THEN '-' WHEN 9 THEN '::ffff:10.' || parts ELSE '10.' || parts END AS address,
+  CASE WHEN n IS NULL THEN 'Unknown' ELSE coalesce(hit, 'Public/External') END AS scope
+FROM asked LEFT JOIN (SELECT e, arg_min(label, struct_pack(rank, shorter := -bits, label)) AS hit
+  FROM asked JOIN nets ON n >= low AND n < low + width GROUP BY e) USING (e)"""
+
+
 def _functions() -> dict[str, str]:
     u = "CAST(u AS VARCHAR)"
     host = "(u % 250)"
@@ -248,6 +261,7 @@ def _functions() -> dict[str, str]:
             *[f"'{p}' || lower(to_hex(u + 1))" for p in ("ff02::", "fd00:0:0:1::", "2606:4700::")]) + " AS address") + " WHERE u < 255",
         "fn_ip6_scope": over_events(choose(
             "e % 6", "'Reserved'", "'Link-local'", "'Loopback'", "'Multicast'", "'Private/Internal'", "'Public/External'") + " AS scope") + " WHERE u < 255",
+        "scope_by_networks": SCOPE_BY_NETWORKS,
         "fn_normalize_username": over_events(choose(
             "e % 8", "'User' || u", "'-'", "'-'", "'-'", "'-'", "'User' || u || '\\n'", "'-'", "'Nonesuch'") + " AS username"),
         "fn_severity": over_events(severity("CAST(floor(value) AS INT) % 17") + " AS severity"),

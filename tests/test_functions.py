@@ -2,12 +2,14 @@
 
 import ipaddress
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from alertlake.functions import clock, ip, jsontext, text
+from alertlake.operators import networks
 from alertlake.operators.normalize import in_display_zone
 from alertlake.sources.lines import judged_lines
 
@@ -50,6 +52,41 @@ def test_scope(spark, address, scope):
     assert spark.range(1).select(ip.ip_scope(F.lit(address)).alias("s")).first().s == scope
 
 
+def test_network_table_matches_the_standard_library(spark):
+    """10,000 networks of both families; every address is compared with all of them."""
+    draw = random.Random(7)
+    nets = []
+    for i in range(10_000):
+        if i % 3:
+            text = f"{ipaddress.ip_address((10 << 24) + draw.randrange(1 << 18))}/{draw.randint(9, 32)}"
+        else:
+            text = f"{ipaddress.ip_address((0xfd << 120) + (draw.randrange(1 << 12) << 100))}/{draw.randint(20, 128)}"
+        nets.append((text, f"net {i}", draw.randrange(50)))
+    nets += [("::ffff:10.9.0.0/112", "mapped", 60), ("2001:db8::1", "one", 0), ("10.0.0.0/8", "rest", 99)]
+    asked = [str(ipaddress.ip_address((10 << 24) + draw.randrange(1 << 19))) for _ in range(60)]
+    asked += [str(ipaddress.ip_address((0xfd << 120) + (draw.randrange(1 << 13) << 100))) for _ in range(60)]
+    asked += ["2001:db8::1", "2001:db8::2", "10.9.3.3", "::ffff:10.9.3.3", "11.0.0.1", "-", "x", None, "", asked[0]]
+
+    def plain(address):
+        try:
+            one = ipaddress.ip_address(address.removeprefix("::ffff:"))
+        except (ValueError, AttributeError):
+            return "Unknown"
+        hits = [(rank, -net.prefixlen, label) for net, label, rank in parsed if one in net]
+        return min(hits)[2] if hits else "Public/External"
+
+    parsed = [(ipaddress.ip_network("10.9.0.0/16" if "ffff" in t else t, strict=False), label, rank) for t, label, rank in nets]
+    table = networks.network_table(spark.createDataFrame(nets, "network string, label string, rank int"))
+    rows = spark.createDataFrame([(i, a, "old") for i, a in enumerate(asked)], "i int, label string, scope string")
+    found = networks.with_network(rows, "label", table).collect()
+    assert {r.i: (r.label, r.scope) for r in found} == {i: (a, plain(a)) for i, a in enumerate(asked)} and len(found) == len(asked)
+    assert networks.with_network(rows.limit(0), "label", table).count() == 0
+    assert {r.scope for r in networks.with_network(rows.limit(3), "label", table.limit(0)).collect()} == {"Public/External"}
+    for wrong in ("10.0.0.0/33", "10.0.0/8", "nonsense"):
+        with pytest.raises(ValueError, match="not a network"):
+            networks.network_table(spark.createDataFrame([(wrong, "x", 1)], "network string, label string, rank int"))
+
+
 TIMES = [
     "2026-07-26T00:00:00.000+0800", "2026-07-26T00:00:00Z", "2026-07-26", "20260726T000000", "2026-W30-7",
     "2026-W30", "2026W307T10", "2026-W54-1", "2020-W53-1", "2026", "2026-07", "2026-02-30",
