@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.session import work_dir
+from alertlake.session import shared_path
 
 # Blanks as the contracts define them: space and the five ASCII controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the one that driver and executors share."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the one that driver and executors share; discard_written deletes it."""
+    return shared_path(spark, name)
 
 
 def words_of(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text knows every substring of it. A text is read
 left to right in phrases, each the longest match from where it starts; the language whose text
-needs the fewest phrases, normalised by the logarithm of the model's size, is the prediction. The
-automata are made dense tables once per Python worker, and many stretches of text are parsed
-side by side with numpy, one character a step.
+needs the fewest phrases, normalised by the logarithm of the model's size, is the prediction.
+Phrases are greedy within stretches of 1,024 characters, which start afresh. The automata are made
+dense tables once, on the driver, and broadcast; many stretches are parsed side by side with numpy,
+one character a step.
 """
 
 from __future__ import annotations
@@ -174,8 +175,8 @@ def _slices(texts: list[str | None]):
 def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict[str, str]:
     """At most 40,000 characters of each language, from at most 64 rows in order of the id's hash.
 
-    Rows longer than 20,000 characters come last and are cut there. All languages get the size of
-    the smallest sample above a tenth of the bound, and smaller ones stay as they are.
+    Rows longer than 20,000 characters come last and are cut there. Samples may differ in size: a
+    phrase costs the logarithm of its language's sample.
     """
     c = F.col
     t = c(f"`{text}`").cast("string")
@@ -186,8 +187,7 @@ def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang",
     for row in picked.select("lang", "place", F.substring("t", 1, CHARS_PER_ROW).alias("t")).collect():
         texts.setdefault(row["lang"], []).append((row["place"], row["t"]))
     joined = {name: "\n".join(t for _, t in sorted(found))[:CHARS_PER_LANGUAGE] for name, found in texts.items()}
-    sizes = [len(t) for t in joined.values() if len(t) >= CHARS_PER_LANGUAGE // 10]
-    return {name: t[:min(sizes, default=CHARS_PER_LANGUAGE)] for name, t in joined.items() if t.strip()}
+    return {name: t for name, t in joined.items() if t.strip()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
@@ -197,14 +197,12 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     learned. Ties go to the first language by name. Repeated rows get equal results; input columns
     called lang_pred or score give way.
     """
-    models: list[Model] = []
+    shared = docs.sparkSession.sparkContext.broadcast(Model(samples))
 
     def run(batches):
-        if not models:
-            models.append(Model(samples))
         for batch in batches:
             at = batch.schema.get_field_index("__text")
-            predicted = models[0].predict(batch.column(at).to_pylist())
+            predicted = shared.value.predict(batch.column(at).to_pylist())
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array([p for p, _ in predicted], pa.string()), pa.array([s for _, s in predicted], pa.float64())],

@@ -2,8 +2,10 @@
 
 One view sees the text's content (character classes and hashed words), the other the page's
 metadata (source, language, length and layout). Both are ridge logistic regressions. In each round
-the unlabelled documents that one view is most sure of, as many of either class, become pseudo-
-labels of the other. Held-out labels calibrate both views and their combination, which scores all
+the unlabelled documents that one view is most sure of become pseudo-labels of the other, class by
+class by its share: a view is sure of a class down to the chance where 95 of 100 held-out labels
+agree with it. A view that is never sure of one of the classes gives none, as labels of one class
+alone bend the other view; what was exchanged is kept with the model. Held-out labels calibrate both views and their combination, which scores all
 documents. Models are fitted on samples of documented size; scoring reads every whole text.
 """
 
@@ -26,8 +28,9 @@ from alertlake.session import written
 MAX_LABELLED = 12_000
 MAX_UNLABELLED = 12_000
 ROUNDS = 4
+PER_ROUND = 1_000
 SURE = 0.95
-PER_ROUND = 500
+LEAST_SURE = 20
 THRESHOLD = 0.5
 WORDS = 64
 METAS = 32
@@ -132,6 +135,8 @@ class CoTrained:
     meta: Logistic
     calibrations: tuple[Logistic, Logistic]
     combined: Logistic
+    # Per round: pseudo-labels (bad, good) from text to metadata, then from metadata to text.
+    exchanged: list[tuple[tuple[int, int], tuple[int, int]]]
 
     def score(self, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chances of good quality: combined, by text, by metadata."""
@@ -139,6 +144,36 @@ class CoTrained:
         return _chance(self.combined.logit(np.column_stack(views))), _chance(views[0]), _chance(views[1])
 
 
+def sure_from(chance: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Chances from which a view is sure: (at most, bad; at least, good); -1 and 2 if it never is.
+
+    The loosest bound at which SURE of the labelled rows beyond it, 20 or more, are of the class.
+    """
+    bounds = []
+    for label, sign in ((0, 1), (1, -1)):
+        order = np.argsort(sign * chance, kind="stable")
+        agree = np.cumsum(y[order] == label) / np.arange(1, len(y) + 1)
+        # Rows of one chance stand or fall together.
+        last = np.append(np.diff(chance[order]) != 0, True)
+        ends = np.nonzero((agree >= SURE) & last & (np.arange(1, len(y) + 1) >= LEAST_SURE))[0]
+        bounds.append(float(chance[order][ends[-1]]) if len(ends) else (-1.0, 2.0)[label])
+    return bounds[0], bounds[1]
+
+
+def confident(chance: np.ndarray, free: np.ndarray, bounds: tuple[float, float], share: float, n: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the free rows a view is surest of: (bad, good), of each class at most n times its share.
+
+    Ties go to the earlier row; a row beyond both bounds counts for neither class. A view without
+    a bound for one class gives nothing.
+    """
+    if bounds[0] < 0 or bounds[1] > 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bad, good = chance <= bounds[0], chance >= bounds[1]
+    n_good = round(n * share)
+    sides = np.nonzero(free & bad & ~good)[0], np.nonzero(free & good & ~bad)[0]
+    return tuple(side[np.argsort(sign * chance[side], kind="stable")[:k]] for side, sign, k in zip(sides, (1, -1), (n - n_good, n_good)))
+
+
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
     """Fits on three quarters of the labelled rows and calibrates on the others."""
     held = np.arange(len(y)) % 4 == 3
@@ -148,22 +183,24 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
     test = held if held.any() else fitted
     views, pools = [None, None], [ut, um]
     free = [np.ones(len(ut), bool), np.ones(len(ut), bool)]
+    exchanged = []
     for turn in range(rounds + 1):
         views = [Logistic.fit(*rows) for rows in known]
         if turn == rounds or not len(ut):
             break
+        given = []
         for me, other in ((0, 1), (1, 0)):
-            chance = _chance(views[me].logit(pools[me]))
-            sides = [np.nonzero(free[other] & (chance <= 1 - SURE))[0], np.nonzero(free[other] & (chance >= SURE))[0]]
-            n = min(PER_ROUND, *map(len, sides))
-            for label, (side, sign) in enumerate(zip(sides, (1, -1))):
-                chosen = side[np.argsort(sign * chance[side], kind="stable")[:n]]
-                free[other][chosen] = False
-                known[other] = (np.vstack([known[other][0], pools[other][chosen]]), np.concatenate([known[other][1], np.full(n, float(label))]))
+            bounds = sure_from(_chance(views[me].logit((xt, xm)[me][test])), y[test])
+            chosen = confident(_chance(views[me].logit(pools[me])), free[other], bounds, float(y[fitted].mean()))
+            for label, rows in enumerate(chosen):
+                free[other][rows] = False
+                known[other] = (np.vstack([known[other][0], pools[other][rows]]), np.concatenate([known[other][1], np.full(len(rows), float(label))]))
+            given.append(tuple(map(len, chosen)))
+        exchanged.append(tuple(given))
     logits = [v.logit(x[test])[:, None] for v, x in zip(views, (xt, xm))]
     calibrations = tuple(Logistic.fit(x, y[test]) for x in logits)
     both = np.column_stack([c.logit(x) for c, x in zip(calibrations, logits)])
-    return CoTrained(views[0], views[1], calibrations, Logistic.fit(both, y[test]))
+    return CoTrained(views[0], views[1], calibrations, Logistic.fit(both, y[test]), exchanged)
 
 
 def _rows(docs: DataFrame, text: str, id: str, source: str, lang: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,75 @@ def test_phrases_are_longest_matches():
     assert got == [[plain_phrases("".join(map(chr, p)), plain[k]) for k in ("x", "y")] for p in points]
 
 
+def test_long_texts_are_parsed_in_stretches():
+    """Texts beyond one stretch, among shorter ones, against a plain parse of each stretch."""
+    draw = random.Random(3)
+    samples = {"x": "".join(draw.choice("abcd ") for _ in range(3000)), "y": "".join(draw.choice("abe ") for _ in range(700))}
+    model = language_id.Model(samples)
+    plain = {k: "".join(map(chr, language_id.code_points(v))) for k, v in samples.items()}
+    texts = ["".join(draw.choice("abcdez ") for _ in range(n)) for n in (5, 1022, 1500, 4100, 2048)]
+    points = [language_id.code_points(t) for t in texts]
+    size = language_id.STRETCH
+
+    def parsed(text, k):
+        return sum(plain_phrases(text[i:i + size], plain[k]) for i in range(0, len(text), size))
+
+    assert model.phrases(points).tolist() == [[parsed("".join(map(chr, p)), k) for k in ("x", "y")] for p in points]
+
+
+def test_small_languages_leave_others_their_sample(spark):
+    rows = [(i, "das haus am see " * 400, "de") for i in range(8)] + [(90, "een huis " * 500, "nl"), (91, "hus " * 9, "da")]
+    samples = language_id.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {k: len(v) for k, v in samples.items()} == {"de": language_id.CHARS_PER_LANGUAGE, "nl": 4500, "da": 36}
+
+
+def plain_bounds(chance, y):
+    """Every chance tried as a bound, the loosest that holds wins."""
+    low, high = -1.0, 2.0
+    for bound in sorted(set(chance)):
+        below = [label for x, label in zip(chance, y) if x <= bound]
+        if len(below) >= quality_classifier.LEAST_SURE and below.count(0) / len(below) >= quality_classifier.SURE:
+            low = bound
+    for bound in sorted(set(chance), reverse=True):
+        above = [label for x, label in zip(chance, y) if x >= bound]
+        if len(above) >= quality_classifier.LEAST_SURE and above.count(1) / len(above) >= quality_classifier.SURE:
+            high = bound
+    return low, high
+
+
+def test_pseudo_labels_against_a_plain_round():
+    draw = np.random.default_rng(5)
+    for spread in (0.02, 0.2, 3.0):
+        y = (draw.random(400) < 0.7).astype(float)
+        chance = np.round(np.clip(y * 0.8 + 0.1 + draw.normal(0, spread, 400), 0, 1), 2)
+        bounds = quality_classifier.sure_from(chance, y)
+        assert bounds == plain_bounds(chance.tolist(), y.tolist())
+        pool, free = np.round(draw.random(900), 2), draw.random(900) < 0.8
+        got = quality_classifier.confident(pool, free, bounds, 0.7, n=100)
+        if bounds[0] < 0 or bounds[1] > 1:
+            assert [len(g) for g in got] == [0, 0]
+            continue
+        both = (pool <= bounds[0]) & (pool >= bounds[1])
+        bad = sorted((p, i) for i, p in enumerate(pool) if free[i] and p <= bounds[0] and not both[i])[:30]
+        good = sorted((-p, i) for i, p in enumerate(pool) if free[i] and p >= bounds[1] and not both[i])[:70]
+        assert [list(g) for g in got] == [[i for _, i in bad], [i for _, i in good]]
+
+
+def test_exchange_helps_the_view_with_few_features_known():
+    """Two views that each tell the class: both give labels, and scores of unseen rows get no worse."""
+    draw = np.random.default_rng(9)
+    n = 6000
+    y = (draw.random(n) < 0.6).astype(float)
+    views = [np.column_stack([y + draw.normal(0, 0.45, n), draw.normal(0, 1, (n, 30))]) for _ in range(2)]
+    known, pool, unseen = slice(0, 160), slice(160, 4000), slice(4000, n)
+    right = []
+    for rounds in (0, quality_classifier.ROUNDS):
+        model = quality_classifier.co_train(views[0][known], views[1][known], y[known], views[0][pool], views[1][pool], rounds)
+        right.append(((model.score(views[0][unseen], views[1][unseen])[0] >= 0.5) == y[unseen]).mean())
+    assert len(model.exchanged) == quality_classifier.ROUNDS and sum(map(sum, model.exchanged[0])) > 100
+    assert right[1] >= right[0]
+
+
 def test_languages(spark):
     german = "der hund und die katze sind im garten und spielen mit dem ball auf der wiese"
     rows = [(1, PROSE, "en", 1), (2, german, "de", 1), (3, None, "en", 1), (4, "123 !", "en", 1), (5, PROSE + german[:10], "en", 1),
