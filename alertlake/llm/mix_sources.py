@@ -23,8 +23,6 @@ from alertlake.session import written
 
 TOPICS = 8
 TOPIC_DIMENSIONS = 64
-# Bound of the rows that the topic centres are fitted on.
-TOPIC_SAMPLE = 5000
 FRACTION = 0.3
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 TOLERANCE = 1e-6
@@ -37,27 +35,22 @@ MISSING = "(none)"
 MADE = ["topic", "n_tokens", "probability", "kept"]
 
 
-def with_topics(rows: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> DataFrame:
-    """Adds `topic`, the nearest centre of hashed word counts, to rows (key, t).
+def with_topics(rows: DataFrame, topics: int = TOPICS) -> DataFrame:
+    """Rows (..., t) with `topic`, the nearest centre of hashed word counts, in place of the text t.
 
-    Centres are fitted on the documents with the smallest hashed keys; every row gets its nearest.
+    Centres are fitted on all rows. Their counts are worked out once and written without the text;
+    the rounds of the fit and the choice of the nearest centre read these.
     """
-    place = F.xxhash64(F.lit(SEED), F.col("key"))
-    chosen = rows.select(place.alias("place")).orderBy("place").limit(sample)
-    cut = chosen.agg(F.max("place")).first()[0]
-    if cut is None:
-        return rows.withColumn("topic", F.lit(0))
+    # Long words carry the subject; short ones are mostly grammar.
+    words = F.filter(words_of(F.lower("t")), lambda w: F.length(w) >= 4)
     counts = HashingTF(numFeatures=TOPIC_DIMENSIONS, inputCol="__words", outputCol="__counts")
     scaled = Normalizer(inputCol="__counts", outputCol="__features")
-
-    def features(part: DataFrame) -> DataFrame:
-        # Long words carry the subject; short ones are mostly grammar.
-        words = F.filter(words_of(F.lower("t")), lambda w: F.length(w) >= 4)
-        return scaled.transform(counts.transform(part.withColumn("__words", words)))
-
-    fitted = written(features(rows.filter(place <= cut)).select("__features"), "topic-sample")
-    model = KMeans(k=topics, seed=SEED, maxIter=10, featuresCol="__features", predictionCol="topic").fit(fitted)
-    return model.transform(features(rows)).drop("__words", "__counts", "__features")
+    features = scaled.transform(counts.transform(rows.withColumn("__words", words)))
+    table = written(features.drop("t", "__words", "__counts"), "topic-features")
+    if table.isEmpty():
+        return table.drop("__features").withColumn("topic", F.lit(0))
+    model = KMeans(k=topics, seed=SEED, maxIter=10, featuresCol="__features", predictionCol="topic").fit(table.select("__features"))
+    return model.transform(table).drop("__features")
 
 
 def _target(levels: DataFrame, name: str, given: Mapping | None, exponent: float) -> dict:
@@ -201,8 +194,8 @@ def mixed(docs: DataFrame, fraction: float = FRACTION, targets: Mapping[str, Map
     c = F.col
     t = F.coalesce(c(f"`{text}`").cast("string"), F.lit(""))
     level = lambda name: F.coalesce(c(f"`{name}`").cast("string"), F.lit(MISSING))
-    rows = docs.select(row_key(id, text).alias("key"), c(f"`{id}`").alias("id"), level(source).alias("source"), level(lang).alias("lang"), t.alias("t"))
-    narrow = with_topics(rows, topics).select("key", "id", "source", "lang", "topic", F.size(words_of(c("t"))).cast("bigint").alias("n_tokens"))
+    rows = docs.select(row_key(id, text).alias("key"), c(f"`{id}`").alias("id"), level(source).alias("source"), level(lang).alias("lang"), F.size(words_of(t)).cast("bigint").alias("n_tokens"), t.alias("t"))
+    narrow = with_topics(rows, topics).select("key", "id", "source", "lang", "topic", "n_tokens")
     narrow = written(narrow, "mix-rows")
     cells = written(narrow.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "mix-counts")
     rated = probabilities(rake(cells, targets, fraction=fraction), fraction).select("source", "lang", "topic", "probability")

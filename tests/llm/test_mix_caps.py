@@ -32,3 +32,17 @@ def test_targets_out_of_reach_take_all_there_is(spark):
     out = mix_sources.probabilities(mix_sources.rake(table, {"lang": {"de": 1, "en": 1}}, fraction=0.5), 0.5).toPandas().set_index(["source", "lang"])
     assert out.probability[("a", "de")] == 1 and out.probability.max() <= 1
     assert abs((out.tokens * out.probability).sum() - 1000) < 1
+
+
+def test_topics_are_fitted_on_all_rows(spark, monkeypatch):
+    fitted = []
+
+    class Noted(mix_sources.KMeans):
+        def fit(self, dataset, params=None):
+            fitted.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(mix_sources, "KMeans", Noted)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('words about subject', id % 5, ' and more') AS text", "'en' AS lang", "'web' AS source")
+    out = mix_sources.mixed(docs)
+    assert out.count() == 6000 and fitted == [6000]
