@@ -25,8 +25,10 @@ _NOTED = {**_STRICT, "columnNameOfCorruptRecord": "bad"}
 
 
 def mark_strings(line: Column) -> Column:
-    plain = F.replace(line, F.lit("\\\\"), F.lit("\\u005c"))
-    plain = F.replace(plain, F.lit('\\"'), F.lit("\\u0022"))
+    spelled = F.replace(line, F.lit("\\\\"), F.lit("\\u005c"))
+    spelled = F.replace(spelled, F.lit('\\"'), F.lit("\\u0022"))
+    # Most lines have no backslash at all.
+    plain = F.when(F.contains(line, F.lit("\\")), spelled).otherwise(line)
     return F.regexp_replace(plain, '"([^"]*)"', '"_$1"')
 
 

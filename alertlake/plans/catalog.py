@@ -18,7 +18,7 @@ from alertlake.operators.ranges import ranked
 from alertlake.plans import publish as bundles
 from alertlake.plans.analysis import Options, Report, accepted, load_records, tables_of
 from alertlake.plans.publish import summary_json, write_csv
-from alertlake.session import discard_written, prepare, spread, work_dir, written
+from alertlake.session import discard_written, prepare, work_dir, written
 from alertlake.sources import event_alerts, lines
 
 WINDOW = 1440
@@ -65,25 +65,20 @@ def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], obj
     return _tables[name]
 
 
-def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared("alert_lines", spark, sf_dir, lambda: written(
-        spread(event_alerts.alert_lines(spark, sf_dir), "record_number"), "lines"))
-
-
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("damaged_lines", spark, sf_dir, lambda: written(
-        spread(event_alerts.damaged_lines(spark, sf_dir), "record_number"), "lines"))
+        event_alerts.damaged_lines(spark, sf_dir), "lines"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("records", spark, sf_dir, lambda: written(
-        load_records(alert_lines(spark, sf_dir)), "records"))
+        load_records(event_alerts.alert_lines(spark, sf_dir)), "records"))
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(**{**FILTERS.__dict__, "max_line_bytes": event_alerts.LINE_CAP})
     return _shared("damaged", spark, sf_dir, lambda: written(
-        load_records(damaged_lines(spark, sf_dir), options), "damaged"))
+        load_records(event_alerts.damaged_lines(spark, sf_dir), options), "damaged"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +214,7 @@ def publish_bundle(spark, sf_dir):
 
 @query
 def ingest_line_status(spark, sf_dir):
-    judged = lines.judged_lines(damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
+    judged = lines.judged_lines(event_alerts.damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
     return judged.select("record_number", "line_status", "n_bytes")
 
 
@@ -514,8 +509,8 @@ def fn_duration(spark, sf_dir):
 
 @query
 def normalize_alerts(spark, sf_dir):
-    judged = lines.judged_lines(alert_lines(spark, sf_dir))
-    return normalize.normalize_alerts(judged.filter(lines.is_status("ok"))).select(*dims.ALERT_COLUMNS)
+    # Of the written records: a filter on lines still to be parsed would parse each of them twice.
+    return records(spark, sf_dir).filter(lines.is_status("ok")).select(*dims.ALERT_COLUMNS)
 
 
 def _record_fields(name: str, *columns: str) -> None:

@@ -82,6 +82,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(cores, known // _PART_BYTES), key)
 
 
+# Bytes of a columnar input for one part of what is made of it: some fifty thousand events.
+_COLUMN_BYTES = 512 << 10
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a columnar input dealt out by the hash of some columns, in parts that grow in number with its size.
+
+    The splits of such a file say nothing about its rows: a row group is read by one task, and the other
+    splits of it are empty. Few narrow columns are cheap to deal out before wide rows are made of them.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # As many parts for every core.
+    return df.repartition(cores * max(1, -(-known // (cores * _COLUMN_BYTES))), *keys)
+
+
 def written(df: DataFrame, name: str, counts: dict[str, Column] | None = None) -> DataFrame | tuple[DataFrame, dict]:
     """Write a result that several later steps read, and read it back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake import dims
+from alertlake.session import dealt
 
 DUPLICATE_BASE = 10_000_000
 LINE_CAP = 2_000
@@ -38,10 +39,15 @@ def _pick(table: dict[str, list[str]], key: Column) -> Column:
     return case.otherwise(F.lit(None))
 
 
+def given_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, dealt out to tasks of even size before wide lines are made of its rows."""
+    return dealt(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "user_id", "ts")
+
+
 def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested raw alert per event; every 25th event twice."""
     c = F.col
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    events = given_events(spark, sf_dir).select(
         c("event_id").alias("e"),
         c("user_id").alias("u"),
         "event_type",
@@ -146,7 +152,7 @@ def rule_cycle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(nested.alias("a")).alias("data"),
         F.concat(F.lit("event "), e.cast("string"), F.lit("\n")).alias("full_log"),
     )
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select((e + 1).alias("record_number"), F.to_json(alert).alias("value"))
+    return given_events(spark, sf_dir).select((e + 1).alias("record_number"), F.to_json(alert).alias("value"))
 
 
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,8 @@ def judged_lines(lines: DataFrame, max_line_bytes: int = 0) -> DataFrame:
     value = F.col("value")
     n_bytes = (F.octet_length(value) + 1).cast("bigint")
     oversized = n_bytes > (max_line_bytes or 2**62)
-    text = F.when(F.is_valid_utf8(value) & ~oversized, F.regexp_replace(value, "^\\uFEFF", ""))
+    unmarked = F.when(value.startswith("\ufeff"), F.substr(value, F.lit(2))).otherwise(value)
+    text = F.when(F.is_valid_utf8(value) & ~oversized, unmarked)
     c = F.col
     opened = F.btrim(c("text"), F.lit(" \t\r\n")).startswith("{")
     strict = ~jsontext.has_foreign_number(c("text"))
