@@ -113,26 +113,39 @@ def pick(selector: Column, *choices: Column | str) -> Column:
 # ------------------------------------------------------------------ input
 
 
-def _alert_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The alert lines as files in order: a folder of plain parts, then one of packed parts."""
+# Lines of one written alert file, and how many kilobytes of text one block of it has for a million lines.
+FILE_LINES = 250_000
+BLOCK_KB = 1000
+
+
+def _alert_files(spark: SparkSession, sf_dir: str) -> tuple[list[str], int]:
+    """The alert lines as files in order, a folder of plain parts, then one of packed parts, and how many lines there are.
+
+    The number of files grows with the lines.
+    """
     rows = event_alerts.alert_lines(spark, sf_dir).filter(F.col("record_number") < event_alerts.DUPLICATE_BASE)
     root = f"{work_dir(spark).rstrip('/')}/alert-files-{uuid.uuid4().hex}"
-    middle = rows.agg(F.percentile_approx("record_number", 0.5)).first()[0] or 0
+    n, middle = rows.agg(F.count("*"), F.coalesce(F.percentile_approx("record_number", 0.5), F.lit(0))).first()
+    files = max(4, n // (2 * FILE_LINES))
     parts = {"a-plain": F.col("record_number") <= middle, "b-packed": F.col("record_number") > middle}
     for name, mine in parts.items():
-        dealt = rows.filter(mine).repartitionByRange(4, "record_number").sortWithinPartitions("record_number")
+        dealt = rows.filter(mine).repartitionByRange(files, "record_number").sortWithinPartitions("record_number")
         codec = {"compression": "gzip"} if name == "b-packed" else {}
         dealt.select("value").write.options(**codec).text(f"{root}/{name}")
-    return [f"{root}/{name}" for name in parts]
+    return [f"{root}/{name}" for name in parts], n
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the files, scanned in small splits, so that most files are several blocks."""
+    """Lines of the files, scanned in small splits, so that most files are several blocks.
+
+    Splits grow with the lines, so that the tasks, each of which reports to the driver, stay a few hundred.
+    """
+    files, n = _alert_files(spark, sf_dir)
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "64k")
+    spark.conf.set(setting, f"{max(64, n * BLOCK_KB // 1_000_000)}k")
     try:
-        return lines.numbered_lines(spark, _alert_files(spark, sf_dir))
+        return lines.numbered_lines(spark, files)
     finally:
         spark.conf.set(setting, before)
 

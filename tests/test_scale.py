@@ -41,3 +41,11 @@ def test_events_of_one_row_group_become_even_tasks(spark, tmp_path):
 def test_lines_are_parsed_once_for_the_normalised_alerts(spark):
     plan = catalog.registered()["normalize_alerts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "/records-" in plan and "from_json" not in plan
+
+
+def test_blocks_of_alert_files_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.lines, "numbered_lines", lambda spark, files: seen.append(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    for n in (2_000, 200_000):
+        catalog._numbered(spark, events_file(spark, tmp_path / str(n), n))
+    assert seen == ["64k", "200k"]
