@@ -20,6 +20,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     # Recording the Python call site of every expression costs more than planning them. (The
     # static spark.python.sql.dataFrameDebugging.enabled=false at session start saves more.)
     spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
+    # The JVM never compiles a method of more than 8,000 bytes: wide projections fused into one such
+    # method are interpreted for every line. Past that size Spark is to run them as several.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from alertlake.plans import catalog
+from alertlake.session import prepare
 from alertlake.sources import event_alerts
 
 KINDS = ["error", "view", "signup", "click", "purchase"]
@@ -49,3 +50,8 @@ def test_blocks_of_alert_files_grow_with_the_lines(spark, tmp_path, monkeypatch)
     for n in (2_000, 200_000):
         catalog._numbered(spark, events_file(spark, tmp_path / str(n), n))
     assert seen == ["64k", "200k"]
+
+
+def test_wide_projections_stay_compilable(spark):
+    """The JVM interprets methods of more than 8,000 bytes for ever."""
+    assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
