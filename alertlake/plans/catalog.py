@@ -27,7 +27,7 @@ FILTERS = Options(
 )
 LINE_LIMIT = 500
 # Names of the tables that several queries share.
-SHARED = ["lines", "damaged", "records", "alerts", "cells", "matches", "incidents"]
+SHARED = ["lines", "judged", "damaged", "records", "alerts", "cells", "matches", "incidents"]
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 _tables: dict[str, object] = {}
@@ -46,8 +46,8 @@ def registered() -> dict[str, Query]:
     return dict(_registry)
 
 
-def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object]):
-    """Tables many queries start from are built once for the latest input.
+def _made(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+    """The shared tables that were built so far for this input.
 
     An input is its path with sizes and times of its files; another one starts afresh, and the
     tables of the one before are deleted.
@@ -60,9 +60,15 @@ def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], obj
             discard_written(spark, *SHARED)
         _tables.clear()
         _tables_of[:] = [now]
-    if name not in _tables:
-        _tables[name] = build()
-    return _tables[name]
+    return _tables
+
+
+def _shared(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object]):
+    """Tables many queries start from are built once for the latest input."""
+    made = _made(spark, sf_dir)
+    if name not in made:
+        made[name] = build()
+    return made[name]
 
 
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +76,15 @@ def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         event_alerts.damaged_lines(spark, sf_dir), "lines"))
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and statuses of the damaged lines: their alerts are not made for these alone."""
+    made = _made(spark, sf_dir)
+    if "damaged" in made:
+        return made["damaged"].select("record_number", "line_status")
+    statuses = lines.judged_lines(event_alerts.damaged_lines(spark, sf_dir), event_alerts.LINE_CAP)
+    return _shared("judged", spark, sf_dir, lambda: written(statuses.select("record_number", "line_status"), "judged"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("records", spark, sf_dir, lambda: written(
         load_records(event_alerts.alert_lines(spark, sf_dir)), "records"))
@@ -164,7 +179,7 @@ def src_line_number(spark, sf_dir):
 @query
 def ingest_strict(spark, sf_dir):
     """What the strict gate decides on: rejected lines by kind, and whether the run is refused."""
-    counts = damaged(spark, sf_dir).agg(*[
+    counts = judged(spark, sf_dir).agg(*[
         F.count_if(F.col("line_status") == status).alias(f"n_{status}") for status in lines.REJECTED
     ])
     return counts.withColumn("refused", sum(F.col(f"n_{status}") for status in lines.REJECTED) > 0)
@@ -241,7 +256,7 @@ def ingest_quarantine(spark, sf_dir):
 
 @query
 def ingest_reject_samples(spark, sf_dir):
-    samples = lines.reject_samples(damaged(spark, sf_dir))
+    samples = lines.reject_samples(judged(spark, sf_dir))
     return samples.select("line_status", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 

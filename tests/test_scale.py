@@ -52,6 +52,22 @@ def test_blocks_of_alert_files_grow_with_the_lines(spark, tmp_path, monkeypatch)
     assert seen == ["64k", "200k"]
 
 
+def test_statuses_of_lines_need_no_alerts(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("alerts were made")
+
+    folder = events_file(spark, tmp_path, 500)
+    monkeypatch.setattr(catalog, "load_records", refuse)
+    counts = catalog.registered()["ingest_strict"](spark, folder).first().asDict()
+    samples = dict(catalog.registered()["ingest_reject_samples"](spark, folder).collect())
+    assert counts == {"n_malformed": 10, "n_non_object": 10, "n_oversized": 10, "n_encoding": 0, "refused": True}
+    assert samples["malformed"] == ",".join(str(i) for i in range(2, 500, 50))
+    monkeypatch.undo()
+    # Where the alerts are there anyway, their statuses are the same.
+    made = catalog.damaged(spark, folder).select("record_number", "line_status")
+    assert sorted(made.collect()) == sorted(catalog._tables["judged"].collect())
+
+
 def test_wide_projections_stay_compilable(spark):
     """The JVM interprets methods of more than 8,000 bytes for ever."""
     assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
