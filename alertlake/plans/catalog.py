@@ -542,8 +542,11 @@ def normalize_alerts(spark, sf_dir):
 
 
 def _record_fields(name: str, *columns: str) -> None:
+    """A few fields of every record: of the written records if they are there, else only these are made."""
     def run(spark, sf_dir):
-        return records(spark, sf_dir).select("record_number", *columns)
+        made = _made(spark, sf_dir).get("records")
+        rows = load_records(event_alerts.alert_lines(spark, sf_dir)) if made is None else made
+        return rows.select("record_number", *columns)
 
     query(run, name)
 
