@@ -90,10 +90,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_records(event_alerts.alert_lines(spark, sf_dir)), "records"))
 
 
+# What the counters of lines, filters, copies and kept alerts are taken from.
+COUNTED = [
+    "record_number", "n_bytes", "line_status", "drop_reason", "event_us", "manager_name", "agent_id", "event_id",
+    "rule_level", "risk_score", "source_ip", "target_user", "full_log", "classification_confidence",
+]
+
+
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the damaged lines, as far as they are counted."""
     options = Options(**{**FILTERS.__dict__, "max_line_bytes": event_alerts.LINE_CAP})
     return _shared("damaged", spark, sf_dir, lambda: written(
-        load_records(event_alerts.damaged_lines(spark, sf_dir), options), "damaged"))
+        load_records(event_alerts.damaged_lines(spark, sf_dir), options).select(*COUNTED), "damaged"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

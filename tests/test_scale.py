@@ -84,3 +84,10 @@ def test_few_fields_are_made_without_the_others(spark, tmp_path):
 def test_wide_projections_stay_compilable(spark):
     """The JVM interprets methods of more than 8,000 bytes for ever."""
     assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_records_that_are_only_counted_have_no_advice(spark, tmp_path):
+    folder = events_file(spark, tmp_path, 500)
+    stats = catalog.registered()["quality_stats"](spark, folder).first()
+    assert stats["total_lines"] == 520 and stats["rejected_records"] == 30 and stats["filtered_by_time"] > 0
+    assert not {"response_suggestion", "mitre_ids", "agent_ip"} & set(catalog.damaged(spark, folder).columns)
