@@ -27,7 +27,10 @@ FILTERS = Options(
 )
 LINE_LIMIT = 500
 # Names of the tables that several queries share.
-SHARED = ["lines", "judged", "damaged", "records", "alerts", "cells", "matches", "incidents"]
+SHARED = [
+    "lines", "judged", "damaged", "records", "alerts", "cells", "matches", "session-facts", "shared-lines", "session-alerts",
+    "incidents",
+]
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 _tables: dict[str, object] = {}
@@ -114,7 +117,20 @@ def correlation(spark: SparkSession, sf_dir: str) -> incidents.Correlation:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("incidents", spark, sf_dir, lambda: written(
-        incidents.build_incidents(correlation(spark, sf_dir)), "incidents"))
+        incidents.build_incidents(correlation(spark, sf_dir), facts=facts(spark, sf_dir)), "incidents"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of all incidents, without the texts of their alerts."""
+    return _shared("facts", spark, sf_dir, lambda: incidents.session_facts(correlation(spark, sf_dir)))
+
+
+def described(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of all incidents: of the written incidents if they are there, else only these are made."""
+    made = _made(spark, sf_dir)
+    if "incidents" in made:
+        return made["incidents"].select(*columns)
+    return incidents.build_incidents(correlation(spark, sf_dir), list(columns), facts(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,10 +229,13 @@ def sink_csv(spark, sf_dir):
     return read.fillna("", columns)
 
 
+def _report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(quality.quality_stats(records(spark, sf_dir), alerts(spark, sf_dir)), "stats")
+
+
 def _report(spark: SparkSession, sf_dir: str) -> Report:
-    rows, kept = records(spark, sf_dir), alerts(spark, sf_dir)
-    stats = written(quality.quality_stats(rows, kept), "stats")
-    return Report(tables_of(kept, found(spark, sf_dir)), stats, Options(incident_window_minutes=WINDOW))
+    stats = _report_stats(spark, sf_dir)
+    return Report(tables_of(alerts(spark, sf_dir), found(spark, sf_dir)), stats, Options(incident_window_minutes=WINDOW))
 
 
 @query
@@ -691,13 +710,13 @@ query(_outages, "agent_outages")
 
 def _incident_fields(name: str, *columns: str) -> None:
     def run(spark, sf_dir):
-        return found(spark, sf_dir).select(*columns)
+        return described(spark, sf_dir, *columns)
 
     query(run, name)
 
 
 def _incidents(spark, sf_dir):
-    return incidents.build_incidents(correlation(spark, sf_dir)).select(*dims.INCIDENT_COLUMNS)
+    return incidents.build_incidents(correlation(spark, sf_dir), dims.INCIDENT_COLUMNS, facts(spark, sf_dir))
 
 
 query(_incidents, "incidents")
@@ -715,7 +734,8 @@ def compromise_incidents(spark, sf_dir):
 
 @query
 def incident_queue(spark, sf_dir):
-    queue = ranked(found(spark, sf_dir), *incidents.queue_order())
+    rows = described(spark, sf_dir, "incident_id", "title", "risk_level", *incidents.ORDER)
+    queue = ranked(rows, *incidents.queue_order())
     return queue.select("priority", "incident_id", "title", "risk_score", "risk_level", "event_count", "last_seen")
 
 
@@ -781,7 +801,7 @@ def incident_counts(spark, sf_dir):
 
 @query
 def recommendations(spark, sf_dir):
-    return summaries.recommendations(found(spark, sf_dir))
+    return summaries.recommendations(described(spark, sf_dir, *dims.RECOMMENDATION_COLUMNS))
 
 
 # ------------------------------------------------------------------ views

@@ -23,6 +23,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     # The JVM never compiles a method of more than 8,000 bytes: wide projections fused into one such
     # method are interpreted for every line. Past that size Spark is to run them as several.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # A union that keeps the partitioning of its parts keeps their hundreds of near-empty partitions too.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
