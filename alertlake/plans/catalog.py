@@ -729,7 +729,12 @@ _incident_fields("incident_evidence", "incident_id", "evidence", "summary")
 
 @query
 def compromise_incidents(spark, sf_dir):
-    return found(spark, sf_dir).filter("compromised").select(*dims.INCIDENT_COLUMNS)
+    made = _made(spark, sf_dir)
+    if "incidents" in made:
+        return made["incidents"].filter("compromised").select(*dims.INCIDENT_COLUMNS)
+    return incidents.build_incidents(
+        correlation(spark, sf_dir), dims.INCIDENT_COLUMNS, facts(spark, sf_dir).filter("compromised"), part=True
+    )
 
 
 @query

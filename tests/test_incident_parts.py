@@ -40,6 +40,16 @@ def test_advice_needs_no_lists(run, monkeypatch):
     assert rows == rows_of(incidents.build_incidents(run).select(*dims.RECOMMENDATION_COLUMNS))
 
 
+def test_compromises_are_made_without_the_other_incidents(run, monkeypatch):
+    facts = incidents.session_facts(run)
+    whole = rows_of(incidents.build_incidents(run, dims.INCIDENT_COLUMNS, facts).filter("event_category = 'Suspected Compromise'"))
+    counts = []
+    monkeypatch.setattr(incidents, "written", lambda df, name: counts.append((name, df.count())) or written(df, name))
+    made = incidents.build_incidents(run, dims.INCIDENT_COLUMNS, facts.filter("compromised"), True)
+    assert len(whole) == 2 and rows_of(made) == whole
+    assert dict(counts)["session-alerts"] <= 4
+
+
 def test_alerts_without_copies_stay_in_the_task_that_reads_them(spark, monkeypatch):
     rows = [make_alert(str(i), HOUR.format(0, i % 60), level=5) for i in range(300)]
     rows += [make_alert(str(i), HOUR.format(1, i), level=9) for i in range(5)] + [make_alert("", HOUR.format(2, 0))] * 2
