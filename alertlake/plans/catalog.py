@@ -125,6 +125,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("facts", spark, sf_dir, lambda: incidents.session_facts(correlation(spark, sf_dir)))
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents for those who count them by key, score or risk: their texts are not made for these alone."""
+    made = _made(spark, sf_dir)
+    return made["incidents"] if "incidents" in made else _shared("listed", spark, sf_dir, lambda: incidents.listed(
+        correlation(spark, sf_dir), facts(spark, sf_dir)))
+
+
 def described(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Some columns of all incidents: of the written incidents if they are there, else only these are made."""
     made = _made(spark, sf_dir)
@@ -749,7 +756,7 @@ def incident_queue(spark, sf_dir):
 
 @query
 def summary_by_source(spark, sf_dir):
-    return summaries.by_source(alerts(spark, sf_dir), found(spark, sf_dir))
+    return summaries.by_source(alerts(spark, sf_dir), counted(spark, sf_dir))
 
 
 @query
@@ -759,7 +766,7 @@ def summary_by_type(spark, sf_dir):
 
 @query
 def summary_by_asset(spark, sf_dir):
-    return summaries.by_asset(alerts(spark, sf_dir), found(spark, sf_dir))
+    return summaries.by_asset(alerts(spark, sf_dir), counted(spark, sf_dir))
 
 
 @query
@@ -774,7 +781,7 @@ def mitre_summary(spark, sf_dir):
 
 @query
 def metrics(spark, sf_dir):
-    return summaries.metrics(alerts(spark, sf_dir), found(spark, sf_dir))
+    return summaries.metrics(alerts(spark, sf_dir), counted(spark, sf_dir))
 
 
 @query
@@ -801,7 +808,7 @@ def ordered_distinct_rows(spark, sf_dir):
 
 @query
 def incident_counts(spark, sf_dir):
-    return summaries.incident_counts(found(spark, sf_dir), summaries.ASSET_KEYS)
+    return summaries.incident_counts(counted(spark, sf_dir), summaries.ASSET_KEYS)
 
 
 @query

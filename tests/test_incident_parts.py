@@ -29,6 +29,17 @@ def names_written(monkeypatch):
     return seen
 
 
+def test_counting_incidents_makes_no_texts(run, monkeypatch):
+    seen = names_written(monkeypatch)
+    facts = incidents.session_facts(run)
+    counted = incidents.listed(run, facts)
+    assert [n for n, _ in seen] == ["session-facts", "shared-lines"]
+    assert not {"full_log", "timestamp", "summary"} & set(facts.columns)
+    whole = incidents.build_incidents(run)
+    columns = ["source_ip", "risk_score", "risk_level", "event_count"]
+    assert rows_of(counted.select(*columns)) == rows_of(whole.select(*columns))
+
+
 def test_advice_needs_no_lists(run, monkeypatch):
     seen = names_written(monkeypatch)
     monkeypatch.setattr(incidents, "session_lists", None)
@@ -50,6 +61,15 @@ def test_compromises_are_made_without_the_other_incidents(run, monkeypatch):
     assert dict(counts)["session-alerts"] <= 4
 
 
+def test_shared_line_numbers_count_as_often_as_they_are_shown(spark):
+    rows = [attack("1", HOUR.format(1, 0)), make_alert("2", HOUR.format(5, 0))]
+    alerts = alerts_of(spark, rows)[0]
+    run = incidents.correlate(alerts.unionByName(alerts.filter("event_id = '1'")), 10)
+    counted = incidents.listed(run, incidents.session_facts(run))
+    whole = incidents.build_incidents(run)
+    assert whole.count() == 9 and rows_of(counted.select("risk_score", "event_count")) == rows_of(whole.select("risk_score", "event_count"))
+
+
 def test_alerts_without_copies_stay_in_the_task_that_reads_them(spark, monkeypatch):
     rows = [make_alert(str(i), HOUR.format(0, i % 60), level=5) for i in range(300)]
     rows += [make_alert(str(i), HOUR.format(1, i), level=9) for i in range(5)] + [make_alert("", HOUR.format(2, 0))] * 2
