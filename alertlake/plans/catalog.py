@@ -17,7 +17,7 @@ from alertlake.operators.outages import agent_outages
 from alertlake.operators.ranges import ranked
 from alertlake.plans import publish as bundles
 from alertlake.plans.analysis import Options, Report, accepted, load_records, tables_of
-from alertlake.plans.publish import summary_json, write_csv
+from alertlake.plans.publish import JSON_INCIDENTS, summary_text, write_csv
 from alertlake.session import discard_written, prepare, work_dir, written
 from alertlake.sources import event_alerts, lines
 
@@ -140,6 +140,12 @@ def described(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return incidents.build_incidents(correlation(spark, sf_dir), list(columns), facts(spark, sf_dir))
 
 
+def urgent(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Incidents among which the n most urgent are."""
+    made = _made(spark, sf_dir)
+    return made["incidents"] if "incidents" in made else incidents.most_urgent(correlation(spark, sf_dir), facts(spark, sf_dir), n)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_id").alias("e"), F.col("user_id").alias("u"), "value", "event_type",
@@ -249,7 +255,9 @@ def _report(spark: SparkSession, sf_dir: str) -> Report:
 def sink_json(spark, sf_dir):
     """The summary written as one JSON text; its headline numbers read back."""
     path = f"{work_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
-    summary_json(_report(spark, sf_dir), {"title": sf_dir}).write.text(path)
+    numbers = summaries.metrics(alerts(spark, sf_dir), counted(spark, sf_dir))
+    top = urgent(spark, sf_dir, JSON_INCIDENTS)
+    summary_text(numbers, _report_stats(spark, sf_dir), top, {"title": sf_dir}).write.text(path)
     value = spark.read.text(path, wholetext=True)
     names = ["total_alerts", "total_incidents", "source_ip_count", "asset_count", "highest_risk_score"]
     numbers = ", ".join(f"{n}: bigint" for n in names)
@@ -850,7 +858,7 @@ _shown("report_top_mitre", "by_mitre", mitre_summary)
 
 @query
 def report_priority_incidents(spark, sf_dir):
-    return views.priority_incidents(found(spark, sf_dir))
+    return views.priority_incidents(urgent(spark, sf_dir, 12))
 
 
 @query
@@ -865,4 +873,4 @@ def report_timeline_share(spark, sf_dir):
 
 @query
 def report_posture(spark, sf_dir):
-    return views.posture(metrics(spark, sf_dir), found(spark, sf_dir))
+    return views.posture(metrics(spark, sf_dir), urgent(spark, sf_dir, 1))

@@ -45,15 +45,19 @@ def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
 
 def summary_json(report: Report, context: dict) -> DataFrame:
     """One JSON text: context, headline numbers, data quality, most urgent incidents."""
-    spark = report.stats.sparkSession
-    top = priority_incidents(report.result.incidents, JSON_INCIDENTS)
+    return summary_text(report.result.metrics, report.stats, report.result.incidents, context)
+
+
+def summary_text(metrics: DataFrame, stats: DataFrame, incidents: DataFrame, context: dict) -> DataFrame:
+    """The summary of its parts; of the incidents only the most urgent ones need be there."""
+    top = priority_incidents(incidents, JSON_INCIDENTS)
     ranked = F.collect_list(F.struct(*dims.INCIDENT_COLUMNS)).alias("top")
-    base = spark.range(1).select(F.lit(json.dumps(context, ensure_ascii=False)).alias("context"))
+    base = stats.sparkSession.range(1).select(F.lit(json.dumps(context, ensure_ascii=False)).alias("context"))
     return base.select(
         F.concat(
             F.lit('{"report":'), F.col("context"),
-            F.lit(',"metrics":'), report.result.metrics.select(F.to_json(F.struct("*"))).scalar(),
-            F.lit(',"data_quality":'), report.stats.select(F.to_json(F.struct("*"))).scalar(),
+            F.lit(',"metrics":'), metrics.select(F.to_json(F.struct("*"))).scalar(),
+            F.lit(',"data_quality":'), stats.select(F.to_json(F.struct("*"))).scalar(),
             F.lit(',"priority_incidents":'), top.agg(F.to_json(ranked)).scalar(),
             F.lit("}"),
         ).alias("value")

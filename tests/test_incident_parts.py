@@ -1,12 +1,16 @@
 """Incidents are made only as far as they are asked for, and counted without their texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from alertlake import dims
 from alertlake.operators import filters, incidents
 from alertlake.operators.filters import dedup_best, repeated_hashes
+from alertlake.operators.views import priority_incidents
+from alertlake.plans import catalog
 from alertlake.session import written
 from tests.conftest import alerts_of, attack, make_alert, success
+from tests.test_scale import KINDS
 
 HOUR = "2026-07-26T{:02d}:{:02d}:00Z"
 
@@ -15,6 +19,24 @@ def rows_of(df):
     return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
 
 
+def test_parts_equal_what_the_whole_table_gives(spark, tmp_path):
+    """Sixty users fail, log in, work and fail again for a week."""
+    i = F.col("id")
+    spark.range(3_000).select(
+        i.alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + i * 200_000_000).alias("ts"), (i % 60).alias("user_id"),
+        F.get(F.array(*[F.lit(k) for k in KINDS]), F.floor(i / 60).cast("int") % 5).alias("event_type"),
+        (i % 500).cast("double").alias("value"), F.lit('{"k": 3}').alias("props"),
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    names = [
+        "recommendations", "compromise_incidents", "summary_by_source", "summary_by_asset", "sink_json", "metrics", "incident_counts",
+        "incident_score", "incident_queue", "report_priority_incidents", "report_posture",
+    ]
+    alone = {n: rows_of(catalog.registered()[n](spark, str(tmp_path))) for n in names}
+    assert all(alone.values()) and "incidents" not in catalog._tables
+    catalog.found(spark, str(tmp_path))
+    assert alone == {n: rows_of(catalog.registered()[n](spark, str(tmp_path))) for n in names}
+
+
 @pytest.fixture
 def run(spark):
     rows = [attack(f"a{i}", HOUR.format(i, 0), source=f"10.44.7.{i}") for i in range(1, 9)]
@@ -61,6 +83,15 @@ def test_compromises_are_made_without_the_other_incidents(run, monkeypatch):
     assert dict(counts)["session-alerts"] <= 4
 
 
+def test_the_most_urgent_are_all_there_and_few_others(run):
+    facts = incidents.session_facts(run)
+    whole = incidents.build_incidents(run)
+    for n in (1, 3, 50):
+        few = incidents.most_urgent(run, facts, n)
+        assert rows_of(priority_incidents(few, n)) == rows_of(priority_incidents(whole, n))
+    assert incidents.most_urgent(run, facts, 1).count() < whole.count() / 2
+
+
 def test_shared_line_numbers_count_as_often_as_they_are_shown(spark):
     rows = [attack("1", HOUR.format(1, 0)), make_alert("2", HOUR.format(5, 0))]
     alerts = alerts_of(spark, rows)[0]
