@@ -133,10 +133,10 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def described(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Some columns of all incidents: of the written incidents if they are there, else only these are made."""
-    made = _made(spark, sf_dir)
-    if "incidents" in made:
-        return made["incidents"].select(*columns)
+    """Some columns of all incidents: of the written incidents if they are there, or if lists have to be
+    made for them, else only these are made."""
+    if "incidents" in _made(spark, sf_dir) or not incidents.LISTED.isdisjoint(columns):
+        return found(spark, sf_dir).select(*columns)
     return incidents.build_incidents(correlation(spark, sf_dir), list(columns), facts(spark, sf_dir))
 
 
