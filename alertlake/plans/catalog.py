@@ -29,7 +29,7 @@ LINE_LIMIT = 500
 # Names of the tables that several queries share.
 SHARED = [
     "lines", "judged", "damaged", "records", "alerts", "cells", "matches", "session-facts", "shared-lines", "session-alerts",
-    "incidents",
+    "urgent-incidents", "incidents",
 ]
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
