@@ -11,8 +11,7 @@ from alertlake import dims
 from alertlake.functions import clock
 from alertlake.operators import summaries
 from alertlake.operators.filters import dedup_best, drop_reason
-from alertlake.operators.incidents import incidents as find_incidents
-from alertlake.operators.incidents import queue_order
+from alertlake.operators.incidents import correlate, queue_order, written_incidents
 from alertlake.operators.normalize import in_display_zone, normalize_alerts
 from alertlake.operators.quality import alert_counts, check_byte_budget, check_strict, line_counts, stats_of_counts
 from alertlake.session import prepare, written
@@ -85,7 +84,7 @@ def accepted(records: DataFrame, line_limit: int = 0) -> DataFrame:
 
 def analyze(alerts: DataFrame, incident_window_minutes: int = 10, timezone: str = "input") -> Result:
     """All tables from one set of alerts. Incidents are written once; the rest stays lazy."""
-    return tables_of(alerts, written(find_incidents(alerts, incident_window_minutes), "incidents"), timezone)
+    return tables_of(alerts, written_incidents(correlate(alerts, incident_window_minutes)), timezone)
 
 
 def tables_of(alerts: DataFrame, found: DataFrame, timezone: str = "input") -> Result:

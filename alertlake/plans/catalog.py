@@ -29,7 +29,7 @@ LINE_LIMIT = 500
 # Names of the tables that several queries share.
 SHARED = [
     "lines", "judged", "damaged", "records", "alerts", "cells", "matches", "session-facts", "shared-lines", "session-alerts",
-    "urgent-incidents", "incidents",
+    "session-lists", "urgent-incidents", "incidents",
 ]
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -116,8 +116,8 @@ def correlation(spark: SparkSession, sf_dir: str) -> incidents.Correlation:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared("incidents", spark, sf_dir, lambda: written(
-        incidents.build_incidents(correlation(spark, sf_dir), facts=facts(spark, sf_dir)), "incidents"))
+    return _shared("incidents", spark, sf_dir, lambda: incidents.written_incidents(
+        correlation(spark, sf_dir), facts(spark, sf_dir)))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,11 @@ from alertlake.functions.text import formula_safe
 from alertlake.operators.quality import quality_table
 from alertlake.operators.views import priority_incidents
 from alertlake.plans.analysis import Report
-from alertlake.session import remove
+from alertlake.session import remove, shuffles_dropped
 
 JSON_INCIDENTS = 10
+# Ending of the tables of a bundle, which are packed. Files of several lines a cell are read whole, packed or not.
+PACKED = ".gz"
 
 
 def csv_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,10 +39,13 @@ def csv_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    csv_table(df, columns).write.csv(
-        path, header=True, escape='"', emptyValue="", nullValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    """A folder of CSV files, packed if its name says so."""
+    with shuffles_dropped(df.sparkSession):
+        csv_table(df, columns).write.csv(
+            path, header=True, escape='"', emptyValue="", nullValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+            compression="gzip" if path.endswith(PACKED) else None,
+        )
 
 
 def summary_json(report: Report, context: dict) -> DataFrame:
@@ -111,7 +116,8 @@ def _write_summary(report: Report, target: str, context: dict | None) -> None:
         "generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
         "options": asdict(report.options), **(context or {}),
     }
-    summary_json(report, filled).coalesce(1).write.text(f"{target}/report_summary.json")
+    with shuffles_dropped(report.stats.sparkSession):
+        summary_json(report, filled).coalesce(1).write.text(f"{target}/report_summary.json")
 
 
 def _write_tables(report: Report, target: str, context: dict | None) -> list[str]:
@@ -133,15 +139,16 @@ def publish_bundle(report: Report, root: str, context: dict | None = None) -> di
     that names the run and the rows of each table, is created last; with it the version is there,
     whole. Nothing is renamed, so object stores do as well. A run that dies leaves files that no
     manifest names; readers go on with the version before. Two publishers at once get a version each.
+    The tables are packed, as all versions are kept; the manifest names their ending.
     """
     spark = report.stats.sparkSession
     run, rows = uuid.uuid4().hex, {}
     for name, (df, columns) in bundle_tables(report).items():
         seen = Observation(f"{name}-{run}")
-        write_csv(df.observe(seen, F.count("*").alias("rows")), columns, f"{root}/runs/{run}/{name}.csv")
+        write_csv(df.observe(seen, F.count("*").alias("rows")), columns, f"{root}/runs/{run}/{name}.csv{PACKED}")
         rows[name] = seen.get["rows"]
     _write_summary(report, f"{root}/runs/{run}", context)
-    made = {"run": run, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "rows": rows}
+    made = {"run": run, "ending": f".csv{PACKED}", "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "rows": rows}
     version = max(_versions(spark, root), default=0) + 1
     while not _create(spark, _manifest_path(root, version), _sealed({"version": version, **made})):
         version += 1
@@ -164,7 +171,7 @@ def read_bundle(spark: SparkSession, root: str, table: str, manifest: dict | Non
     if table not in found["rows"]:
         raise BundleMissing(f"no table {table} in version {found['version']} at {root}")
     return spark.read.csv(
-        f"{root}/runs/{found['run']}/{table}.csv", header=True, escape='"', multiLine=True, emptyValue="", nullValue="",
+        f"{root}/runs/{found['run']}/{table}{found.get('ending', '.csv')}", header=True, escape='"', multiLine=True, emptyValue="", nullValue="",
     )
 
 

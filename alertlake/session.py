@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -62,6 +64,38 @@ def discard_written(spark: SparkSession, *names: str) -> None:
         mine.remove(entry)
 
 
+@contextmanager
+def passing(spark: SparkSession, *names: str) -> Iterator[None]:
+    """Tables of these names that are written within are deleted at the end: nothing made there reads them later."""
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(mine)
+    try:
+        yield
+    finally:
+        for entry in [e for e in mine if e[0] in names and e not in before]:
+            remove(spark, entry[1])
+            mine.remove(entry)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a write within this shuffles is deleted when the write has ended.
+
+    Otherwise these files stay until the driver happens to collect garbage, and those of all steps
+    lie on the executors' disks at once. A written table does not need them; frames that are not
+    written within keep theirs.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, which `discard_written` deletes under its name."""
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -117,6 +151,7 @@ def written(df: DataFrame, name: str, counts: dict[str, Column] | None = None) -
     if seen:
         df = df.observe(seen, *[column.alias(key) for key, column in counts.items()])
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return (table, seen.get) if seen else table
